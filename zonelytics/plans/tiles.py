@@ -21,6 +21,11 @@ LIGHT_MARK, CO2_MARK, ACK_YES, ACK_NO = "🟡 ", "🟢 ", "✅", "❌"
 VPD_LABELS = ("Low — Fungal Risk", "Optimal", "High — Wilt Risk")
 
 
+def shown(c, places: int) -> Column:
+    """Half-up rounding of a computed mean; noise below 1e-9 must not decide a tie."""
+    return F.round(F.round(c, 9), places)
+
+
 def zone_heatmap(latest: DataFrame, config: DataFrame) -> DataFrame:
     deviation = F.col("air_temperature") - F.col("target_temperature")
     return lookup(latest, config, "zone_id").select(
@@ -33,11 +38,11 @@ def zone_heatmap(latest: DataFrame, config: DataFrame) -> DataFrame:
 
 def selected_zone(latest: DataFrame, config: DataFrame, zone: str) -> DataFrame:
     close = F.abs(F.col("air_temperature") - F.col("target_temperature")) <= 2
-    shown = {
+    gauges = {
         "temperature": ("air_temperature", 1), "humidity": ("air_humidity", 0), "co2": ("co2_level", 0),
         "ph": ("substrate_ph", 2), "ec": ("substrate_ec", 2),
     }
-    value = {n: F.round(c, d).alias(n) for n, (c, d) in shown.items()}
+    value = {n: F.round(c, d).alias(n) for n, (c, d) in gauges.items()}
     return lookup(latest.filter(F.col("zone_id") == zone), config, "zone_id").select(
         "zone_id", "crop_name", value["temperature"], F.col("target_temperature").alias("temp_target"),
         F.when(close, "OK").otherwise("ALERT").alias("temp_status"), value["humidity"], F.col("target_humidity").alias("humidity_target"),
@@ -88,8 +93,8 @@ def indoor_outdoor(telemetry: DataFrame, weather: DataFrame, as_of: AsOf = None,
         "greenhouse_id", bin_start(step).alias("timestamp"), "outside_temperature", "solar_radiation", "wind_speed"
     )
     return indoor.join(outdoor, ["greenhouse_id", "timestamp"]).select(
-        "timestamp", "greenhouse_id", F.round("indoor", 1).alias("indoor_avg_temp"), F.round("outside_temperature", 1).alias("outdoor_temp"),
-        F.round(F.col("indoor") - F.col("outside_temperature"), 1).alias("temp_delta"), F.round("solar_radiation", 0).alias("solar_radiation"),
+        "timestamp", "greenhouse_id", shown("indoor", 1).alias("indoor_avg_temp"), F.round("outside_temperature", 1).alias("outdoor_temp"),
+        shown(F.col("indoor") - F.col("outside_temperature"), 1).alias("temp_delta"), F.round("solar_radiation", 0).alias("solar_radiation"),
         F.round("wind_speed", 1).alias("wind_speed"),
     ).orderBy("timestamp", "greenhouse_id")
 
@@ -104,6 +109,6 @@ def co2_per_zone(latest: DataFrame, config: DataFrame) -> DataFrame:
 def vpd_trend(telemetry: DataFrame, as_of: AsOf = None, lookback=6 * HOUR, step=10 * MIN, low=0.8, high=1.2) -> DataFrame:
     trend = binned(recent(telemetry, lookback, as_of), ["zone_id", "greenhouse_id"], step, F.avg("vpd").alias("mean_vpd"))
     return trend.select(
-        "timestamp", "zone_id", "greenhouse_id", F.round("mean_vpd", 2).alias("avg_vpd"), F.lit(low).alias("optimal_low"),
+        "timestamp", "zone_id", "greenhouse_id", shown("mean_vpd", 2).alias("avg_vpd"), F.lit(low).alias("optimal_low"),
         F.lit(high).alias("optimal_high"), fm.vpd_status("mean_vpd", *VPD_LABELS, lo=low, hi=high).alias("vpd_status"),
     ).orderBy("timestamp", "zone_id")

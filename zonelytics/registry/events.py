@@ -91,6 +91,18 @@ def _(t):
     return detect.heating_offline(t.telemetry, t.equipment, t.zone_config, tie=TIE)
 
 
+@query("dq4_heating_offline_earlier", f"""
+  SELECT s.timestamp, s.zone_id, s.greenhouse_id, s.air_temperature, c.target_temperature, e.heating_output, 'HEATING_OFFLINE_WHILE_COLD' AS alert
+  FROM (SELECT * FROM telemetry WHERE timestamp > {NOW} - INTERVAL 35 MINUTE) s
+  JOIN (SELECT zone_id, arg_max(heating_output, timestamp) AS heating_output FROM equipment WHERE timestamp > {NOW} - INTERVAL 35 MINUTE AND timestamp <= {NOW} - INTERVAL 5 MINUTE GROUP BY 1) e ON e.zone_id = s.zone_id
+  JOIN zone_config c ON c.zone_id = s.zone_id WHERE s.air_temperature < c.target_temperature - 2 AND e.heating_output = 0""")
+def _(t):
+    """The same detection as seen five minutes before the end of the log."""
+    now = t.telemetry.agg(F.max("timestamp").alias("t")).scalar() - F.expr("INTERVAL 5 MINUTE")
+    known = t.equipment.filter(F.col("timestamp") <= now)
+    return detect.heating_offline(t.telemetry, known, t.zone_config, as_of=now, tie=TIE)
+
+
 @query("jn16_heating_offline_asof", """
   SELECT s.timestamp, s.zone_id, s.greenhouse_id, s.air_temperature, c.target_temperature, e.timestamp AS state_time
   FROM telemetry s ASOF JOIN equipment e ON e.zone_id = s.zone_id AND s.timestamp >= e.timestamp
@@ -127,6 +139,14 @@ def _(t):
     return detect.vpd_out_of_range(t.telemetry)
 
 
+@query("dq6_vpd_narrow_band", f"""
+  SELECT *, CASE WHEN avg_vpd < 1.02e0 THEN 'TOO_LOW_FUNGAL_RISK' ELSE 'TOO_HIGH_WILT_RISK' END AS vpd_status
+  FROM (SELECT time_bucket(INTERVAL 10 MINUTE, timestamp) AS timestamp, zone_id, greenhouse_id, avg(vpd) AS avg_vpd, min(vpd) AS min_vpd, max(vpd) AS max_vpd
+    FROM {rows_since('telemetry', '2 HOUR')} GROUP BY ALL) WHERE avg_vpd < 1.02e0 OR avg_vpd > 1.06e0""", cols("avg_vpd"))
+def _(t):
+    return detect.vpd_out_of_range(t.telemetry, low=1.02, high=1.06)
+
+
 # The telemetry spans days, so the year-over-year query reads an hourly view made from order times.
 _hourly_orders = """(SELECT greenhouse_id, time_bucket(INTERVAL 1 HOUR, timestamp) AS timestamp, avg(electricity_kwh) AS avg_temp, count(*) AS reading_count FROM energy GROUP BY ALL)"""
 

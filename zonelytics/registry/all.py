@@ -1,3 +1,3 @@
 """Importing this module registers every query."""
 
-from zonelytics.registry import events, ops, star  # noqa: F401
+from zonelytics.registry import events, ops, star, streams  # noqa: F401

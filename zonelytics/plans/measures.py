@@ -268,6 +268,9 @@ def evaluate(
         if own:
             same = [merged[k].eqNullSafe(part[k]) for k in own]
             merged = merged.join(part, same, "left").drop(*[part[k] for k in own])
+            if rollup and _SQFT.name in part.columns:  # a subtotal has no zone filter: the whole area counts
+                area = model.dims["dim_zone"].agg(F.sum("size_sqft").cast("double").alias("a")).scalar()
+                merged = merged.withColumn(_SQFT.name, F.coalesce(_SQFT.name, area))
         else:  # one row: a scalar sub-query per column instead of a cross join
             merged = merged.withColumns({c: part.select(c).scalar() for c in part.columns})
     if any(m.key == "days_since_last_anomaly" for m in picked):

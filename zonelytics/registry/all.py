@@ -1,3 +1,3 @@
 """Importing this module registers every query."""
 
-from zonelytics.registry import events, ops, reports, star, streams  # noqa: F401
+from zonelytics.registry import events, models, ops, reports, star, streams  # noqa: F401

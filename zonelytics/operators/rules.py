@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from zonelytics.functions.formulas import fill_template
 from zonelytics.functions.timebins import AsOf, as_of_col
 from zonelytics.operators.joins import asof_join
+from zonelytics.session import cut
 
 OPERATORS = {"GreaterThan": ">", "LessThan": "<", "GreaterThanOrEqual": ">=", "LessThanOrEqual": "<=", "Equals": "="}
 
@@ -182,8 +183,12 @@ def spaced(df: DataFrame, by: Sequence[str], ts: str, seconds: int, chunk: int =
 
 
 def fire(df: DataFrame, rule: Rule, ts: str = "timestamp", tie: Sequence[str] = (), carry: Sequence[str] = (), dedup: int = 300) -> DataFrame:
-    """Alerts of one rule after cooldown and duplicate suppression, with their resolve time."""
-    events = rule_events(df, rule, ts, tie, carry)
+    """Alerts of one rule after cooldown and duplicate suppression, with their resolve time.
+
+    The pass over the readings runs here, once: its few firing and resolving
+    rows are written out, and the later steps work on those.
+    """
+    events = cut(rule_events(df, rule, ts, tie, carry), "rule-events")
     alerts = spaced(events.filter("fired"), [rule.key], ts, rule.cooldown)
     if dedup > rule.cooldown:  # rows are already further apart otherwise
         alerts = spaced(alerts, [rule.key], ts, dedup)

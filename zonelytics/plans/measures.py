@@ -50,6 +50,12 @@ HARVEST, ENV, ENERGY, SHIP, ANOMALY = (
 )
 
 
+def with_single_row(df: DataFrame, one: DataFrame) -> DataFrame:
+    """Adds the columns of a one-row frame through a single scalar sub-query."""
+    whole = one.select(F.struct(*one.columns).alias("_one")).scalar()
+    return df.withColumn("_one", whole).withColumns({c: F.col("_one")[c] for c in one.columns}).drop("_one")
+
+
 @dataclass(frozen=True)
 class Base:
     """One aggregate over one fact; ``prior`` reads the fact one year earlier."""
@@ -156,12 +162,26 @@ MEASURES: dict[str, Measure] = {
 }
 
 
+class Frames(dict):
+    """Tables by name; a callable value is planned when its table is first used."""
+
+    def __getitem__(self, name: str) -> DataFrame:
+        value = super().__getitem__(name)
+        if not isinstance(value, DataFrame):
+            value = value()
+            self[name] = value
+        return value
+
+
 @dataclass
 class Model:
     facts: dict[str, DataFrame]
     dims: dict[str, DataFrame]
     relationships: dict[str, dict[str, tuple[str, str]]] = field(default_factory=lambda: RELATIONSHIPS)
 
+    def __post_init__(self) -> None:
+        self.facts, self.dims = Frames(self.facts), Frames(self.dims)
+
     def table(self, name: str) -> DataFrame:
         return self.facts[name] if name in self.facts else self.dims[name]
 
@@ -272,7 +292,7 @@ def evaluate(
                 area = model.dims["dim_zone"].agg(F.sum("size_sqft").cast("double").alias("a")).scalar()
                 merged = merged.withColumn(_SQFT.name, F.coalesce(_SQFT.name, area))
         else:  # one row: a scalar sub-query per column instead of a cross join
-            merged = merged.withColumns({c: part.select(c).scalar() for c in part.columns})
+            merged = with_single_row(merged, part)
     if any(m.key == "days_since_last_anomaly" for m in picked):
         newest = model.facts[ANOMALY].agg(F.max("start_time").alias("t")).scalar()
         merged = merged.withColumn("_as_of", newest if as_of is None else (as_of if isinstance(as_of, Column) else F.lit(as_of).cast("timestamp")))

@@ -16,7 +16,7 @@ from zonelytics.functions import formulas as fm
 from zonelytics.operators.joins import lookup
 from zonelytics.operators.latest import latest_per_key
 from zonelytics.operators.windows import moving_average_days
-from zonelytics.plans.measures import ANOMALY, ENV, HARVEST, SHIP, Model, evaluate
+from zonelytics.plans.measures import ANOMALY, ENV, HARVEST, SHIP, Model, evaluate, with_single_row
 
 Filters = dict[str, Callable[[Column], Column]]
 KPIS = ["total_harvest_kg", "grade_a_pct", "energy_cost_per_kg", "on_time_delivery_pct", "anomaly_count", "prevented_loss_usd"]
@@ -60,7 +60,7 @@ def a_year_earlier(model: Model) -> Model:
     for fact, links in model.relationships.items():
         if fact in moved and "dim_date" in links:
             day = links["dim_date"][0]
-            moved[fact] = moved[fact].withColumn(day, F.add_months(day, 12))
+            moved[fact] = lambda fact=fact, day=day: model.facts[fact].withColumn(day, F.add_months(day, 12))
     return Model(moved, model.dims, model.relationships)
 
 
@@ -68,7 +68,7 @@ def kpi_cards(model: Model, filters: Filters | None = None) -> DataFrame:
     """One row per KPI: value, value a year earlier, change in percent, colour."""
     now = evaluate(model, KPIS, filters=filters)
     before = evaluate(a_year_earlier(model), KPIS, filters=filters)
-    both = now.withColumns({f"{k}_before": before.select(k).scalar() for k in KPIS})
+    both = with_single_row(now, before.withColumnsRenamed({k: f"{k}_before" for k in KPIS}))
     pairs = F.array(*[F.struct(F.lit(k).alias("kpi"), F.col(k).cast("double").alias("value"), F.col(f"{k}_before").cast("double").alias("before")) for k in KPIS])
     rows = both.select(F.explode(pairs).alias("_k")).select("_k.*")
     rows = rows.withColumn("yoy_pct", fm.ratio(F.col("value") - F.col("before"), F.col("before"), 100.0))
@@ -120,8 +120,7 @@ def light_vs_yield(model: Model, filters: Filters | None = None) -> DataFrame:
     points = evaluate(model, ["avg_dli", "total_harvest_kg"], ["dim_zone.zone_id", "dim_zone.size_sqft", "dim_date.year", "dim_date.month_num"], filters)
     y, x = F.col("total_harvest_kg"), F.col("avg_dli")
     line = points.agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.corr(x, y).alias("correlation"))
-    fitted = points.withColumns({c: line.select(c).scalar() for c in ("slope", "intercept", "correlation")})
-    return fitted.withColumn("fitted_kg", F.col("intercept") + F.col("slope") * x)
+    return with_single_row(points, line).withColumn("fitted_kg", F.col("intercept") + F.col("slope") * x)
 
 
 def month_variance(model: Model, as_of=None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from zonelytics.operators.quantiles import exact_quantile
 from zonelytics.operators.windows import change, rolling_mean, share_of_total
 from zonelytics.plans import detect, views
 from zonelytics.plans import measures as me
@@ -327,7 +328,9 @@ def _(t):
 @query("ag16_summary_statistics", """
   SELECT zone_id, avg(reading) AS mean, stddev_samp(reading) AS std, median(reading) AS median FROM telemetry_sparse GROUP BY 1""", cols("mean std median"))
 def _(t):
-    return t.telemetry_sparse.groupBy("zone_id").agg(F.avg("reading").alias("mean"), F.stddev_samp("reading").alias("std"), F.median("reading").alias("median"))
+    rows = t.telemetry_sparse
+    moments = rows.groupBy("zone_id").agg(F.avg("reading").alias("mean"), F.stddev_samp("reading").alias("std"))
+    return moments.join(exact_quantile(rows, "reading", 0.5, ["zone_id"], "median"), "zone_id")
 
 
 @query("ag13_distinct_count", "SELECT greenhouse_id, count(DISTINCT zone_id) AS zones, count(DISTINCT channel) AS channels FROM telemetry_sparse GROUP BY 1")

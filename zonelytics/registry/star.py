@@ -24,22 +24,21 @@ ADAPTERS["o_shipments"] = """
 
 
 def model(t) -> me.Model:
-    harvest = t.harvest
     return me.Model(
         facts={
-            "fact_daily_harvest": harvest,
-            "fact_zone_daily_environment": t.env_daily,
-            "fact_daily_energy": pl.fact_daily_energy(pl.clean_energy(t.energy), harvest),
-            "fact_shipments": pl.fact_shipments(pl.clean_shipments(t.shipments)),
-            "fact_anomaly_events": t.anomaly_events,
+            "fact_daily_harvest": lambda: t.harvest,
+            "fact_zone_daily_environment": lambda: t.env_daily,
+            "fact_daily_energy": lambda: pl.fact_daily_energy(pl.clean_energy(t.energy), t.harvest),
+            "fact_shipments": lambda: pl.fact_shipments(pl.clean_shipments(t.shipments)),
+            "fact_anomaly_events": lambda: t.anomaly_events,
         },
         dims={
-            "dim_date": dim_date_spanning(harvest, "harvest_date"),
-            "dim_zone": t.dim_zone,
-            "dim_greenhouse": t.dim_greenhouse,
-            "dim_crop": t.dim_crop,
-            "dim_customer": t.dim_customer,
-            "dim_product": t.dim_product,
+            "dim_date": lambda: dim_date_spanning(t.harvest, "harvest_date"),
+            "dim_zone": lambda: t.dim_zone,
+            "dim_greenhouse": lambda: t.dim_greenhouse,
+            "dim_crop": lambda: t.dim_crop,
+            "dim_customer": lambda: t.dim_customer,
+            "dim_product": lambda: t.dim_product,
         },
     )
 

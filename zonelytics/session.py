@@ -53,3 +53,14 @@ def work_dir(spark: SparkSession, purpose: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         base = tempfile.mkdtemp(prefix="zonelytics-")
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def cut(df, purpose: str):
+    """Write an intermediate result to the shared folder and continue from there.
+
+    For small results of a large pass that several later steps read: the pass
+    runs once, and a lost executor costs a re-read instead of a recomputation.
+    """
+    path = work_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -202,31 +202,37 @@ _NAME = re.compile(r"\{(\w+)\}")
 
 
 class Tables:
-    """Adapter views and base tables of one data folder as DataFrame attributes."""
+    """Adapter views and base tables of one data folder as DataFrame attributes.
+
+    Each base table is opened once; adapters are planned on top of it.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str, **overrides: DataFrame):
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
-        self.overrides = overrides
+        self._frames: dict[str, DataFrame] = dict(overrides)
 
-    def text(self, name: str) -> str:
-        """SQL of an adapter with its inputs resolved to parquet scans or override frames."""
+    def _expand(self, name: str, used: dict[str, DataFrame]) -> str:
+        """SQL of an adapter with nested adapters inlined and base tables left as frame arguments."""
 
         def resolve(match: re.Match) -> str:
             inner = match.group(1)
-            if inner in self.overrides:
-                return "{" + inner + "}"
-            if inner in ADAPTERS:
-                return f"({self.text(inner)})"
-            return f"parquet.`{self.sf_dir}/{inner}.parquet`"
+            if inner in ADAPTERS and inner not in self._frames:
+                return f"({self._expand(inner, used)})"
+            used[inner] = getattr(self, inner)
+            return "{" + inner + "}"
 
         return _NAME.sub(resolve, ADAPTERS[name])
 
     def __getattr__(self, name: str) -> DataFrame:
-        if name in self.__dict__.get("overrides", {}):
-            return self.overrides[name]
+        frames = self.__dict__.get("_frames", {})
+        if name in frames:
+            return frames[name]
         if name in ADAPTERS:
-            return self.spark.sql(self.text(name), **self.overrides)
+            used: dict[str, DataFrame] = {}
+            text = self._expand(name, used)
+            return self.spark.sql(text, **used)
         if name in BASE:
-            return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            frames[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            return frames[name]
         raise AttributeError(name)

@@ -55,9 +55,14 @@ def from_json_mapping(df: DataFrame, mapping: dict[str, tuple[str, str]], value:
     becomes NULL, as the source's lenient mapping does.
     """
     leaf = {path.removeprefix("$.").split(".")[0] for path, _ in mapping.values()}
-    strings = T.StructType([T.StructField(n, T.StringType()) for n in sorted(leaf)])
-    is_object = F.coalesce(F.trim(F.col(value)).startswith("{") & F.get_json_object(value, "$").isNotNull(), F.lit(False))
-    parsed = df.withColumn("_j", F.from_json(value, strings))
+    strings = T.StructType([T.StructField(n, T.StringType()) for n in [*sorted(leaf), "_bad"]])
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
+    # parsed behind a generator, so that Spark does not parse again in the filters below
+    text = F.col(value)
+    looks_right = F.coalesce(F.ltrim(text).startswith("{"), F.lit(False))
+    both = F.struct(F.from_json(text, strings, options).alias("_j"), looks_right.alias("_ok"))
+    parsed = df.select("*", F.inline(F.array(both)))
+    is_object = F.col("_ok") & F.col("_j._bad").isNull()
     out = []
     for name, (path, kind) in mapping.items():
         first, *rest = path.removeprefix("$.").split(".")
@@ -65,7 +70,7 @@ def from_json_mapping(df: DataFrame, mapping: dict[str, tuple[str, str]], value:
         if rest:
             raw = F.get_json_object(raw, "$." + ".".join(rest))
         out.append((F.try_to_timestamp(raw) if kind == "timestamp" else raw.try_cast(kind)).alias(name))
-    return parsed.filter(is_object).select(*out), df.filter(~is_object)
+    return parsed.filter(is_object).select(*out), parsed.filter(~is_object).drop("_j", "_ok")
 
 
 def route_messages(df: DataFrame, value: str = "value") -> dict[str, DataFrame]:

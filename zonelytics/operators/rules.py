@@ -104,10 +104,10 @@ def evaluated(df: DataFrame, rule: Rule, ts: str = "timestamp", tie: Sequence[st
 def rule_events(df: DataFrame, rule: Rule, ts: str = "timestamp", tie: Sequence[str] = (), carry: Sequence[str] = (), chunk: int = 21600) -> DataFrame:
     """Readings at which a branch fires (``fired``, ``branch``) or the resolve condition turns true (``resolves``)."""
     rows = evaluated(df, rule, ts, tie, carry)
-    if chunk % rule.interval:
-        raise ValueError("the chunk length must be a multiple of the evaluation interval")
     halo = max(b.sustain for b in rule.branches) + 2 * rule.gap
     halo += -halo % rule.interval
+    chunk = max(chunk, halo)  # a halo reaches into the next chunk only
+    chunk += -chunk % rule.interval
     sec = F.unix_seconds(ts)
     home = F.floor(sec / chunk)
     near_end = sec >= (home + 1) * chunk - halo

@@ -6,7 +6,7 @@ from zonelytics.operators.quantiles import exact_quantile
 from zonelytics.plans import ml
 from zonelytics.plans import pipeline as pl
 from zonelytics.registry import cols, query
-from zonelytics.session import work_dir
+from zonelytics.session import cut, work_dir
 from zonelytics.sources.adapters import ADAPTERS
 
 ADAPTERS["o_daily"] = """
@@ -149,7 +149,8 @@ _SMALL = {"maxIter": 5, "maxDepth": 5}
 
 
 def trained(t):
-    train, test = ml.hash_split(features(t), ["zone_id", "harvest_date", "crop_id"])
+    # training reads its input many times: the features are written once
+    train, test = ml.hash_split(cut(features(t), "features"), ["zone_id", "harvest_date", "crop_id"])
     return ml.train_yield(train, **_SMALL), test
 
 
@@ -166,18 +167,24 @@ def _(t):
 
 @query("ml15_score_upcoming")
 def _(t):
-    rows = features(t)
+    rows = cut(features(t), "features")
     return ml.score_upcoming(ml.train_yield(rows, **_SMALL), rows)
 
 
 @query("ml10_forest_report")
 def _(t):
-    rows = ml.class_weights(ml.stratified(incident_features(t), ["event_id", "zone_id"], "anomaly_type"))
+    rows = cut(ml.class_weights(ml.stratified(cut(incident_features(t), "features"), ["event_id", "zone_id"], "anomaly_type")), "training")
     model = ml.train_classifier(rows.filter("is_train"), numTrees=10, maxDepth=5)
     out = model.transform(rows.filter("NOT is_train")).withColumnRenamed("anomaly_type", "actual")
     return ml.class_report(out.select("actual", "predicted"))
 
 
+@query("ml12_cross_validated_f1")
+def _(t):
+    f1 = ml.cross_validated_f1(cut(incident_features(t), "features"), 3, numTrees=5, maxDepth=4)
+    return t.scenarios.agg(F.count(F.lit(1)).alias("incidents")).withColumn("f1_mean", F.lit(f1))
+
+
 @query("ml16_saved_model_scores")
 def _(t):
     model, test = trained(t)

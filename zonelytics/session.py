@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -11,10 +12,11 @@ ROCKSDB_PROVIDER = (
 )
 
 
-def local_session(app: str = "zonelytics", cores: str | int = "*", shuffle: int = 8) -> SparkSession:
+def local_session(app: str = "zonelytics", cores: str | int = "*", shuffle: int = 8, extra: dict[str, str] | None = None) -> SparkSession:
     """A session for tests and the bench. On a cluster use the session you are given."""
     return configure(
         SparkSession.builder.master(f"local[{cores}]")
+        .config(map=extra or {})
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle))
         .config("spark.driver.memory", "16g")
@@ -45,9 +47,7 @@ def work_dir(spark: SparkSession, purpose: str) -> str:
     cluster). Only a local master, where driver and executors are one machine,
     may fall back to a temporary folder.
     """
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")

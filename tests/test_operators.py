@@ -11,7 +11,8 @@ from zonelytics.operators.joins import asof_join, interval_join
 from zonelytics.operators.latest import latest_incremental, latest_per_key
 from zonelytics.operators.quantiles import exact_quantile
 from zonelytics.operators.rules import spaced
-from zonelytics.operators.scenario import allocate, running_total
+from zonelytics.operators.scenario import allocate
+from zonelytics.operators.windows import running_total
 from zonelytics.operators.series import decompose_anomalies, fir, make_series, mv_expand, to_arrays
 
 T0 = datetime(2024, 1, 1)

@@ -29,8 +29,15 @@ def as_of_col(df: DataFrame, as_of: AsOf = None, ts: str = "timestamp") -> Colum
 
 
 def recent(df: DataFrame, lookback: timedelta | int, as_of: AsOf = None, ts: str = "timestamp") -> DataFrame:
-    """Rows younger than ``lookback``; the lower bound is exclusive."""
-    return df.filter(F.col(ts) > as_of_col(df, as_of, ts) - span_col(lookback))
+    """Rows younger than ``lookback``; the lower bound is exclusive.
+
+    A ``date`` column, by which the lake tables are partitioned, is filtered as
+    well, so that old partitions are not read.
+    """
+    since = as_of_col(df, as_of, ts) - span_col(lookback)
+    rows = df.filter(F.col(ts) > since)
+    by_day = ts == "timestamp" and dict(df.dtypes).get("date") == "date"
+    return rows.filter(F.col("date") >= F.to_date(since)) if by_day else rows
 
 
 def bin_start(step: timedelta | int, ts: str | Column = "timestamp") -> Column:

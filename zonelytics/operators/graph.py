@@ -108,13 +108,20 @@ def derived_edges(parts: DataFrame, owner: str, label: str) -> DataFrame:
     return parts.select(F.concat(F.lit("zone:"), F.col(owner)).alias("src"), F.col("node_id").alias("dst"), F.lit(label).alias("label"))
 
 
-def adjacency(items: DataFrame, site: str, order: str, node_id: str = "node_id", label: str = "adjacent_to") -> DataFrame:
-    """Neighbours in order within a site, in both directions. One row per item, so a site is a small group."""
-    w = Window.partitionBy(site).orderBy(order)
-    both = items.withColumns({"_p": F.lag(node_id).over(w), "_n": F.lead(node_id).over(w)}).select(
-        F.col(node_id).alias("src"), F.explode(F.array("_p", "_n")).alias("dst")
-    )
-    return both.filter(F.col("dst").isNotNull()).withColumn("label", F.lit(label))
+def adjacency(items: DataFrame, site: str, order: str, node_id: str = "node_id", label: str = "adjacent_to", chunk: Column | None = None) -> DataFrame:
+    """Neighbours in order within a site, in both directions.
+
+    ``chunk``, a number growing with ``order``, splits a large site: the last
+    item of a chunk is linked to the first one of the next.
+    """
+    rows = items.withColumn("_chunk", chunk if chunk is not None else F.lit(0))
+    heads = rows.groupBy(site, "_chunk").agg(F.min_by(node_id, order).alias("_head"))
+    carry = heads.select(site, "_chunk", F.lead("_head").over(Window.partitionBy(site).orderBy("_chunk")).alias("_carry"))
+    inside = Window.partitionBy(site, "_chunk").orderBy(order)
+    linked = rows.withColumn("_next", F.lead(node_id).over(inside)).join(carry, [site, "_chunk"])
+    pairs = linked.select(F.col(node_id).alias("a"), F.coalesce("_next", "_carry").alias("b")).filter("b IS NOT NULL")
+    both = F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst")))
+    return pairs.select(F.inline(both)).withColumn("label", F.lit(label))
 
 
 def runbook_totals(actions: DataFrame) -> DataFrame:

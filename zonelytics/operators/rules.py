@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from zonelytics.functions.formulas import fill_template
 from zonelytics.functions.timebins import AsOf, as_of_col
 from zonelytics.operators.joins import asof_join
+from zonelytics.operators.windows import running_total
 from zonelytics.session import cut
 
 OPERATORS = {"GreaterThan": ">", "LessThan": "<", "GreaterThanOrEqual": ">=", "LessThanOrEqual": "<=", "Equals": "="}
@@ -263,6 +264,13 @@ def to_alert_table(alerts: DataFrame, rule: Rule, alert_type: str, score: Column
 
 
 def daily_ids(df: DataFrame, prefix: str, ts: str, order: Sequence[str], name: str = "id") -> DataFrame:
-    """Ids like ``ANM-20240115-0003``, numbered per day in the given order."""
-    w = Window.partitionBy(F.to_date(ts)).orderBy(ts, *order)
-    return df.withColumn(name, F.concat(F.lit(f"{prefix}-"), F.date_format(ts, "yyyyMMdd"), F.format_string("-%04d", F.row_number().over(w))))
+    """Ids like ``ANM-20240115-0003``, numbered per day in the given order.
+
+    Rows are ranked per minute and offset by the counts of the minutes before,
+    so a busy day does not end up in one task.
+    """
+    rows = df.withColumns({"_day": F.to_date(ts), "_one": F.lit(1.0)})
+    minute = F.floor(F.unix_seconds(ts) / 60)
+    counted = running_total(rows, "_one", ["_day"], [ts, *order], minute, "_before")
+    number = F.format_string("-%04d", F.col("_before").cast("bigint") + 1)
+    return counted.withColumn(name, F.concat(F.lit(f"{prefix}-"), F.date_format(ts, "yyyyMMdd"), number)).drop("_day", "_one", "_before")

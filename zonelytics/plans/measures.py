@@ -58,13 +58,33 @@ def with_single_row(df: DataFrame, one: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Base:
-    """One aggregate over one fact; ``prior`` reads the fact one year earlier."""
+    """One aggregate over one fact; ``prior`` reads the fact one year earlier.
+
+    Every kind splits into a partial and a final step, so that a fact can be
+    reduced to its foreign keys before it meets a dimension.
+    """
 
     name: str
     fact: str
-    agg: Callable[[], Column]
+    kind: str  # sum, avg, count, count_if or max
+    expr: Callable[[], Column] = lambda: F.lit(1)
     prior: bool = False
 
+    def partial(self) -> list[Column]:
+        e = self.expr()
+        if self.kind == "avg":
+            return [F.sum(e).alias(f"{self.name}#s"), F.count(e).alias(f"{self.name}#n")]
+        made = {"sum": F.sum, "count": F.count, "count_if": F.count_if, "max": F.max}[self.kind](e)
+        return [made.alias(f"{self.name}#s")]
+
+    def final(self) -> Column:
+        part = F.col(f"`{self.name}#s`")
+        if self.kind == "avg":
+            return F.try_divide(F.sum(part).cast("double"), F.sum(F.col(f"`{self.name}#n`"))).alias(self.name)
+        if self.kind in ("count", "count_if"):
+            return F.coalesce(F.sum(part), F.lit(0)).cast("bigint").alias(self.name)
+        return (F.max(part) if self.kind == "max" else F.sum(part)).alias(self.name)
+
 
 @dataclass(frozen=True)
 class Measure:
@@ -76,19 +96,19 @@ class Measure:
 
 
 def _sum(fact: str, column: str, prior: bool = False) -> Base:
-    return Base(f"_{'p' if prior else 's'}_{column}", fact, lambda: F.sum(column).cast("double"), prior)
+    return Base(f"_{'p' if prior else 's'}_{column}", fact, "sum", lambda: F.col(column).cast("double"), prior)
 
 
 def _count(fact: str) -> Base:
-    return Base(f"_n_{fact}", fact, lambda: F.count(F.lit(1)))
+    return Base(f"_n_{fact}", fact, "count")
 
 
 def _count_if(fact: str, column: str) -> Base:
-    return Base(f"_k_{column}", fact, lambda: F.count_if(F.coalesce(F.col(column), F.lit(False))))
+    return Base(f"_k_{column}", fact, "count_if", lambda: F.coalesce(F.col(column), F.lit(False)))
 
 
 def _avg(fact: str, column: str) -> Base:
-    return Base(f"_a_{column}", fact, lambda: F.avg(column))
+    return Base(f"_a_{column}", fact, "avg", lambda: F.col(column))
 
 
 def _plain(key: str, title: str, base: Base, fmt: str = "#,##0.0", cast: str | None = None) -> Measure:
@@ -104,9 +124,9 @@ _KG_P, _COST_P = _sum(HARVEST, "harvest_weight_kg", True), _sum(ENERGY, "energy_
 _KWH, _GAS = _sum(ENERGY, "electricity_kwh"), _sum(ENERGY, "natural_gas_m3")
 _WATER, _RECYCLED, _WASTE = _sum(ENERGY, "water_liters"), _sum(ENERGY, "water_recycled_liters"), _sum(HARVEST, "waste_kg")
 _CASES, _ORDERED, _SHIPMENTS = _sum(SHIP, "quantity_cases"), _sum(SHIP, "quantity_ordered"), _count(SHIP)
-_GRADE_A = Base("_grade_a_kg", HARVEST, lambda: F.sum(F.col("harvest_weight_kg") * F.col("grade_a_pct") / 100))
-_SQFT = Base("_sqft", "dim_zone", lambda: F.sum("size_sqft").cast("double"))
-_LAST = Base("_last_anomaly", ANOMALY, lambda: F.max("start_time"))
+_GRADE_A = Base("_grade_a_kg", HARVEST, "sum", lambda: F.col("harvest_weight_kg") * F.col("grade_a_pct") / 100)
+_SQFT = Base("_sqft", "dim_zone", "sum", lambda: F.col("size_sqft").cast("double"))
+_LAST = Base("_last_anomaly", ANOMALY, "max", lambda: F.col("start_time"))
 _HOURS, _ENV_ROWS = _sum(ENV, "hours_in_optimal_range"), _count(ENV)
 
 
@@ -200,26 +220,36 @@ def out_name(attr: str) -> str:
     return attr.split(".")[-1]
 
 
-def _starred(model: Model, fact: str, attrs: Sequence[str], prior: bool) -> DataFrame:
-    """The fact with the wanted dimension columns; orphan keys keep NULL attributes."""
+def _starred(model: Model, fact: str, attrs: Sequence[str], members: Sequence[Base], prior: bool) -> DataFrame:
+    """Partial aggregates of a fact with the wanted attributes as ``@name`` columns.
+
+    The fact is first reduced to one row per combination of the foreign keys in
+    use. A hot customer or product therefore reaches the dimension join as a
+    few rows, whether that join is broadcast or sorted. Orphan keys keep NULL
+    attributes.
+    """
     df = model.table(fact)
     links = model.relationships.get(fact, {})
-    if prior and "dim_date" in links:
-        day = links["dim_date"][0]
-        known = model.dims["dim_date"].select(F.col("date_key").alias(day))
-        # a shifted row counts only where the calendar has the later date
-        df = df.withColumn(day, F.add_months(F.col(day), 12)).join(known, day, "left_semi")
     wanted: dict[str, set[str]] = {}
+    keys: dict[str, Column] = {}
     for attr in attrs:
         found = _attribute(model, fact, attr)
         if found and found[0]:
             wanted.setdefault(found[0], set()).add(found[1])
+            keys[f"_fk_{found[0]}"] = F.col(links[found[0]][0])
         elif found:
-            df = df.withColumn(f"@{out_name(attr)}", F.col(found[1]))
+            keys[f"@{out_name(attr)}"] = F.col(found[1])
+    shift = prior and "dim_date" in links
+    if shift:
+        keys["_fk_dim_date"] = F.add_months(F.col(links["dim_date"][0]), 12)
+    partials = [p for b in members for p in b.partial()]
+    df = df.groupBy(*[c.alias(n) for n, c in keys.items()]).agg(*partials)
+    if shift:  # a shifted row counts only where the calendar has the later date
+        known = model.dims["dim_date"].select(F.col("date_key").alias("_fk_dim_date"))
+        df = df.join(known, "_fk_dim_date", "left_semi")
     for dim, columns in wanted.items():
-        local, key = links[dim]
-        side = model.dims[dim].select(F.col(key).alias("_key"), *[F.col(c).alias(f"@{c}") for c in sorted(columns)])
-        df = df.join(side, df[local] == side["_key"], "left").drop("_key")
+        side = model.dims[dim].select(F.col(links[dim][1]).alias(f"_fk_{dim}"), *[F.col(c).alias(f"@{c}") for c in sorted(columns)])
+        df = df.join(side, f"_fk_{dim}", "left")
     return df
 
 
@@ -253,12 +283,12 @@ def evaluate(
             only = {a: p for a, p in filters.items() if a == "dim_zone.zone_id"}
         related = [a for a in by_fact if _attribute(model, fact, a)]
         only = {a: p for a, p in only.items() if _attribute(model, fact, a)}
-        df = _starred(model, fact, [*related, *only], prior)
+        df = _starred(model, fact, [*related, *only], members, prior)
         for attr, predicate in only.items():
             df = df.filter(predicate(F.col(f"@{out_name(attr)}")))
         own = [out_name(a) for a in related]
         cols = [F.col(f"@{k}").alias(k) for k in own]
-        aggs = [b.agg().alias(b.name) for b in members]
+        aggs = [b.final() for b in members]
         if rollup and own == keys:
             level = sum((F.grouping(F.col(f"@{k}")).cast("int") for k in own), F.lit(0))
             part = df.rollup(*[F.col(f"@{k}") for k in own]).agg(*aggs, level.alias("grouping_level"))
@@ -301,9 +331,18 @@ def evaluate(
 
 def auto(model: Model, fact: str, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Columns summarised by their declared default aggregate (sum unless stated otherwise)."""
-    df = _starred(model, fact, by, False)
+    df = model.table(fact)
+    keys = []
+    for attr in by:
+        dim, column = _attribute(model, fact, attr)
+        if dim:
+            local, key = model.relationships[fact][dim]
+            side = model.dims[dim].select(F.col(key).alias(f"_{dim}_{column}"), F.col(column).alias(f"@{column}"))
+            df = df.join(side, F.col(local) == F.col(f"_{dim}_{column}"), "left")
+            keys.append(F.col(f"@{column}").alias(column))
+        else:
+            keys.append(F.col(column))
     aggs = [getattr(F, DEFAULT_AGGREGATE.get(c, "sum"))(c).alias(c) for c in columns]
-    keys = [F.col(f"@{out_name(a)}").alias(out_name(a)) for a in by]
     return df.groupBy(*keys).agg(*aggs) if keys else df.agg(*aggs)
 
 

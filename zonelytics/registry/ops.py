@@ -255,7 +255,7 @@ def _(t):
   JOIN (SELECT *, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS r FROM (SELECT *, concat('s:', s_suppkey) AS node_id FROM supplier)) b ON a.s_nationkey = b.s_nationkey AND abs(a.r - b.r) = 1""")
 def _(t):
     items = t.supplier.select("s_nationkey", "s_suppkey", F.concat(F.lit("s:"), F.col("s_suppkey").cast("string")).alias("node_id"))
-    return gr.adjacency(items, "s_nationkey", "s_suppkey")
+    return gr.adjacency(items, "s_nationkey", "s_suppkey", chunk=F.floor(F.col("s_suppkey") / 25))
 
 
 @query("gr12_runbook_totals", """

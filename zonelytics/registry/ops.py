@@ -111,6 +111,11 @@ def _(t):
     return ru.spaced(t.telemetry_sparse, ["zone_id"], "timestamp", 3600, chunk=1800).select("zone_id", "timestamp")
 
 
+@query("rul10_dedup_window", f"SELECT zone_id, timestamp FROM {_cooled('(SELECT zone_id, timestamp FROM alerts)', 300)}")
+def _(t):
+    return ru.spaced(t.alerts, ["zone_id"], "timestamp", al.DEDUP_SECONDS).select("zone_id", "timestamp")
+
+
 @query("rul11_throttle", """
   WITH a AS (SELECT alert_id, zone_id, timestamp, alert_type AS rule, date_trunc('hour', timestamp) AS h FROM alerts QUALIFY row_number() OVER (PARTITION BY zone_id, h ORDER BY timestamp, rule) <= 1)
   SELECT alert_id, zone_id, timestamp FROM a QUALIFY row_number() OVER (PARTITION BY h ORDER BY timestamp, zone_id, rule) <= 2""")

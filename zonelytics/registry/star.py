@@ -8,6 +8,7 @@ from zonelytics.functions.timebins import dim_date_spanning
 from zonelytics.plans import measures as me
 from zonelytics.plans import pipeline as pl
 from zonelytics.registry import cols, query
+from zonelytics.session import work_dir
 from zonelytics.sources import readers, sinks
 from zonelytics.sources.adapters import ADAPTERS
 
@@ -221,6 +222,61 @@ def _(t):
     return sinks.enrich(t.telemetry, t.zone_config).select("event_id", "timestamp", "greenhouse_id", "zone_id", "crop_id", "crop_name", "zone_name", "size_sqft")
 
 
+@query("src1_snk3_partitioned_round_trip", """
+  SELECT event_id, zone_id, greenhouse_id, CAST(timestamp AS DATE) AS date, air_temperature FROM telemetry WHERE greenhouse_id = 'G1'""")
+def _(t):
+    """Written by site and date, read back through the folder names, pruned to one site."""
+    root = work_dir(t.spark, "lake")
+    sinks.write_partitioned(t.telemetry, f"{root}/iot_telemetry", files_per_partition=4)
+    back = readers.with_lineage(readers.read_raw(t.spark, root, "iot_telemetry"))
+    stamped = back.filter("greenhouse_id = 'G1' AND _ingested_at IS NOT NULL AND _source_file LIKE '%greenhouse_id=G1%'")
+    return stamped.select("event_id", "zone_id", "greenhouse_id", "date", "air_temperature")
+
+
+@query("snk4_csv_round_trip", "SELECT order_id, product_sku, quantity_cases, delivery_status FROM shipments")
+def _(t):
+    path = work_dir(t.spark, "csv")
+    out = t.shipments.select("order_id", "product_sku", "quantity_cases", "delivery_status")
+    sinks.write_csv(out, path)
+    return t.spark.read.schema(out.schema).option("header", True).csv(path)
+
+
+@query("snk5_published_messages", "SELECT alert_id, zone_id, severity, anomaly_score, acknowledged, timestamp FROM alerts")
+def _(t):
+    path = work_dir(t.spark, "messages")
+    sinks.publish(t.alerts, "alert", path)
+    rows = readers.route_messages(t.spark.read.text(path))["alert"]
+    return rows.select("alert_id", "zone_id", "severity", "anomaly_score", "acknowledged", "timestamp")
+
+
+@query("snk2_increment_by_partition", "SELECT harvest_date, count(*) AS n, sum(harvest_weight_kg) AS kg FROM harvest WHERE year(harvest_date) >= 2000 GROUP BY 1", {"kg": 4})
+def _(t):
+    """A first load with doubled weights; the increment rewrites only the partitions it carries."""
+    path = work_dir(t.spark, "increment")
+    rows = t.harvest.filter("harvest_date >= '2000-01-01'").withColumn("year", F.year("harvest_date")).repartition("year")
+    sinks.replace_partitions(rows.withColumn("harvest_weight_kg", F.col("harvest_weight_kg") * 2), path, ["year"])
+    for year in (2000, 2001):
+        sinks.replace_partitions(rows.filter(F.col("year") == year), path, ["year"])
+    return t.spark.read.parquet(path).groupBy("harvest_date").agg(F.count(F.lit(1)).alias("n"), F.sum("harvest_weight_kg").alias("kg"))
+
+
+@query("src8_history_round_trip", "SELECT anomaly_id, zone_ids, severity, start_time, end_time AS resolved_time FROM scenarios")
+def _(t):
+    path = work_dir(t.spark, "history")
+    rows = t.scenarios.select("anomaly_id", "scenario", F.split("zone_ids", ",").alias("zone_ids"), "severity", "start_time", F.col("end_time").alias("resolved_time"))
+    sinks.write_history(rows, path)
+    back = t.spark.read.schema(schemas.ANOMALY_HISTORY).json(path)
+    return back.select("anomaly_id", F.array_join("zone_ids", ",").alias("zone_ids"), "severity", "start_time", "resolved_time")
+
+
+@query("fm27_transport_fit", """
+  SELECT order_id, product_sku, cold_chain_temp BETWEEN lo AND hi AS fits FROM shipments s
+  JOIN (SELECT crop_id, CASE WHEN crop_category = 'leafy_green' THEN 1e0 ELSE 0e0 END AS lo, CASE WHEN crop_category = 'vine_crop' THEN 6e0 ELSE 4e0 END AS hi FROM dim_crop) r ON r.crop_id = s.crop_id""")
+def _(t):
+    ranges = t.dim_crop.select("crop_id", F.when(F.col("crop_category") == "leafy_green", 1.0).otherwise(0.0).alias("lo"), F.when(F.col("crop_category") == "vine_crop", 6.0).otherwise(4.0).alias("hi"))
+    return t.shipments.join(ranges, "crop_id").select("order_id", "product_sku", fm.transport_fit("cold_chain_temp", "lo", "hi").alias("fits"))
+
+
 # --- one query per measure -------------------------------------------------------------------
 # number, key, attribute, SQL expression, fact with its date column, digits
 

@@ -6,7 +6,7 @@ from zonelytics import schemas
 from zonelytics.plans import alerting as al
 from zonelytics.plans import views
 from zonelytics.registry import cols, query
-from zonelytics.registry.events import LATEST, _HOURLY_DIGITS, _HOURLY_SQL
+from zonelytics.registry.events import LATEST, LATEST_EQ, _HOURLY_DIGITS, _HOURLY_SQL
 from zonelytics.registry.ops import _EQ, _TEMP, _NUTR, _resolved
 from zonelytics.session import work_dir
 from zonelytics.sources import sinks
@@ -49,6 +49,11 @@ def _(t):
     return replay(t, sv.latest(live(t).telemetry, TIE), "complete")
 
 
+@query("str1_equipment_latest", f"SELECT * FROM {LATEST_EQ}")
+def _(t):
+    return replay(t, sv.latest(live(t).equipment, TIE), "complete")
+
+
 @query("str1_daily_alerts", f"""
   SELECT * FROM (SELECT greenhouse_id, severity, alert_type, time_bucket(INTERVAL 1 DAY, timestamp) AS timestamp, count(*) AS alert_count, avg(anomaly_score) AS avg_anomaly_score,
     count(*) FILTER (acknowledged) AS acknowledged_count FROM alerts GROUP BY ALL) WHERE {_CLOSED.format(w='1 DAY', src='alerts')}""", cols("avg_anomaly_score"))

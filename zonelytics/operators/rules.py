@@ -89,53 +89,83 @@ class Rule:
         )
 
 
-def evaluated(df: DataFrame, rule: Rule, ts: str = "timestamp", tie: Sequence[str] = (), carry: Sequence[str] = ()) -> DataFrame:
-    """Condition results per reading; everything the rest of the rule does not need is dropped here."""
-    src = df.filter(rule.source_filter) if rule.source_filter else df
-    src = src.withColumns({a: F.expr(e) for a, e in rule.measures.items()}) if rule.measures else src
+def evaluated(df: DataFrame, rules: Sequence[Rule], ts: str = "timestamp", tie: Sequence[str] = (), carry: Sequence[str] = ()) -> DataFrame:
+    """Condition results per reading (``_c<rule>_<branch>``, ``_res<rule>``); what the rules do not need is dropped here."""
+    first = rules[0]
+    if any((r.key, r.interval, r.source_filter) != (first.key, first.interval, first.source_filter) for r in rules):
+        raise ValueError("rules of one pass share key, evaluation interval and source filter")
+    src = df.filter(first.source_filter) if first.source_filter else df
+    measures = {a: F.expr(e) for r in rules for a, e in r.measures.items()}
+    src = src.withColumns(measures) if measures else src
     yes = lambda e: F.coalesce(F.expr(e), F.lit(False))
-    keep = [c for c in dict.fromkeys([*carry, *rule.measures]) if c not in (rule.key, ts, *tie)]
-    return src.select(
-        rule.key, ts, *tie, *keep,
-        *[yes(b.condition).alias(f"_c{i}") for i, b in enumerate(rule.branches)],
-        (yes(rule.resolve) if rule.resolve else F.lit(False)).alias("_res"),
-    )
+    keep = [c for c in carry if c not in (first.key, ts, *tie)] + [a for a in measures if carry and a not in carry]
+    conditions = [yes(b.condition).alias(f"_c{n}_{i}") for n, r in enumerate(rules) for i, b in enumerate(r.branches)]
+    resolves = [(yes(r.resolve) if r.resolve else F.lit(False)).alias(f"_res{n}") for n, r in enumerate(rules)]
+    return src.select(first.key, ts, *tie, *keep, *conditions, *resolves)
 
 
-def rule_events(df: DataFrame, rule: Rule, ts: str = "timestamp", tie: Sequence[str] = (), carry: Sequence[str] = (), chunk: int = 21600) -> DataFrame:
-    """Readings at which a branch fires (``fired``, ``branch``) or the resolve condition turns true (``resolves``)."""
-    rows = evaluated(df, rule, ts, tie, carry)
-    halo = max(b.sustain for b in rule.branches) + 2 * rule.gap
-    halo += -halo % rule.interval
+def rule_pass(
+    df: DataFrame, rules: Sequence[Rule], ts: str = "timestamp", tie: Sequence[str] = (), carry: Sequence[str] = (), chunk: int = 21600
+) -> DataFrame:
+    """One pass over the readings for all rules of a source.
+
+    Returns the readings at which something happens: per rule ``fired<n>`` (a
+    branch has just held long enough), ``branch<n>`` and ``resolves<n>`` (the
+    resolve condition has just turned true). One exchange and one sort serve
+    every rule.
+    """
+    rows = evaluated(df, rules, ts, tie, carry)
+    key, interval, gap = rules[0].key, rules[0].interval, rules[0].gap
+    halo = max(b.sustain for r in rules for b in r.branches) + 2 * gap
+    halo += -halo % interval
     chunk = max(chunk, halo)  # a halo reaches into the next chunk only
-    chunk += -chunk % rule.interval
+    chunk += -chunk % interval
     sec = F.unix_seconds(ts)
     home = F.floor(sec / chunk)
     near_end = sec >= (home + 1) * chunk - halo
-    rows = rows.withColumns({"_slot": F.floor(sec / rule.interval), "_home": home})
+    rows = rows.withColumns({"_slot": F.floor(sec / interval), "_home": home})
     rows = rows.withColumn("_chunk", F.explode(F.when(near_end, F.array(home, home + 1)).otherwise(F.array(home))))
-    w = Window.partitionBy(rule.key, "_chunk").orderBy(ts, *tie)
+    w = Window.partitionBy(key, "_chunk").orderBy(ts, *tie)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    nxt = F.lead("_slot").over(w)
-    rows = rows.withColumn("_next", nxt).filter(F.col("_next").isNull() | (F.col("_next") != F.col("_slot")))
+    rows = rows.withColumn("_next", F.lead("_slot").over(w)).filter(F.col("_next").isNull() | (F.col("_next") != F.col("_slot")))
     no = lambda c: F.coalesce(c, F.lit(False))
-    pause = F.unix_micros(ts) - F.unix_micros(F.lag(ts).over(w))
-    rows = rows.withColumn("_joined", no(pause <= rule.gap * 1_000_000))
-    fires, names = [], []
-    for i, b in enumerate(rule.branches):
-        on = F.col(f"_c{i}")
-        rows = rows.withColumn(f"_s{i}", on & ~(F.col("_joined") & no(F.lag(on).over(w))))
-        rows = rows.withColumn(f"_b{i}", F.last(F.when(F.col(f"_s{i}"), F.unix_micros(ts)), ignorenulls=True).over(upto))
-        rows = rows.withColumn(f"_o{i}", no(on & (F.unix_micros(ts) - F.col(f"_b{i}") >= b.sustain * 1_000_000)))
-        rows = rows.withColumn(f"_f{i}", F.col(f"_o{i}") & (F.col(f"_s{i}") | ~no(F.lag(f"_o{i}").over(w))))
-        fires.append(F.col(f"_f{i}"))
-        names.append(F.when(F.col(f"_f{i}"), F.lit(b.name)))
-    fired = fires[0]
-    for f in fires[1:]:
-        fired = fired | f
-    rows = rows.withColumns({"fired": fired, "branch": F.coalesce(*names), "resolves": F.col("_res") & ~no(F.lag("_res").over(w))})
+    us = F.unix_micros(ts)
+    rows = rows.withColumn("_joined", no(us - F.lag(us).over(w) <= gap * 1_000_000))
+    names = [(n, i, b) for n, r in enumerate(rules) for i, b in enumerate(r.branches)]
+    rows = rows.withColumns(
+        {f"_s{n}_{i}": F.col(f"_c{n}_{i}") & ~(F.col("_joined") & no(F.lag(f"_c{n}_{i}").over(w))) for n, i, _ in names}
+    )
+    rows = rows.withColumns({f"_b{n}_{i}": F.last(F.when(F.col(f"_s{n}_{i}"), us), ignorenulls=True).over(upto) for n, i, _ in names})
+    rows = rows.withColumns({f"_o{n}_{i}": no(F.col(f"_c{n}_{i}") & (us - F.col(f"_b{n}_{i}") >= b.sustain * 1_000_000)) for n, i, b in names})
+    rows = rows.withColumns(
+        {f"_f{n}_{i}": F.col(f"_o{n}_{i}") & (F.col(f"_s{n}_{i}") | ~no(F.lag(f"_o{n}_{i}").over(w))) for n, i, _ in names}
+    )
+    out: dict[str, Column] = {}
+    for n, r in enumerate(rules):
+        fired = F.lit(False)
+        for i in range(len(r.branches)):
+            fired = fired | F.col(f"_f{n}_{i}")
+        out[f"fired{n}"] = fired
+        out[f"branch{n}"] = F.coalesce(*[F.when(F.col(f"_f{n}_{i}"), F.lit(b.name)) for i, b in enumerate(r.branches)])
+        out[f"resolves{n}"] = F.col(f"_res{n}") & ~no(F.lag(f"_res{n}").over(w))
+    rows = rows.withColumns(out)
+    happens = F.lit(False)
+    for n in range(len(rules)):
+        happens = happens | F.col(f"fired{n}") | F.col(f"resolves{n}")
     hidden = [c for c in rows.columns if c.startswith("_")]
-    return rows.filter((F.col("_chunk") == F.col("_home")) & (F.col("fired") | F.col("resolves"))).drop(*hidden)
+    return rows.filter((F.col("_chunk") == F.col("_home")) & happens).drop(*hidden)
+
+
+def _of_rule(events: DataFrame, n: int, rules: Sequence[Rule]) -> DataFrame:
+    """The rows of one rule of a pass, with plain column names."""
+    others = [f"{c}{m}" for m in range(len(rules)) if m != n for c in ("fired", "branch", "resolves")]
+    own = events.drop(*others).withColumnsRenamed({f"{c}{n}": c for c in ("fired", "branch", "resolves")})
+    return own.filter(F.col("fired") | F.col("resolves"))
+
+
+def rule_events(df: DataFrame, rule: Rule, ts: str = "timestamp", tie: Sequence[str] = (), carry: Sequence[str] = (), chunk: int = 21600) -> DataFrame:
+    """The pass for a single rule: ``fired``, ``branch``, ``resolves``."""
+    return _of_rule(rule_pass(df, [rule], ts, tie, carry, chunk), 0, [rule])
 
 
 def spaced(df: DataFrame, by: Sequence[str], ts: str, seconds: int, chunk: int = 86400) -> DataFrame:
@@ -183,13 +213,8 @@ def spaced(df: DataFrame, by: Sequence[str], ts: str, seconds: int, chunk: int =
     return df.withColumn("_t", t).join(times, [*by, "_t"], "left_semi").drop("_t")
 
 
-def fire(df: DataFrame, rule: Rule, ts: str = "timestamp", tie: Sequence[str] = (), carry: Sequence[str] = (), dedup: int = 300) -> DataFrame:
-    """Alerts of one rule after cooldown and duplicate suppression, with their resolve time.
-
-    The pass over the readings runs here, once: its few firing and resolving
-    rows are written out, and the later steps work on those.
-    """
-    events = cut(rule_events(df, rule, ts, tie, carry), "rule-events")
+def settle(events: DataFrame, rule: Rule, ts: str = "timestamp", tie: Sequence[str] = (), dedup: int = 300) -> DataFrame:
+    """Alerts from a rule's events: cooldown, duplicate suppression, resolve time."""
     alerts = spaced(events.filter("fired"), [rule.key], ts, rule.cooldown)
     if dedup > rule.cooldown:  # rows are already further apart otherwise
         alerts = spaced(alerts, [rule.key], ts, dedup)
@@ -203,6 +228,21 @@ def fire(df: DataFrame, rule: Rule, ts: str = "timestamp", tie: Sequence[str] =
     return alerts.withColumns({"rule": F.lit(rule.name), "severity": F.lit(rule.severity)})
 
 
+def fire(df: DataFrame, rule: Rule, ts: str = "timestamp", tie: Sequence[str] = (), carry: Sequence[str] = (), dedup: int = 300) -> DataFrame:
+    """Alerts of one rule with their resolve time.
+
+    The pass over the readings runs here, once: its few firing and resolving
+    rows are written out, and the later steps work on those.
+    """
+    return settle(cut(rule_events(df, rule, ts, tie, carry), "rule-events"), rule, ts, tie, dedup)
+
+
+def fire_all(df: DataFrame, rules: Sequence[Rule], ts: str = "timestamp", tie: Sequence[str] = (), dedup: int = 300) -> list[DataFrame]:
+    """Alerts of several rules of one source from a single pass over its readings."""
+    events = cut(rule_pass(df, rules, ts, tie), "rule-events")
+    return [settle(_of_rule(events, n, rules), r, ts, tie, dedup) for n, r in enumerate(rules)]
+
+
 def throttle(alerts: DataFrame, ts: str = "timestamp", key: str = "zone_id", per_key: int = 3, overall: int = 50) -> DataFrame:
     """Notification limits on clock hours: first per key, then over all keys.
 

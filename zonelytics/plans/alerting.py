@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from zonelytics.operators.joins import lookup
-from zonelytics.operators.rules import Rule, fire, throttle
+from zonelytics.operators.rules import Rule, fire_all, throttle
 
 # --- fixed values: rules as data -------------------------------------------------
 RULE_DATA = [
@@ -86,10 +86,17 @@ def equipment_with_readings(equipment: DataFrame, telemetry: DataFrame, config:
 
 
 def run_rules(sources: dict[str, DataFrame], rules: list[Rule], tie: tuple[str, ...] = ()) -> DataFrame:
-    """Alerts of several rules, limited together. ``sources`` maps rule names to their input."""
-    out = None
+    """Alerts of several rules, limited together. ``sources`` maps rule names to their input.
+
+    Rules given the same frame, key and interval share one pass over it.
+    """
+    passes: dict[tuple, list[Rule]] = {}
     for rule in rules:
         if rule.enabled:
-            one = fire(sources[rule.name], rule, tie=tie, dedup=DEDUP_SECONDS).select("rule", "severity", rule.key, "timestamp", "branch", "resolved_at")
+            passes.setdefault((id(sources[rule.name]), rule.key, rule.interval, rule.source_filter), []).append(rule)
+    out = None
+    for members in passes.values():
+        for rule, alerts in zip(members, fire_all(sources[members[0].name], members, tie=tie, dedup=DEDUP_SECONDS)):
+            one = alerts.select("rule", "severity", rule.key, "timestamp", "branch", "resolved_at")
             out = one if out is None else out.unionByName(one)
     return throttle(out, **LIMITS)

@@ -72,10 +72,10 @@ class RuleProcessor(StatefulProcessor):
 
 def rule_stream(df: DataFrame, rule: Rule, ts: str = "timestamp", tie: tuple[str, ...] = (), delay: str = DEFAULT_DELAY) -> DataFrame:
     """Append-only change log: ``fired`` rows, then a ``resolved`` row per alert when it ends."""
-    rows = evaluated(event_time(df, ts, delay), rule, ts, tie)
-    conditions = F.array(*[F.col(f"_c{i}") for i in range(len(rule.branches))])
+    rows = evaluated(event_time(df, ts, delay), [rule], ts, tie)
+    conditions = F.array(*[F.col(f"_c0_{i}") for i in range(len(rule.branches))])
     last = F.max_by(
-        F.struct(F.unix_micros(ts).alias("us"), conditions.alias("conditions"), F.col("_res").alias("resolved")),
+        F.struct(F.unix_micros(ts).alias("us"), conditions.alias("conditions"), F.col("_res0").alias("resolved")),
         F.struct(ts, *tie),
     )
     reduced = rows.groupBy(F.col(rule.key).alias("object_id"), F.window(ts, f"{rule.interval} seconds").alias("_w")).agg(last.alias("_r"))

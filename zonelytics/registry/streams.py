@@ -8,7 +8,7 @@ from zonelytics.plans import views
 from zonelytics.registry import cols, query
 from zonelytics.registry.events import LATEST, LATEST_EQ, _HOURLY_DIGITS, _HOURLY_SQL
 from zonelytics.registry.ops import _EQ, _TEMP, _NUTR, _resolved
-from zonelytics.session import work_dir
+from zonelytics.session import sized_state, work_dir
 from zonelytics.sources import sinks
 from zonelytics.sources.adapters import ADAPTERS, Tables
 from zonelytics.streaming import ingest
@@ -28,10 +28,13 @@ def live(t) -> Tables:
 def replay(t, df, mode="append"):
     """Run a stream to the end of its input and return what it wrote."""
     base = work_dir(t.spark, "stream")
+    with sized_state(t.spark):
+        if mode == "append":
+            ingest.write_files(df, f"{base}/out", f"{base}/ckpt").awaitTermination()
+        else:
+            ingest.write_batches(df, ingest.save_snapshot(f"{base}/out"), f"{base}/ckpt", mode).awaitTermination()
     if mode == "append":
-        ingest.write_files(df, f"{base}/out", f"{base}/ckpt").awaitTermination()
         return t.spark.read.schema(df.schema).parquet(f"{base}/out")
-    ingest.write_batches(df, ingest.save_snapshot(f"{base}/out"), f"{base}/ckpt", mode).awaitTermination()
     return ingest.newest_snapshot(t.spark, f"{base}/out")
 
 

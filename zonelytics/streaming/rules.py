@@ -9,9 +9,11 @@ state, closed interval by closed interval and therefore in time order.
 from __future__ import annotations
 
 import json
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -19,6 +21,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from zonelytics.operators.rules import Rule, evaluated
 from zonelytics.streaming.ingest import DEFAULT_DELAY, event_time
 
+# ship the processor itself to the workers, which need not have this package installed
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 class RuleProcessor(StatefulProcessor):
     """State per key: end of the last reading, start of each branch's run, last alert, open alerts."""

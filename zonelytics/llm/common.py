@@ -56,6 +56,15 @@ def ascii_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
+#: ASCII other than letters and digits separates words
+_TABLE = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in range(256))
+
+
+def plain_words(text: str | None) -> list[bytes]:
+    """Lower-cased words without ASCII punctuation, as UTF-8."""
+    return text.lower().encode("utf-8", "replace").translate(_TABLE).split() if text else []
+
+
 def word_keys(words: list[bytes]) -> np.ndarray:
     digest = xxhash.xxh3_64_intdigest
     return np.fromiter(map(digest, words), np.uint64, len(words))

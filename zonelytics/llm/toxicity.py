@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zonelytics.llm.common import Out, rows, written
+from zonelytics.llm.common import Out, plain_words, rows, written
 
 SCORES = "doc_id long, score double, predicted int, neighbours array<long>, similarities array<double>, terms array<string>"
 _ARROW = pa.schema(
@@ -19,13 +19,11 @@ _ARROW = pa.schema(
         ("neighbours", pa.list_(pa.int64())), ("similarities", pa.list_(pa.float64())), ("terms", pa.list_(pa.string())),
     ]
 )
-#: ASCII other than letters and digits separates words
-_TABLE = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in range(256))
 _PREFIXES = (3, 4, 5, 6)
 
 
 def words(text: str | None) -> list[str]:
-    return text.lower().encode("utf-8", "replace").translate(_TABLE).decode().split() if text else []
+    return b" ".join(plain_words(text)).decode().split(" ") if text else []
 
 
 def word_terms(word: str) -> list[str]:

@@ -143,3 +143,44 @@ def components(links: DataFrame) -> DataFrame:
                 pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
             )
         seen = now
+
+
+class BitTable:
+    """A set of 64-bit keys as a bit table of fixed size: no key is missed, some others pass.
+
+    Its size does not grow with the data, so it may be sent to every task: it thins out rows before
+    an exact shuffle join. ``of`` gathers it with a group-by, at most ``bits / 64`` rows of which reach
+    the driver.
+    """
+
+    def __init__(self, words: np.ndarray, bits: int):
+        self.words, self.bits = words, np.uint64(bits)
+
+    @classmethod
+    def of(cls, keys: DataFrame, bits: int = 1 << 26) -> BitTable:
+        """``keys``: one column of longs or of arrays of longs; NULLs are left out."""
+
+        def places(batches):
+            for batch in batches:
+                column = batch.column(0)
+                column = column.flatten() if pa.types.is_list(column.type) else column
+                h = np.asarray(column.drop_null()).astype(np.int64).view(np.uint64)
+                at = np.unique(np.concatenate(_places(h, np.uint64(bits))))
+                bit = (np.uint64(1) << (at & np.uint64(63))).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).view(np.int64)), pa.array(bit)], ["word", "bit"])
+
+        got = keys.mapInArrow(places, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+        words = np.zeros(bits >> 6, np.uint64)
+        words[np.asarray(got.column("word"))] = np.asarray(got.column("bits")).astype(np.int64).view(np.uint64)
+        return cls(words, bits)
+
+    def hit(self, h: np.ndarray) -> np.ndarray:
+        """Which of the keys may be in the set."""
+        out = np.ones(len(h), bool)
+        for p in _places(h, self.bits):
+            out &= (self.words[p >> np.uint64(6)] >> (p & np.uint64(63))) & np.uint64(1) > 0
+        return out
+
+
+def _places(h: np.ndarray, bits: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    return (h >> np.uint64(8)) % bits, (h * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(11)) % bits

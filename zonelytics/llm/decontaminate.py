@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zonelytics.llm.common import Out, mix, plain_words, rows, seeded, word_keys, written
+from zonelytics.llm.common import BitTable, Out, mix, plain_words, rows, seeded, word_keys, written
 
 #: 1: the token counts, 0: it may differ. Any 9 tokens with one substitution, 12 with two or 16 with three hold a hit of one of them.
 MASKS = ("111111", "11101011", "110110011", "1100101101")
@@ -31,10 +31,6 @@ def fresh(h: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
 
 
-def probes(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    return (h >> np.uint64(8)) % np.uint64(bits), (h * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(11)) % np.uint64(bits)
-
-
 def best_overlap(a: np.ndarray, b: np.ndarray, share: float) -> tuple[int, int, int]:
     """(start, length, matches) of the stretch of two aligned sequences whose matches exceed ``share`` by most; the first of equals."""
     same = (a == b).astype(np.float64)
@@ -79,23 +75,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS,
     items = known.dropDuplicates(["item"])
     pairs = items.select("item", F.explode(F.arrays_zip("seeds", "at")).alias("s")).select("item", F.col("s.seeds").alias("seed"), F.col("s.at").alias("item_at"))
 
-    def positions(batches):
-        for batch in batches:
-            h = np.asarray(batch.column(0).flatten()).view(np.uint64)
-            at = np.unique(np.concatenate(probes(h, filter_bits)))
-            bit = (np.uint64(1) << (at & np.uint64(63))).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).view(np.int64)), pa.array(bit)], ["word", "bit"])
-
-    table = np.zeros(filter_bits >> 6, np.uint64)
-    filled = items.select("seeds").mapInArrow(positions, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()  # at most filter_bits / 64 rows
-    table[np.asarray(filled.column("word"))] = np.asarray(filled.column("bits")).view(np.uint64)
-
-    def passing(h: np.ndarray) -> np.ndarray:
-        at = fresh(h)
-        for i in (0, 1):
-            p = probes(h[at], filter_bits)[i]
-            at = at[(table[p >> np.uint64(6)] >> (p & np.uint64(63))) & np.uint64(1) > 0]
-        return at
+    table = BitTable.of(items.select("seeds"), filter_bits)
 
     def stretches(batches):
         out = Out(pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("words", pa.list_(pa.int64())), ("seeds", pa.list_(pa.int64())), ("at", pa.list_(pa.int32()))]), 500)
@@ -104,7 +84,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS,
             hs, ats = [], []
             for m in masks:
                 h = seeds(words, m)
-                at = passing(h)
+                at = fresh(h)
+                at = at[table.hit(h[at])]
                 hs.append(h[at])
                 ats.append(at)
             at = np.concatenate(ats)

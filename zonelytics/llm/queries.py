@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonelytics.llm import decontaminate, packing, partenum, toxicity
+from zonelytics.llm import decontaminate, lineblocks, packing, partenum, pseudonyms, spans, spotsigs, toxicity
 from zonelytics.llm.common import crc_mod, table
 
 
@@ -13,6 +13,10 @@ def op1_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFra
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_spotsigs_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.edited_likeness(table(spark, sf_dir, "documents"))
+
+
 def op4_nearest_example_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(toxicity.labelled(docs, table(spark, sf_dir, "labels"), crc_mod("doc_id", 5) != 0))
@@ -20,6 +24,22 @@ def op4_nearest_example_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score", "predicted", "neighbours", "similarities", "terms")
 
 
+def op5_sentence_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.drop_repeats(table(spark, sf_dir, "documents"))
+
+
+#: stands for a secret that a deployment takes from its own key store
+KEY = "pseudonym key"
+
+
+def op7_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonyms.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), KEY)
+
+
+def op8_line_block_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lineblocks.main_text(table(spark, sf_dir, "pages"))
+
+
 def op9_partenum_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partenum.jaccard_groups(table(spark, sf_dir, "documents"), n=3, percent=90)
 
@@ -34,6 +54,12 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_spaced_seed_decontamination, op4_nearest_example_toxicity, op9_partenum_jaccard_join, op10_best_fit_packing)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_spaced_seed_decontamination, op2_spotsigs_fingerprints, op4_nearest_example_toxicity, op5_sentence_span_dedup, op7_feistel_pseudonyms,
+        op8_line_block_extraction, op9_partenum_jaccard_join, op10_best_fit_packing,
+    )
+}
 #: SQL for those that SQL expresses
 SQL: dict[str, str] = {}

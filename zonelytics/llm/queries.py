@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonelytics.llm import decontaminate, lineblocks, packing, partenum, pseudonyms, spans, spotsigs, toxicity
+from zonelytics.llm import decontaminate, langmix, lineblocks, maxent, packing, partenum, pseudonyms, spans, spotsigs, toxicity
 from zonelytics.llm.common import crc_mod, table
 
 
@@ -17,6 +17,13 @@ def op2_spotsigs_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.edited_likeness(table(spark, sf_dir, "documents"))
 
 
+def op3_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False))
+    found = langmix.identify(docs, langmix.fit(docs.where(~held_out)))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "languages", "proportions")
+
+
 def op4_nearest_example_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(toxicity.labelled(docs, table(spark, sf_dir, "labels"), crc_mod("doc_id", 5) != 0))
@@ -28,6 +35,13 @@ def op5_sentence_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.drop_repeats(table(spark, sf_dir, "documents"))
 
 
+def op6_hashed_maxent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(crc_mod("doc_id", 10) == 0, F.lit(False))
+    scored = maxent.score(docs, docs.where(~held_out))
+    return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 #: stands for a secret that a deployment takes from its own key store
 KEY = "pseudonym key"
 
@@ -57,8 +71,8 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_spaced_seed_decontamination, op2_spotsigs_fingerprints, op4_nearest_example_toxicity, op5_sentence_span_dedup, op7_feistel_pseudonyms,
-        op8_line_block_extraction, op9_partenum_jaccard_join, op10_best_fit_packing,
+        op1_spaced_seed_decontamination, op2_spotsigs_fingerprints, op3_language_mixture, op4_nearest_example_toxicity, op5_sentence_span_dedup,
+        op6_hashed_maxent_scores, op7_feistel_pseudonyms, op8_line_block_extraction, op9_partenum_jaccard_join, op10_best_fit_packing,
     )
 }
 #: SQL for those that SQL expresses

@@ -19,7 +19,7 @@ _ARROW = pa.schema(
         ("neighbours", pa.list_(pa.int64())), ("similarities", pa.list_(pa.float64())), ("terms", pa.list_(pa.string())),
     ]
 )
-_PREFIXES = (3, 4, 5, 6)
+_PREFIXES = (4, 5, 6)
 
 
 def words(text: str | None) -> list[str]:
@@ -36,9 +36,17 @@ def _counted(labelled: DataFrame, keep: frozenset[str] | None, schema: str = "te
 
     def count(batches):
         found = {0: Counter(), 1: Counter()}
+        known: dict[str, tuple[str, ...]] = {}
         for text, toxic in rows(batches, "text", "toxic"):
-            terms = {t for w in set(words(text)) for t in word_terms(w)}
-            found[toxic].update(terms if keep is None else terms & keep)
+            terms: set[str] = set()
+            for w in set(words(text)):
+                got = known.get(w)
+                if got is None:
+                    if len(known) > 500_000:
+                        known.clear()
+                    got = known[w] = tuple(t for t in word_terms(w) if keep is None or t in keep)
+                terms.update(got)
+            found[toxic].update(terms)
         for toxic, counts in found.items():
             items = list(counts.items())
             for at in range(0, len(items), 50_000):
@@ -159,12 +167,12 @@ def rising(toxic: np.ndarray, total: np.ndarray) -> np.ndarray:
     return np.repeat([t / n for t, n, _ in pools], [int(m) for *_, m in pools])
 
 
-def fit(labelled: DataFrame, max_examples: int = 20_000, max_terms: int = 4096, candidates: int = 100_000, least: int = 5, chi2: float = 30.0, k: int = 15, shrink: float = 0.5) -> Model:
+def fit(labelled: DataFrame, max_examples: int = 20_000, max_terms: int = 2048, candidates: int = 20_000, least: int = 5, chi2: float = 30.0, lift: float = 2.0, k: int = 15, shrink: float = 0.5) -> Model:
     """Learn from ``labelled(doc_id, text, toxic)``, rows with a toxic of 0 or 1.
 
     Terms are words and word beginnings. All labelled texts are counted; of the ``candidates`` terms
-    in most toxic documents (``least`` at least), those with a positive association of at least
-    ``chi2`` are kept, ``max_terms`` at most. Every labelled text becomes a TF-IDF vector over them;
+    in most toxic documents (``least`` at least), those are kept, ``max_terms`` at most, whose documents
+    are toxic ``lift`` times as often as all and whose association is at least ``chi2``. Every labelled text becomes a TF-IDF vector over them;
     equal vectors are one example with vote counts. ``max_examples`` distinct vectors, in order of a
     hash, are indexed: the bound of the sample and, with ``max_terms``, of what reaches the driver.
     Texts without any kept term vote together. Every labelled text is then scored without its own
@@ -173,16 +181,17 @@ def fit(labelled: DataFrame, max_examples: int = 20_000, max_terms: int = 4096,
     """
     sizes = {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     pos, neg = sizes.get(1, 0), sizes.get(0, 0)
-    toxic = _counted(labelled.where("toxic = 1"), None).where(F.col("n") >= least).orderBy(F.desc("n"), "term").limit(candidates).collect() if pos and neg else []
-    in_toxic = {r["term"]: r["n"] for r in toxic}
-    in_clean = {r["term"]: r["n"] for r in _counted(labelled.where("toxic = 0"), frozenset(in_toxic)).collect()} if in_toxic else {}
+    toxic = _counted(labelled.where("toxic = 1"), None).where(F.col("n") >= least).orderBy(F.desc("n"), "term").limit(candidates).select("term", "n").toArrow().to_pydict() if pos and neg else {}
+    in_toxic = dict(zip(*toxic.values(), strict=True)) if toxic else {}
+    clean = _counted(labelled.where("toxic = 0"), frozenset(in_toxic)).select("term", "n").toArrow().to_pydict() if in_toxic else {}
+    in_clean = dict(zip(*clean.values(), strict=True)) if clean else {}
     chosen = []
     for t, a in in_toxic.items():
         b = in_clean.get(t, 0)
         df = (a + b) / (pos + neg)
         gap = a / pos - b / neg
         score = gap * gap * pos * neg / (pos + neg) / max(df * (1 - df), 1e-12)
-        if gap > 0 and score >= chi2:
+        if score >= chi2 and a / (a + b) >= lift * pos / (pos + neg):
             chosen.append((-score, t, a + b))
     chosen = sorted(chosen)[:max_terms]
     terms = {t: (i, math.log((1 + pos + neg) / (1 + df)) + 1) for i, (_, t, df) in enumerate(chosen)}

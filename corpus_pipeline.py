@@ -3,10 +3,58 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from zonelytics.llm import decontaminate, packing, partenum, pseudonyms, toxicity
+from zonelytics.llm.common import table, written
+from zonelytics.llm.queries import KEY, tokenizer_path
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below 0.5 by their nearest labelled examples; all labels of ``sf_dir`` teach."""
+    labels = table(spark, sf_dir, "labels")
+    return toxicity.clean(docs, toxicity.fit(toxicity.labelled(docs, labels, F.lit(True))))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of five-word shingle sets of similarity 0.8 or more."""
+    return partenum.one_of_each(docs, n=5, percent=80)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that overlap with no item of ``benchmark``."""
+    found = written(decontaminate.leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "contaminated")
+    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+
+
+def hide_personal_values(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal values become pseudonyms; ``n_chars`` follows the new text."""
+    new = pseudonyms.pseudonymise(docs, KEY).drop("n_replaced")
+    if "n_chars" in docs.columns:
+        new = new.withColumn("n_chars", F.when(F.col("text") == "", F.col("n_chars")).otherwise(F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars"))))
+    return new.select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token windows of 2048, one row per piece of a document."""
+    return packing.pack(docs, tokenizer_path())
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("n-gram Jaccard join", drop_near_duplicates),
+    ("benchmark decontamination", drop_contaminated),
+    ("PII", hide_personal_values),
+    ("packing", pack),
+]
+
+#: votes, signatures, seeds and tokens are beyond SQL; tests/llm compares run() with a brute-force version
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Apply the stages to ``documents``."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

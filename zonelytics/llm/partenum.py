@@ -224,3 +224,16 @@ def jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80, block_sets: i
     flat = members.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left").withColumn("component", F.coalesce("component", "set_key"))
     smallest = flat.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("least"))
     return flat.join(smallest, "component", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one document of each class: the one of the smallest doc_id, and of equal rows one.
+
+    All columns are kept. Rows without doc_id cannot be told apart and stay; rows that share a doc_id share its fate.
+    """
+    groups = jaccard_groups(docs, n, percent)
+    gone = written(groups.where("doc_id <> component_id").select("doc_id").distinct(), "near-duplicates")
+    left = docs.join(gone, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    order = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0))
+    again = F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (F.col("__copy") > 1)
+    return left.withColumn("__copy", F.row_number().over(order)).where(~again).drop("__copy")

@@ -263,3 +263,14 @@ def labelled(docs: DataFrame, labels: DataFrame, learn) -> DataFrame:
     """
     one = labels.where(learn).where("toxic is not null and doc_id is not null").groupBy("doc_id").agg((F.avg(F.col("toxic").cast("double")) > 0.5).cast("int").alias("toxic"))
     return written(docs.where(learn).select("doc_id", "text").join(one, "doc_id"), "labelled")
+
+
+def clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text scores below ``threshold``."""
+
+    def keep(batches):
+        for batch in batches:
+            fine = [model.vote(model.vector(text))[0] < threshold for (text,) in rows([batch], "text")]
+            yield batch.filter(pa.array(fine, pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +38,7 @@ def crc_mod(column: str, modulus: int):
     return F.crc32(F.col(column).cast("string")) % modulus
 
 
+@cache
 def seeded(text: str) -> np.uint64:
     """A fixed odd 64-bit constant named by ``text``."""
     return np.uint64(xxhash.xxh3_64_intdigest(text.encode()) | 1)
@@ -76,10 +78,10 @@ def shingle_keys(words: np.ndarray, n: int) -> np.ndarray:
     if n == 0:
         return words
     m = len(words) - n + 1
-    h = np.full(m, n, np.uint64)
+    h = np.full(m, seeded(f"{n} words"))
     for i in range(n):
-        h = mix(h * np.uint64(0x9FB21C651E98DF25) + words[i : i + m])
-    return np.unique(h)
+        h += words[i : i + m] * seeded(f"word {i}")
+    return np.unique(mix(h))
 
 
 def set_key(keys: np.ndarray) -> int:

@@ -19,11 +19,11 @@ def seeds(words: np.ndarray, mask: str) -> np.ndarray:
     n = len(words) - len(mask) + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    h = np.full(n, seeded(mask))
+    h = np.zeros(n, np.uint64)
     for i, c in enumerate(mask):
         if c == "1":
-            h = mix(h * np.uint64(0x9FB21C651E98DF25) + words[i : i + n])
-    return h
+            h += words[i : i + n] * seeded(f"{mask} {i}")
+    return mix(h)
 
 
 def fresh(h: np.ndarray) -> np.ndarray:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 ROUNDS = 8
 
 _EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}\.)+[A-Za-z]{2,24}(?![A-Za-z0-9])"
-_IP = r"\d{1,3}(?:\.\d{1,3}){3}(?![0-9A-Za-z]|\.\d)"
+_IP = r"(?<!\d\.)\d{1,3}(?:\.\d{1,3}){3}(?![0-9A-Za-z]|\.\d)"
 _DATE = r"(?:\d{4}-\d{2}-\d{2}|\d{2}[./]\d{2}[./]\d{4})(?![0-9A-Za-z]|[./-]\d)"
 _SSN = r"\d{3}-\d{2}-\d{4}(?![0-9A-Za-z]|-\d)"
 _IBAN = r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z])"

@@ -89,7 +89,7 @@ def test_csv_messages_and_history(spark):
 
 def test_json_array_document(spark, tmp_path):
     (tmp_path / "h.json").write_text('[{"anomaly_id": "a", "zone_ids": ["z"]}, {"anomaly_id": "b", "zone_ids": []}]')
-    assert [r["anomaly_id"] for r in readers.read_history(spark, str(tmp_path / "h.json")).collect()] == ["a", "b"]
+    assert [r["anomaly_id"] for r in readers.read_history(spark, str(tmp_path / "h.json"), array=True).collect()] == ["a", "b"]
 
 
 def test_json_mapping_is_lenient_per_field_and_rejects_non_objects(spark):

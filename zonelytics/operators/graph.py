@@ -10,7 +10,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from zonelytics.operators.joins import join_null_safe
 from zonelytics.session import work_dir
 
 
@@ -74,33 +76,34 @@ def paths(nodes: DataFrame, edges: DataFrame, start: Column, min_hops: int = 1,
     return found.join(source, "source_id").join(target, "target_id").drop("_path")
 
 
-def reachable(edges: DataFrame, start: DataFrame, max_hops: int = 20, reverse: bool = False) -> DataFrame:
+def reachable(edges: DataFrame, start: DataFrame, reverse: bool = False, max_hops: int | None = None) -> DataFrame:
     """Shortest hop count from each start node to every node it reaches (``start`` has one column ``node_id``).
 
-    Breadth-first by joins on the new frontier only; lineage is cut through a
-    written table every few hops. Stops when a hop finds nothing new.
+    Breadth-first by joins on the new frontier only. Every hop is written to a
+    folder of its own and what has been seen is read back from all of them, so
+    the plan stays as small however long the chains are. It ends when a hop finds
+    nothing new, or after ``max_hops`` where a bound is asked for.
     """
     spark = edges.sparkSession
     a, b = ("dst", "src") if reverse else ("src", "dst")
     step = edges.select(F.col(a).alias("_at"), F.col(b).alias("_next")).distinct()
     base = work_dir(spark, "reach")
-    seen = start.select(F.col("node_id").alias("source_id"), F.col("node_id").alias("node_id"), F.lit(0).alias("hops"))
-    frontier = seen
-    for hop in range(1, max_hops + 1):
-        nxt = (
+    frontier = start.select(F.col("node_id").alias("source_id"), F.col("node_id").alias("node_id")).distinct()
+    kinds, hop = frontier.schema, 0
+    while True:
+        path = f"{base}/hops={hop}"
+        frontier.write.parquet(path)
+        frontier = spark.read.schema(kinds).parquet(path)
+        seen = spark.read.schema(T.StructType([*kinds.fields, T.StructField("hops", T.IntegerType())])).parquet(base)
+        if frontier.isEmpty() or hop == max_hops:
+            return seen.filter("hops > 0")
+        hop += 1
+        frontier = (
             frontier.join(step, F.col("node_id") == F.col("_at"))
             .select("source_id", F.col("_next").alias("node_id"))
             .distinct()
             .join(seen.select("source_id", "node_id"), ["source_id", "node_id"], "left_anti")
-            .withColumn("hops", F.lit(hop))
         )
-        path = f"{base}/hop={hop}"
-        nxt.write.parquet(path)
-        frontier = spark.read.parquet(path)
-        if frontier.isEmpty():
-            break
-        seen = seen.unionByName(frontier)
-    return seen.filter("hops > 0")
 
 
 def derived_edges(parts: DataFrame, owner: str, label: str) -> DataFrame:
@@ -108,17 +111,18 @@ def derived_edges(parts: DataFrame, owner: str, label: str) -> DataFrame:
     return parts.select(F.concat(F.lit("zone:"), F.col(owner)).alias("src"), F.col("node_id").alias("dst"), F.lit(label).alias("label"))
 
 
-def adjacency(items: DataFrame, site: str, order: str, node_id: str = "node_id", label: str = "adjacent_to", chunk: Column | None = None) -> DataFrame:
-    """Neighbours in order within a site, in both directions.
+def adjacency(items: DataFrame, site: str, order: str, chunk: Column, node_id: str = "node_id", label: str = "adjacent_to") -> DataFrame:
+    """Neighbours in order within a site, in both directions; items without a site are neighbours, too.
 
     ``chunk``, a number growing with ``order``, splits a large site: the last
     item of a chunk is linked to the first one of the next.
     """
-    rows = items.withColumn("_chunk", chunk if chunk is not None else F.lit(0))
+    rows = items.withColumn("_chunk", chunk)
     heads = rows.groupBy(site, "_chunk").agg(F.min_by(node_id, order).alias("_head"))
     carry = heads.select(site, "_chunk", F.lead("_head").over(Window.partitionBy(site).orderBy("_chunk")).alias("_carry"))
     inside = Window.partitionBy(site, "_chunk").orderBy(order)
-    linked = rows.withColumn("_next", F.lead(node_id).over(inside)).join(carry, [site, "_chunk"])
+    linked = rows.withColumn("_next", F.lead(node_id).over(inside))
+    linked = join_null_safe(linked, carry, [site, "_chunk"])
     pairs = linked.select(F.col(node_id).alias("a"), F.coalesce("_next", "_carry").alias("b")).filter("b IS NOT NULL")
     both = F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst")))
     return pairs.select(F.inline(both)).withColumn("label", F.lit(label))

@@ -17,6 +17,13 @@ def lookup(left: DataFrame, right: DataFrame, on: Sequence[str] | str, how: str
     return left.join(right.drop(*clash), on, how)
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which NULL keys meet NULL keys; the left copy of the keys is kept."""
+    l, r = left.alias("_l"), right.withColumnsRenamed({k: f"_right_{k}" for k in on}).alias("_r")
+    same = [F.col(f"_l.`{k}`").eqNullSafe(F.col(f"_r.`_right_{k}`")) for k in on]
+    return l.join(r, same, how).drop(*[f"_right_{k}" for k in on])
+
+
 def lookup_keys(left: DataFrame, right: DataFrame, pairs: dict[str, str], how: str = "left") -> DataFrame:
     """Equi-join on differently named keys; the right keys and clashing columns are dropped."""
     renamed = right

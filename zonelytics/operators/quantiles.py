@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from zonelytics.operators.joins import join_null_safe
+
 
 def exact_quantile(df: DataFrame, value: str, q: float, by: Sequence[str] = (), name: str = "quantile") -> DataFrame:
     """Linearly interpolated quantile per group without holding a group in one task.
@@ -37,7 +39,7 @@ def exact_quantile(df: DataFrame, value: str, q: float, by: Sequence[str] = (),
         ((F.col("_lo") >= F.col("_before")) & (F.col("_lo") < F.col("_before") + F.col("_hc")))
         | ((F.col("_hi") >= F.col("_before")) & (F.col("_hi") < F.col("_before") + F.col("_hc")))
     )
-    near = counted.join(wanted.drop("_hc", "_n"), [*keys, "_b"])
+    near = join_null_safe(counted, wanted.drop("_hc", "_n"), [*keys, "_b"])
     inside = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     near = near.withColumn("_end", F.col("_before") + F.sum("_c").over(inside))
     holds = lambda r: (F.col(r) < F.col("_end")) & (F.col(r) >= F.col("_end") - F.col("_c"))

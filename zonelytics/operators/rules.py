@@ -168,9 +168,11 @@ def rule_events(df: DataFrame, rule: Rule, ts: str = "timestamp", tie: Sequence[
     return _of_rule(rule_pass(df, [rule], ts, tie, carry, chunk), 0, [rule])
 
 
-def spaced(df: DataFrame, by: Sequence[str], ts: str, seconds: int, chunk: int = 86400) -> DataFrame:
+def spaced(df: DataFrame, by: Sequence[str], ts: str, seconds: int, chunk: int = 86400, tie: Sequence[str] = ()) -> DataFrame:
     """Greedy thinning: a row stays when it is at least ``seconds`` after the last row kept before it.
 
+    Of several rows of a key at one kept instant the first by ``tie`` stays (without it: by all columns).
+
     Exact without gathering a key's history. Per (key, day) the times (at most
     one per evaluation interval) are folded once for every time that could be
     the day's first pick, i.e. those in its first ``seconds`` and the next one;
@@ -210,14 +212,17 @@ def spaced(df: DataFrame, by: Sequence[str], ts: str, seconds: int, chunk: int =
     out0 = F.array("_first")
     grow = lambda acc, x: F.when(x >= F.element_at(acc, -1) + gap, F.concat(acc, F.array(x))).otherwise(acc)
     times = kept.select(*by, F.explode(F.aggregate("_times", out0, grow)).alias("_t"))
-    return df.withColumn("_t", t).join(times, [*by, "_t"], "left_semi").drop("_t")
+    kept = df.withColumn("_t", t).join(times, [*by, "_t"], "left_semi")
+    order = [F.col(c) for c in tie] or [F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])]
+    one = Window.partitionBy(*by, "_t").orderBy(*order)
+    return kept.withColumn("_n", F.row_number().over(one)).filter("_n = 1").drop("_t", "_n")
 
 
 def settle(events: DataFrame, rule: Rule, ts: str = "timestamp", tie: Sequence[str] = (), dedup: int = 300) -> DataFrame:
     """Alerts from a rule's events: cooldown, duplicate suppression, resolve time."""
-    alerts = spaced(events.filter("fired"), [rule.key], ts, rule.cooldown)
+    alerts = spaced(events.filter("fired"), [rule.key], ts, rule.cooldown, tie=tie)
     if dedup > rule.cooldown:  # rows are already further apart otherwise
-        alerts = spaced(alerts, [rule.key], ts, dedup)
+        alerts = spaced(alerts, [rule.key], ts, dedup, tie=tie)
     alerts = alerts.drop("fired", "resolves", *tie)
     if rule.resolve:
         ends = events.filter("resolves").select(rule.key, F.col(ts).alias("_at"), ts)
@@ -244,30 +249,30 @@ def fire_all(df: DataFrame, rules: Sequence[Rule], ts: str = "timestamp", tie: S
 
 
 def throttle(alerts: DataFrame, ts: str = "timestamp", key: str = "zone_id", per_key: int = 3, overall: int = 50) -> DataFrame:
-    """Notification limits on clock hours: first per key, then over all keys.
+    """Notification limits on clock hours: first per key, then over all keys; at one instant by rule, branch and alert id.
 
     Both ranks are limits, so Spark cuts each task's rows before the exchange;
     the overall hour group receives at most ``overall`` rows per task.
     """
     hour = F.date_trunc("hour", ts)
-    own = Window.partitionBy(key, hour).orderBy(ts, "rule")
+    last = ["rule", *[c for c in ("branch", "alert_id") if c in alerts.columns]]
+    own = Window.partitionBy(key, hour).orderBy(ts, *last)
     some = alerts.withColumn("_n", F.row_number().over(own)).filter(F.col("_n") <= per_key)
-    every = Window.partitionBy(hour).orderBy(ts, key, "rule")
+    every = Window.partitionBy(hour).orderBy(ts, key, *last)
     return some.withColumn("_n", F.row_number().over(every)).filter(F.col("_n") <= overall).drop("_n")
 
 
 def escalate(alerts: DataFrame, acks: DataFrame, as_of: AsOf = None, delay_minutes: int = 30, ts: str = "timestamp", key: str = "zone_id") -> DataFrame:
-    """Critical alerts nobody acknowledged within the delay. ``acks`` holds (key, rule, ack_time)."""
+    """Critical alerts nobody acknowledged within the delay. ``acks`` holds (key, rule, ack_time).
+
+    Each alert meets only the next acknowledgement of its key and rule.
+    """
     now = as_of_col(alerts, as_of, ts)
     wait = F.expr(f"INTERVAL {int(delay_minutes)} MINUTE")
     due = alerts.filter((F.col("severity") == "critical") & (F.col(ts) + wait <= now))
-    a, k = due.alias("a"), acks.alias("k")
-    late = a.join(
-        k,
-        (F.col(f"a.{key}") == F.col(f"k.{key}")) & (F.col("a.rule") == F.col("k.rule"))
-        & (F.col("k.ack_time") >= F.col(f"a.{ts}")) & (F.col("k.ack_time") <= F.col(f"a.{ts}") + wait),
-        "left_anti",
-    )
+    answers = acks.select(key, "rule", F.col("ack_time").alias(ts)).distinct()
+    paired = asof_join(due, answers, [key, "rule"], ts, direction="forward", chunk=86400, prefix="_ack_")
+    late = paired.filter(F.col(f"_ack_{ts}").isNull() | (F.col(f"_ack_{ts}") > F.col(ts) + wait)).drop(f"_ack_{ts}")
     return late.withColumn("escalated_at", F.col(ts) + wait)
 
 

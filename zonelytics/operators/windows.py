@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from zonelytics.operators.joins import join_null_safe
+
 
 def rolling_mean(df: DataFrame, columns: Sequence[str], by: Sequence[str], order: str, rows: int = 7, suffix: str | None = None) -> DataFrame:
     """Mean of the last ``rows`` rows per key, starting with the first row."""
@@ -34,7 +36,7 @@ def share_of_total(df: DataFrame, value: str, by: Sequence[str] = (), name: str
     """
     if by:
         totals = df.groupBy(*by).agg(F.sum(value).alias("_total"))
-        out = df.join(totals, list(by))
+        out = join_null_safe(df, totals, by)
         return out.withColumn(name, F.try_divide(F.col(value), F.col("_total"))).drop("_total")
     return df.withColumn(name, F.try_divide(F.col(value), df.agg(F.sum(value).alias("t")).scalar()))
 
@@ -51,5 +53,6 @@ def running_total(df: DataFrame, value: str, by: Sequence[str], order: Sequence[
     before = Window.partitionBy(*by).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*by, "_chunk", F.coalesce(F.sum("_sum").over(before), F.lit(0.0)).alias("_offset"))
     inside = Window.partitionBy(*by, "_chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    out = rows.withColumn("_local", F.coalesce(F.sum(value).over(inside), F.lit(0.0))).join(offsets, [*by, "_chunk"])
+    out = rows.withColumn("_local", F.coalesce(F.sum(value).over(inside), F.lit(0.0)))
+    out = join_null_safe(out, offsets, [*by, "_chunk"])
     return out.withColumn(name, F.col("_offset") + F.col("_local")).drop("_chunk", "_local", "_offset")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from zonelytics.functions import formulas as fm
 from zonelytics.functions.timebins import day_of_week_mon0
+from zonelytics.operators.joins import join_null_safe
 from zonelytics.operators.quantiles import exact_quantile
 from zonelytics.operators.windows import rolling_mean
 from zonelytics.sources.readers import with_default
@@ -102,7 +103,7 @@ def class_weights(df: DataFrame, label: str = "anomaly_type") -> DataFrame:
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_size"))
     totals = sizes.agg(F.sum("_size").alias("n"), F.count(F.lit(1)).alias("k"))
     weight = totals.select("n").scalar() / (totals.select("k").scalar() * F.col("_size"))
-    return df.join(sizes.select(label, weight.alias("weight")), label)
+    return join_null_safe(df, sizes.select(label, weight.alias("weight")), [label])
 
 
 # --- splits --------------------------------------------------------------------------
@@ -121,7 +122,7 @@ def stratified(df: DataFrame, keys: Sequence[str], label: str, train: float = 0.
     """
     rows = df.withColumn("_u", fm.unit_hash(*keys, F.lit(seed)))
     cut = exact_quantile(rows, "_u", train, [label], "_cut")
-    return rows.join(cut, label).withColumn("is_train", F.col("_u") < F.col("_cut")).drop("_u", "_cut")
+    return join_null_safe(rows, cut, [label]).withColumn("is_train", F.col("_u") < F.col("_cut")).drop("_u", "_cut")
 
 
 def folds(df: DataFrame, keys: Sequence[str], k: int = 5, seed: int = 42, name: str = "fold") -> DataFrame:

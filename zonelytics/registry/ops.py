@@ -23,11 +23,13 @@ ADAPTERS["o_nutrient_rows"] = """
   SELECT s.timestamp, s.zone_id, s.event_id, abs(substrate_ph - target_ph) > 0.5e0 AND abs(substrate_ec - target_ec) > 0.3e0 AS cond,
     abs(substrate_ph - target_ph) <= 0.2e0 AND abs(substrate_ec - target_ec) <= 0.15e0 AS res
   FROM telemetry s JOIN zone_config c ON c.zone_id = s.zone_id"""
+ADAPTERS["o_equipment_near"] = """
+  SELECT e.*, s.air_temperature, s.substrate_moisture FROM equipment e LEFT JOIN telemetry s ON s.zone_id = e.zone_id AND s.timestamp > e.timestamp - INTERVAL 30 SECOND AND s.timestamp < e.timestamp + INTERVAL 30 SECOND
+    QUALIFY row_number() OVER (PARTITION BY e.event_id ORDER BY abs(epoch_us(s.timestamp) - epoch_us(e.timestamp)), s.timestamp, CASE WHEN s.timestamp <= e.timestamp THEN -s.event_id ELSE s.event_id END) = 1"""
 ADAPTERS["o_equipment_rows"] = """
   SELECT e.timestamp, e.zone_id, e.event_id, heating_output = 0 AND air_temperature < target_temperature - 2 AS heat, irrigation_pump AND irrigation_flow = 0 AS water,
     (heating_output > 0 OR air_temperature >= target_temperature - 1) AND (NOT irrigation_pump OR irrigation_flow > 0) AS res
-  FROM equipment e JOIN telemetry s ON s.zone_id = e.zone_id AND time_bucket(INTERVAL 30 SECOND, s.timestamp) = time_bucket(INTERVAL 30 SECOND, e.timestamp)
-  JOIN zone_config c ON c.zone_id = e.zone_id"""
+  FROM o_equipment_near e LEFT JOIN zone_config c ON c.zone_id = e.zone_id"""
 ADAPTERS["o_cold_rows"] = """
   SELECT timestamp, zone_id, alert_id AS event_id, anomaly_score > 0.3e0 AS cond, false AS res FROM alerts WHERE alert_type = 'cold-chain-break'"""
 
@@ -57,6 +59,9 @@ _OUT = ["zone_id", "timestamp", "resolved_at"]
 _TEMP = _cooled(_fires("o_temp_rows", 120, 30), 900)
 _NUTR = _cooled(_fires("o_nutrient_rows", 180, 30), 1200)
 _EQ = _cooled(f"(SELECT * FROM {_fires('(SELECT *, heat AS cond FROM o_equipment_rows)', 90, 30)} UNION SELECT * FROM {_fires('(SELECT *, water AS cond FROM o_equipment_rows)', 60, 30)})", 600)
+ADAPTERS["o_cold_shipped_rows"] = """
+  SELECT timestamp, zone_id, alert_id AS event_id, anomaly_score > 0.7e0 AS cond, false AS res FROM alerts WHERE alert_type = 'cold-chain-break'"""
+_COLD_SHIPPED = _cooled(_fires("o_cold_shipped_rows", 0, 60), 300)
 _COLD = _cooled(_fires("o_cold_rows", 0, 60), 300)
 
 
@@ -116,6 +121,44 @@ def _(t):
     return ru.spaced(t.alerts, ["zone_id"], "timestamp", al.DEDUP_SECONDS).select("zone_id", "timestamp")
 
 
+@query("rul10_duplicate_instants", f"""
+  SELECT k.zone_id, k.timestamp, min(t.event_id) AS event_id FROM {_cooled('(SELECT zone_id, timestamp FROM telemetry_sparse)', 7200)} k
+  JOIN telemetry_sparse t ON t.zone_id = k.zone_id AND t.timestamp = k.timestamp GROUP BY ALL""")
+def _(t):
+    """Every row twice, the copy with a higher id: one row per kept instant stays, the first by id."""
+    twice = t.telemetry_sparse.unionByName(t.telemetry_sparse.withColumn("event_id", F.col("event_id") + 1_000_000_000))
+    return ru.spaced(twice, ["zone_id"], "timestamp", 7200, tie=TIE).select("zone_id", "timestamp", "event_id")
+
+
+@query("rul2_equipment_across_bins", """
+  SELECT e.event_id, e.timestamp, e.zone_id, s.air_temperature FROM (SELECT event_id, zone_id, timestamp + INTERVAL 29 SECOND AS timestamp FROM equipment) e
+  LEFT JOIN telemetry s ON s.zone_id = e.zone_id AND s.timestamp > e.timestamp - INTERVAL 30 SECOND AND s.timestamp < e.timestamp + INTERVAL 30 SECOND
+  QUALIFY row_number() OVER (PARTITION BY e.event_id ORDER BY abs(epoch_us(s.timestamp) - epoch_us(e.timestamp)), s.timestamp, CASE WHEN s.timestamp <= e.timestamp THEN -s.event_id ELSE s.event_id END) = 1""")
+def _(t):
+    """Equipment 29 seconds late: the nearest reading often lies in the next half minute; rows without one stay."""
+    late = t.equipment.withColumn("timestamp", F.col("timestamp") + F.expr("INTERVAL 29 SECONDS"))
+    return al.equipment_with_readings(late, t.telemetry, t.zone_config).select("event_id", "timestamp", "zone_id", "air_temperature")
+
+
+@query("rul4_cold_chain_shipped", f"SELECT zone_id, timestamp, CAST(NULL AS TIMESTAMP) AS resolved_at FROM {_COLD_SHIPPED}")
+def _(t):
+    return ru.fire(t.alerts, al.COLD_CHAIN, tie=("alert_id",)).select(*_OUT)
+
+
+@query("rul13_all_actions", """
+  SELECT rule, CAST(n AS INT) AS action_no, CASE n WHEN 1 THEN 'TeamsNotification' WHEN 2 THEN 'Email' ELSE 'NotebookTrigger' END AS action_type, count(*) AS alerts
+  FROM (SELECT CASE alert_id % 4 WHEN 0 THEN 'Temperature Deviation Alert' WHEN 1 THEN 'Equipment Offline While Needed' WHEN 2 THEN 'Nutrient Drift' ELSE 'Cold Chain Temperature Exceedance' END AS rule
+    FROM (SELECT CAST(substr(alert_id, 2) AS BIGINT) AS alert_id FROM (SELECT concat('A', CAST(event_id AS VARCHAR)) AS alert_id FROM telemetry_sparse))), (VALUES (1), (2), (3)) v(n) GROUP BY ALL""")
+def _(t):
+    """All twelve actions of the shipped rules, over rows dealt to the rules by id."""
+    names, made = list(al.RULES), None
+    for n, rule in enumerate(al.RULES.values()):
+        rows = ru.action_rows(t.telemetry_sparse.filter(F.col("event_id") % 4 == n).withColumn("branch", F.lit(rule.name)), rule)
+        one = rows.groupBy("action_no", "action_type").agg(F.count(F.lit(1)).alias("alerts")).select(F.lit(names[n]).alias("rule"), "action_no", "action_type", "alerts")
+        made = one if made is None else made.unionByName(one)
+    return made
+
+
 @query("rul11_throttle", """
   WITH a AS (SELECT alert_id, zone_id, timestamp, alert_type AS rule, date_trunc('hour', timestamp) AS h FROM alerts QUALIFY row_number() OVER (PARTITION BY zone_id, h ORDER BY timestamp, rule) <= 1)
   SELECT alert_id, zone_id, timestamp FROM a QUALIFY row_number() OVER (PARTITION BY h ORDER BY timestamp, zone_id, rule) <= 2""")
@@ -152,13 +195,15 @@ def _(t):
 
 
 @query("rul_all_limited", f"""
-  WITH a AS (SELECT 'Temperature Deviation Alert' AS rule, * FROM {_TEMP} UNION ALL SELECT 'Equipment Offline While Needed', * FROM {_EQ} UNION ALL SELECT 'Nutrient Drift', * FROM {_NUTR}),
+  WITH a AS (SELECT 'Temperature Deviation Alert' AS rule, * FROM {_TEMP} UNION ALL SELECT 'Equipment Offline While Needed', * FROM {_EQ} UNION ALL SELECT 'Nutrient Drift', * FROM {_NUTR}
+    UNION ALL SELECT 'Cold Chain Temperature Exceedance', * FROM {_COLD}),
   z AS (SELECT *, date_trunc('hour', timestamp) AS h FROM a QUALIFY row_number() OVER (PARTITION BY zone_id, date_trunc('hour', timestamp) ORDER BY timestamp, rule) <= 3)
   SELECT rule, zone_id, timestamp FROM z QUALIFY row_number() OVER (PARTITION BY h ORDER BY timestamp, zone_id, rule) <= 50""")
 def _(t):
     src = temperature_source(t)
-    sources = {al.TEMPERATURE.name: src, al.NUTRIENT.name: src, al.EQUIPMENT_OFFLINE.name: al.equipment_with_readings(t.equipment, t.telemetry, t.zone_config)}
-    return al.run_rules(sources, [al.TEMPERATURE, al.EQUIPMENT_OFFLINE, al.NUTRIENT], TIE).select("rule", "zone_id", "timestamp")
+    cold = t.alerts.withColumn("event_id", F.col("alert_id"))
+    sources = {al.TEMPERATURE.name: src, al.NUTRIENT.name: src, al.EQUIPMENT_OFFLINE.name: al.equipment_with_readings(t.equipment, t.telemetry, t.zone_config), al.COLD_CHAIN.name: cold}
+    return al.run_rules(sources, [al.TEMPERATURE, al.EQUIPMENT_OFFLINE, al.NUTRIENT, cold_rule()], TIE).select("rule", "zone_id", "timestamp")
 
 
 @query("fn_daily_ids", """
@@ -234,7 +279,7 @@ def _(t):
 
 @query("gr8_dependency_closure", """
   WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM graph_edges WHERE label <> 'adjacent_to'),
-  p AS (SELECT src AS source_id, dst AS node_id, 1 AS hops FROM e WHERE src = 'r:2' UNION SELECT source_id, e.dst, hops + 1 FROM p JOIN e ON e.src = p.node_id WHERE hops < 20)
+  p AS (SELECT src AS source_id, dst AS node_id, 1 AS hops FROM e WHERE src = 'r:2' UNION SELECT source_id, e.dst, hops + 1 FROM p JOIN e ON e.src = p.node_id)
   SELECT source_id, node_id, min(hops) AS hops FROM p GROUP BY ALL""")
 def _(t):
     start = t.graph_nodes.filter("node_id = 'r:2'").select("node_id")

@@ -319,6 +319,14 @@ def _(t):
     return change(t.env_daily, "avg_temp", ["zone_id"], "date").select("date", "zone_id", "avg_temp", "previous_avg_temp", "change")
 
 
+@query("wn7_share_null_group", """
+  SELECT l_orderkey, l_linenumber, l_extendedprice / sum(l_extendedprice) OVER (PARTITION BY nullif(l_returnflag, 'R')) AS share FROM lineitem""", cols("share", 9))
+def _(t):
+    """Rows whose group is NULL are a group."""
+    rows = t.lineitem.withColumn("flag", F.nullif("l_returnflag", F.lit("R")))
+    return share_of_total(rows, "l_extendedprice", ["flag"]).select("l_orderkey", "l_linenumber", "share")
+
+
 @query("wn7_share_of_total", """
   SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice / sum(l_extendedprice) OVER (PARTITION BY l_returnflag) AS share FROM lineitem""", cols("share", 12))
 def _(t):

@@ -184,6 +184,15 @@ def _(t):
     return readers.from_json_mapping(t.events.select("event_id", broken.alias("value")), {"k": ("$.k", "int")})[1]
 
 
+@query("src7_leading_white_space", "SELECT event_id, CAST(json_extract(props, '$.k') AS INT) AS k FROM events")
+def _(t):
+    """Objects behind line breaks and tabs are objects."""
+    padded = F.concat(F.element_at(F.array(F.lit("\n"), F.lit("\t "), F.lit("\r\n"), F.lit("")), (F.col("event_id") % 4 + 1).cast("int")), F.col("props"))
+    rows = t.events.select(F.to_json(F.struct("event_id", F.get_json_object("props", "$.k").alias("k"))).alias("value"), "event_id", "props")
+    first = readers.from_json_mapping(rows.select(F.concat(F.regexp_extract(padded, r"^\s*", 0), F.col("value")).alias("value")), {"event_id": ("$.event_id", "bigint"), "k": ("$.k", "int")})
+    return first[0]
+
+
 @query("src7_payload_field", "SELECT CAST(json_extract(props, '$.k') AS INT) AS k, count(*) AS n FROM events GROUP BY ALL")
 def _(t):
     return readers.from_json_mapping(t.events, {"k": ("$.k", "int")}, value="props")[0].groupBy("k").agg(F.count(F.lit(1)).alias("n"))
@@ -249,12 +258,13 @@ def _(t):
     return rows.select("alert_id", "zone_id", "severity", "anomaly_score", "acknowledged", "timestamp")
 
 
-@query("snk2_increment_by_partition", "SELECT harvest_date, count(*) AS n, sum(harvest_weight_kg) AS kg FROM harvest WHERE year(harvest_date) >= 2000 GROUP BY 1", {"kg": 4})
+@query("snk2_increment_by_partition", "SELECT harvest_date, count(*) AS n, sum(harvest_weight_kg) AS kg FROM harvest GROUP BY 1", {"kg": 4})
 def _(t):
-    """A first load with doubled weights; the increment rewrites only the partitions it carries."""
+    """A first load in which two years have doubled weights; the increment rewrites only the partitions it carries."""
     path = work_dir(t.spark, "increment")
-    rows = t.harvest.filter("harvest_date >= '2000-01-01'").withColumn("year", F.year("harvest_date")).repartition("year")
-    sinks.replace_partitions(rows.withColumn("harvest_weight_kg", F.col("harvest_weight_kg") * 2), path, ["year"])
+    rows = t.harvest.withColumn("year", F.year("harvest_date"))
+    wrong = F.when(F.col("year").isin(2000, 2001), F.col("harvest_weight_kg") * 2).otherwise(F.col("harvest_weight_kg"))
+    sinks.replace_partitions(rows.withColumn("harvest_weight_kg", wrong), path, ["year"])
     for year in (2000, 2001):
         sinks.replace_partitions(rows.filter(F.col("year") == year), path, ["year"])
     return t.spark.read.parquet(path).groupBy("harvest_date").agg(F.count(F.lit(1)).alias("n"), F.sum("harvest_weight_kg").alias("kg"))
@@ -265,7 +275,7 @@ def _(t):
     path = work_dir(t.spark, "history")
     rows = t.scenarios.select("anomaly_id", "scenario", F.split("zone_ids", ",").alias("zone_ids"), "severity", "start_time", F.col("end_time").alias("resolved_time"))
     sinks.write_history(rows, path)
-    back = t.spark.read.schema(schemas.ANOMALY_HISTORY).json(path)
+    back = readers.read_history(t.spark, path)
     return back.select("anomaly_id", F.array_join("zone_ids", ",").alias("zone_ids"), "severity", "start_time", "resolved_time")
 
 

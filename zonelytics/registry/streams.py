@@ -79,7 +79,7 @@ def _(t):
 
 @query("jn15_stream_stream_join", """
   SELECT e.event_id, e.timestamp, e.zone_id, e.heating_output, s.air_temperature FROM equipment e JOIN telemetry s
-    ON s.zone_id = e.zone_id AND time_bucket(INTERVAL 30 SECOND, s.timestamp) = time_bucket(INTERVAL 30 SECOND, e.timestamp)""")
+    ON s.zone_id = e.zone_id AND s.timestamp > e.timestamp - INTERVAL 30 SECOND AND s.timestamp < e.timestamp + INTERVAL 30 SECOND""")
 def _(t):
     joined = sv.equipment_with_readings(live(t).equipment, live(t).telemetry)
     return replay(t, joined.select("event_id", "timestamp", "zone_id", "heating_output", "air_temperature"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from contextlib import contextmanager
 
@@ -13,6 +12,10 @@ ROCKSDB_PROVIDER = (
 )
 
 
+#: partitions of streaming state; unset: the session's shuffle partitions
+STATE_PARTITIONS = "spark.zonelytics.statePartitions"
+
+
 def local_session(app: str = "zonelytics", cores: str | int = "*", shuffle: int = 8, extra: dict[str, str] | None = None) -> SparkSession:
     """A session for tests and the bench. On a cluster use the session you are given."""
     return configure(
@@ -23,6 +26,7 @@ def local_session(app: str = "zonelytics", cores: str | int = "*", shuffle: int
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config(STATE_PARTITIONS, str(shuffle))
         .getOrCreate()
     )
 
@@ -44,16 +48,14 @@ def configure(spark: SparkSession) -> SparkSession:
 def work_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder for streaming checkpoints and cut lineage.
 
-    It lies under ``spark.checkpoint.dir`` (the shared folder named by the
-    cluster). Only a local master, where driver and executors are one machine,
-    may fall back to a temporary folder.
+    It lies under ``spark.checkpoint.dir``, the shared folder named by the
+    cluster, or, where that is unset, beside the tables of the warehouse. Each
+    application has one root there, ``zonelytics-<application id>``, which its
+    owner can drop when it has ended.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="zonelytics-")
-    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    base = base or spark.conf.get("spark.sql.warehouse.dir") + "/_work"
+    return f"{base.rstrip('/')}/zonelytics-{spark.sparkContext.applicationId}/{purpose}-{uuid.uuid4().hex}"
 
 
 def cut(df, purpose: str):
@@ -69,15 +71,13 @@ def cut(df, purpose: str):
 
 @contextmanager
 def sized_state(spark: SparkSession):
-    """While a stream starts on a local master: as many state partitions as cores.
+    """While a stream starts: as many state partitions as ``STATE_PARTITIONS`` says.
 
-    The number is fixed for the life of a checkpoint; a cluster keeps the
-    session's own setting.
+    The number is fixed for the life of a checkpoint.
     """
     name = "spark.sql.shuffle.partitions"
     before = spark.conf.get(name)
-    if spark.sparkContext.master.startswith("local"):
-        spark.conf.set(name, str(min(int(before), spark.sparkContext.defaultParallelism)))
+    spark.conf.set(name, spark.conf.get(STATE_PARTITIONS, before))
     try:
         yield
     finally:

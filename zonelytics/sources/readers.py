@@ -59,7 +59,7 @@ def from_json_mapping(df: DataFrame, mapping: dict[str, tuple[str, str]], value:
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
     # parsed behind a generator, so that Spark does not parse again in the filters below
     text = F.col(value)
-    looks_right = F.coalesce(F.ltrim(text).startswith("{"), F.lit(False))
+    looks_right = F.coalesce(text.rlike(r"^\s*\{"), F.lit(False))  # an object after any white space
     both = F.struct(F.from_json(text, strings, options).alias("_j"), looks_right.alias("_ok"))
     parsed = df.select("*", F.inline(F.array(both)))
     is_object = F.col("_ok") & F.col("_j._bad").isNull()
@@ -84,9 +84,9 @@ def route_messages(df: DataFrame, value: str = "value") -> dict[str, DataFrame]:
     return out
 
 
-def read_history(spark: SparkSession, path: str) -> DataFrame:
-    """Incident history kept as a JSON array (one document) or as JSON lines."""
-    return spark.read.schema(schemas.ANOMALY_HISTORY).option("multiLine", True).json(path)
+def read_history(spark: SparkSession, path: str, array: bool = False) -> DataFrame:
+    """Incident history kept as JSON lines, which split, or as one JSON ``array`` per file, which is one task each."""
+    return spark.read.schema(schemas.ANOMALY_HISTORY).option("multiLine", array).json(path)
 
 
 def with_default(df: DataFrame, column: str, default) -> DataFrame:

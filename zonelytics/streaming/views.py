@@ -35,10 +35,14 @@ def enriched(telemetry: DataFrame, config: DataFrame) -> DataFrame:
 
 
 def equipment_with_readings(equipment: DataFrame, telemetry: DataFrame, seconds: int = 30, delay: str = DEFAULT_DELAY) -> DataFrame:
-    """Stream-stream join on zone and half minute; the time bounds let Spark expire state on both sides."""
-    slot = lambda: F.window("timestamp", f"{seconds} seconds")["start"]
-    e = event_time(equipment, delay=delay).withColumn("_bin", slot()).alias("e")
-    s = event_time(telemetry, delay=delay).withColumn("_bin", slot()).alias("s")
+    """Stream-stream join of rows of one zone less than ``seconds`` apart; the time bounds let Spark expire state on both sides.
+
+    The equi-key is (zone, bin): a reading stands in its own bin and in both
+    neighbours, and the bounds decide, so each pair is met once.
+    """
+    slot = F.floor(F.unix_seconds("timestamp") / seconds)
+    e = event_time(equipment, delay=delay).withColumn("_bin", slot).alias("e")
+    s = event_time(telemetry, delay=delay).withColumn("_bin", F.explode(F.array(slot - 1, slot, slot + 1))).alias("s")
     near = F.expr(f"s.timestamp > e.timestamp - INTERVAL {seconds} SECONDS AND s.timestamp < e.timestamp + INTERVAL {seconds} SECONDS")
     on = (F.col("e.zone_id") == F.col("s.zone_id")) & (F.col("e._bin") == F.col("s._bin")) & near
     return e.join(s, on).select("e.*", F.col("s.air_temperature"), F.col("s.substrate_moisture")).drop("_bin")

@@ -62,8 +62,9 @@ class Index:
     """Exact top-k cosine. Examples lie in blocks of ``block``; each term keeps its largest weight per block.
 
     A block whose bound (query weight times block maximum, summed over the query's terms) is below
-    the k-th similarity found so far cannot hold a nearer example and is skipped. Equal similarities
-    are taken by smaller example number.
+    the k-th similarity found so far cannot hold a nearer example and is skipped. The ``probe`` blocks
+    of the highest bounds come one by one, what then remains together. Equal similarities are taken by
+    smaller example number.
     """
 
     def __init__(self, vectors: list[list[tuple[int, float]]], terms: int, block: int = 64):
@@ -79,25 +80,35 @@ class Index:
         self.ends = [np.searchsorted(d, np.arange(self.blocks + 1) * block) for d in self.docs]
         self.most = [np.maximum.reduceat(np.append(w, 0.0), np.minimum(e[:-1], len(w))) * (np.diff(e) > 0) if len(w) else np.zeros(self.blocks) for w, e in zip(self.weights, self.ends, strict=True)]
 
-    def nearest(self, query: list[tuple[int, float]], k: int) -> tuple[np.ndarray, np.ndarray]:
+    def nearest(self, query: list[tuple[int, float]], k: int, probe: int = 4) -> tuple[np.ndarray, np.ndarray]:
         """Example numbers and similarities, nearest first; only similarities above 0."""
         norm = math.sqrt(sum(w * w for _, w in query)) or 1.0
         query = [(t, w / norm) for t, w in query if len(self.docs[t])]
         bound = sum((w * self.most[t] for t, w in query), np.zeros(self.blocks))
-        order = np.argsort(-bound, kind="stable")
-        ids, sims, least = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for b in order.tolist():
-            if bound[b] <= 0 or len(ids) >= k and bound[b] < least - 1e-12:
-                break
+        order = np.argsort(-bound, kind="stable")[: int((bound > 0).sum())]
+        ids, sims, least, at = np.zeros(0, np.int64), np.zeros(0), 0.0, 0
+
+        def best(ids: np.ndarray, sims: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            top = np.lexsort((ids, -np.round(sims, 12)))[:k]
+            return ids[top], sims[top]
+
+        while at < len(order) and (len(ids) < k or bound[order[at]] >= least - 1e-12) and at < probe:
+            b = order[at]
             got = np.zeros(self.block)
             for t, w in query:
                 lo, hi = self.ends[t][b], self.ends[t][b + 1]
                 got[self.docs[t][lo:hi] - b * self.block] += w * self.weights[t][lo:hi]
             hit = np.flatnonzero(got > 0)
-            ids, sims = np.append(ids, hit + b * self.block), np.append(sims, got[hit])
-            best = np.lexsort((ids, -np.round(sims, 12)))[:k]
-            ids, sims = ids[best], sims[best]
-            least = sims[-1] if len(sims) else 0.0
+            ids, sims = best(np.append(ids, hit + b * self.block), np.append(sims, got[hit]))
+            least, at = (sims[-1] if len(sims) else 0.0), at + 1
+        left = order[at:][bound[order[at:]] >= (least - 1e-12 if len(ids) >= k else 0.0)]
+        if len(left):  # many blocks may still hold a nearer example: all of them at once, term by term
+            got = np.zeros(self.blocks * self.block)
+            for t, w in query:
+                got[self.docs[t]] += w * self.weights[t]
+            part = got.reshape(self.blocks, self.block)[left]
+            row, col = np.nonzero(part)
+            ids, sims = best(np.append(ids, left[row] * self.block + col), np.append(sims, part[row, col]))
         return ids, sims
 
 
@@ -228,7 +239,8 @@ def fit(labelled: DataFrame, max_examples: int = 20_000, max_terms: int = 2048,
         at = np.flatnonzero(bins[1])
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(bins[0, at]), pa.array(bins[1, at])], ["bin", "toxic", "n"])
 
-    seen = grouped.where(F.size("terms") > 0).mapInArrow(held_back, "bin long, toxic double, n double").groupBy("bin").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n")).orderBy("bin").collect()
+    tasks = max(1, -(-grouped.count() // 500))
+    seen = grouped.where(F.size("terms") > 0).repartition(tasks).mapInArrow(held_back, "bin long, toxic double, n double").groupBy("bin").agg(F.sum("toxic").alias("toxic"), F.sum("n").alias("n")).orderBy("bin").collect()
     if seen:
         total = np.array([r["n"] for r in seen])
         model.curve = ([r["bin"] / 100 for r in seen], rising(np.array([r["toxic"] for r in seen]) + model.base, total + 1).tolist())

@@ -135,7 +135,8 @@ def _c(b: Base) -> Column:
 
 
 def _growth(now: Column, before: Column) -> Column:
-    return fm.ratio(now - before, before, 100.0)
+    """Nothing this year counts as 0, so a group of the year before only has lost all."""
+    return fm.ratio(F.coalesce(now, F.lit(0.0)) - before, before, 100.0)
 
 
 _CPK, _CPK_P = lambda: fm.ratio(_c(_COST), _c(_KG)), lambda: fm.ratio(_c(_COST_P), _c(_KG_P))
@@ -155,7 +156,7 @@ MEASURES: dict[str, Measure] = {
         _plain("energy_cost_usd", "Energy Cost (USD)", _COST, USD),
         Measure("energy_cost_per_kg", "Energy Cost per Kg", (_COST, _KG), lambda: _CPK(), USD),
         Measure("yoy_energy_efficiency_pct", "YoY Energy Efficiency %", (_COST, _KG, _COST_P, _KG_P),
-                lambda: fm.ratio(_CPK_P() - _CPK(), _CPK_P(), 100.0), '#,##0.0"%"'),
+                lambda: fm.ratio(_CPK_P() - F.coalesce(_CPK(), F.lit(0.0)), _CPK_P(), 100.0), '#,##0.0"%"'),
         _ratio("water_recycling_rate_pct", "Water Recycling Rate %", _RECYCLED, _WATER),
         Measure("carbon_footprint_kg", "Carbon Footprint (kg CO2e)", (_KWH, _GAS), lambda: fm.carbon(_c(_KWH), _c(_GAS))),
         _plain("gas_usage_m3", "Gas Usage (m³)", _GAS),
@@ -310,7 +311,6 @@ def evaluate(
             merged = merged.unionByName(p, allowMissingColumns=True)
         names = [c for c in merged.columns if c not in full]
         merged = merged.groupBy(*full).agg(*[F.max(c).alias(c) for c in names]) if full else merged.agg(*[F.max(c).alias(c) for c in names])
-    merged = merged.filter("_current = 1").drop("_current")
     for own, part in parts:
         if own == full:
             continue
@@ -326,24 +326,22 @@ def evaluate(
     if any(m.key == "days_since_last_anomaly" for m in picked):
         newest = model.facts[ANOMALY].agg(F.max("start_time").alias("t")).scalar()
         merged = merged.withColumn("_as_of", newest if as_of is None else (as_of if isinstance(as_of, Column) else F.lit(as_of).cast("timestamp")))
-    return merged.select(*full, *[m.combine().alias(m.key) for m in picked])
+    out = merged.select(*full, "_current", *[m.combine().alias(m.key) for m in picked])
+    # a group that only the year before has stays if one of the measures has a value there
+    return out.filter((F.col("_current") == 1) | F.coalesce(*[F.when(F.col(m.key).isNotNull(), True) for m in picked if any(b.prior for b in m.bases)], F.lit(False))).drop("_current")
 
 
 def auto(model: Model, fact: str, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Columns summarised by their declared default aggregate (sum unless stated otherwise)."""
-    df = model.table(fact)
-    keys = []
-    for attr in by:
-        dim, column = _attribute(model, fact, attr)
-        if dim:
-            local, key = model.relationships[fact][dim]
-            side = model.dims[dim].select(F.col(key).alias(f"_{dim}_{column}"), F.col(column).alias(f"@{column}"))
-            df = df.join(side, F.col(local) == F.col(f"_{dim}_{column}"), "left")
-            keys.append(F.col(f"@{column}").alias(column))
-        else:
-            keys.append(F.col(column))
     aggs = [getattr(F, DEFAULT_AGGREGATE.get(c, "sum"))(c).alias(c) for c in columns]
-    return df.groupBy(*keys).agg(*aggs) if keys else df.agg(*aggs)
+    if not by:
+        return model.table(fact).agg(*aggs)
+    kinds = {c: DEFAULT_AGGREGATE.get(c, "sum") for c in columns}
+    least = [c for c in columns if kinds[c] == "min"]  # as the largest of the negatives
+    members = [Base(c, fact, "max" if c in least else kinds[c], lambda c=c: -F.col(c) if c in least else F.col(c)) for c in columns]
+    keys = [F.col(f"@{out_name(a)}").alias(out_name(a)) for a in by]
+    out = _starred(model, fact, by, members, False).groupBy(*keys).agg(*[b.final() for b in members])
+    return out.withColumns({c: -F.col(c) for c in least})
 
 
 def formatted(df: DataFrame, measures: Sequence[str]) -> DataFrame:

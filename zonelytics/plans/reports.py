@@ -307,7 +307,7 @@ def energy_week_vs_last_year(model: Model, as_of=None) -> DataFrame:
     measures = ["energy_cost_usd", "electricity_kwh"]
     now = evaluate(model, measures, ["dim_greenhouse.name"], week)
     before = evaluate(a_year_earlier(model), measures, ["dim_greenhouse.name"], week).withColumnsRenamed({m: f"{m}_before" for m in measures})
-    return now.join(before, "name", "left")
+    return now.join(before, "name", "full")
 
 
 def highest_vpd(latest: DataFrame, n: int = 5) -> DataFrame:

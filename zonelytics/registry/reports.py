@@ -127,7 +127,7 @@ def _(t):
   WITH h AS (SELECT CAST(year(harvest_date) AS INT) AS year, sum(harvest_weight_kg) AS kg, sum(waste_kg) AS w FROM harvest GROUP BY 1), p AS (SELECT CAST(year(harvest_date) AS INT) AS year, sum(harvest_weight_kg) AS kg FROM o_prior_harvest WHERE harvest_date {SPAN} GROUP BY 1),
   e AS (SELECT CASE WHEN date {SPAN} THEN CAST(year(date) AS INT) END AS year, sum(energy_cost_usd) AS cost, sum(water_recycled_liters) / sum(water_liters) * 100 AS wr, sum(electricity_kwh) * 0.42e0 + sum(natural_gas_m3) * 1.93e0 AS co2 FROM o_energy GROUP BY 1),
   pe AS (SELECT CAST(year(date) AS INT) AS year, sum(energy_cost_usd) AS cost FROM o_prior_energy WHERE date {SPAN} GROUP BY 1), y AS (SELECT year FROM h UNION SELECT year FROM e),
-  v AS (SELECT y.year, e.wr AS water_recycling_rate_pct, (pe.cost / p.kg - e.cost / h.kg) / (pe.cost / p.kg) * 100 AS yoy_energy_efficiency_pct, w / (h.kg + w) * 100 AS waste_pct, co2 / h.kg AS carbon_intensity
+  v AS (SELECT y.year, e.wr AS water_recycling_rate_pct, (pe.cost / p.kg - coalesce(e.cost / h.kg, 0)) / (pe.cost / p.kg) * 100 AS yoy_energy_efficiency_pct, w / (h.kg + w) * 100 AS waste_pct, co2 / h.kg AS carbon_intensity
     FROM y LEFT JOIN h ON h.year = y.year LEFT JOIN p ON p.year = y.year LEFT JOIN e ON e.year IS NOT DISTINCT FROM y.year LEFT JOIN pe ON pe.year = y.year)
   SELECT *, CASE WHEN water_recycling_rate_pct >= 85 THEN 'green' WHEN water_recycling_rate_pct >= 75 THEN 'yellow' WHEN water_recycling_rate_pct IS NOT NULL THEN 'red' END AS water_colour,
     CASE WHEN yoy_energy_efficiency_pct >= 5 THEN 'green' WHEN yoy_energy_efficiency_pct >= 0 THEN 'yellow' WHEN yoy_energy_efficiency_pct IS NOT NULL THEN 'red' END AS energy_colour,

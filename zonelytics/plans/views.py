@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zonelytics.functions.timebins import binned, seconds
@@ -81,3 +81,18 @@ def widen(partials: DataFrame, step: int) -> DataFrame:
     """Roll partials up to a coarser bin without reading the raw rows again."""
     coarse = F.window("timestamp", f"{seconds(step)} seconds")["start"]
     return merge_partials(partials.withColumn("timestamp", coarse))
+
+
+def store_batch(partials: DataFrame, path: str, batch: int) -> None:
+    """Add a batch of partials (the backfill is one, too) to a stored view; storing it again replaces it."""
+    partials.withColumn("batch", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+
+
+def stored_view(spark: SparkSession, path: str) -> DataFrame:
+    """The view as of its stored batches: bins that several batches touch are merged on reading."""
+    return finish_partials(merge_partials(spark.read.parquet(path).drop("batch")))
+
+
+def compact_batches(spark: SparkSession, path: str, into: str) -> None:
+    """One merged batch in a new folder, for when small batches have piled up."""
+    store_batch(merge_partials(spark.read.parquet(path).drop("batch")), into, 0)

@@ -11,6 +11,7 @@ from zonelytics.operators.latest import first_per_key, latest_incremental, order
 from zonelytics.operators.series import decompose_anomalies, fir, make_series, mv_expand, slope, to_arrays
 from zonelytics.plans import detect, tiles, views
 from zonelytics.registry import cols, query
+from zonelytics.session import work_dir
 
 MIN, HOUR, DAY = timedelta(minutes=1), timedelta(hours=1), timedelta(days=1)
 TIE = ("event_id",)
@@ -328,6 +329,18 @@ def _(t):
     return views.finish_partials(views.merge_partials(views.hourly_partials(old), views.hourly_partials(new)))
 
 
+@query("mv5_stored_view", _HOURLY_SQL, _HOURLY_DIGITS)
+def _(t):
+    """A backfill and two increments kept in files; the second increment arrives twice, then the batches are compacted."""
+    base = work_dir(t.spark, "view")
+    late, last = (F.lit(x).cast("timestamp") for x in ("2024-01-01 00:17:30", "2024-01-01 00:41:10"))
+    ts = F.col("timestamp")
+    for batch, rows in ((0, ts < late), (1, (ts >= late) & (ts < last)), (2, ts >= last), (2, ts >= last)):
+        views.store_batch(views.hourly_partials(t.telemetry.filter(rows)), f"{base}/batches", batch)
+    views.compact_batches(t.spark, f"{base}/batches", f"{base}/compact")
+    return views.stored_view(t.spark, f"{base}/compact")
+
+
 @query("mv5_widen_hourly_to_day", _HOURLY_SQL.replace("1 HOUR", "1 DAY"), _HOURLY_DIGITS)
 def _(t):
     return views.finish_partials(views.widen(views.hourly_partials(t.telemetry), 86400))

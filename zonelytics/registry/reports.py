@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from zonelytics.functions import formulas as fm
 from zonelytics.operators.quantiles import exact_quantile
 from zonelytics.operators.windows import change, rolling_mean, share_of_total
 from zonelytics.plans import detect, views
@@ -260,6 +261,20 @@ def _(t):
     return rp.at_risk_shipments(t.shipments, t.dim_crop).select("order_id", "product_sku", "crop_name", "risk")
 
 
+@query("rp23_at_risk_by_transport_range", """
+  SELECT order_id, product_sku, range_name, risk FROM (SELECT *, concat_ws(',', CASE WHEN NOT cold_chain_temp BETWEEN lo AND hi THEN 'temperature' END, CASE WHEN delivery_status = 'delayed' THEN 'late' END,
+      CASE WHEN shelf_life_remaining_days < shelf_life_days * 0.5e0 THEN 'shelf_life' END) AS risk
+    FROM (SELECT s.*, shelf_life_days FROM shipments s LEFT JOIN dim_crop c ON c.crop_id = s.crop_id) JOIN (VALUES """
+       + ", ".join(f"({i}, '{name}', {lo}e0, {hi}e0)" for i, (name, (lo, hi)) in enumerate(fm.TRANSPORT_RANGES.items()))
+       + """) r(n, range_name, lo, hi) ON n = CAST(substr(crop_id, 5) AS BIGINT) % """ + str(len(fm.TRANSPORT_RANGES)) + """ WHERE delivery_status IN ('in_transit', 'delayed')) WHERE risk <> ''""")
+def _(t):
+    """The shipped transport ranges, dealt to the crops of the test data by number."""
+    number = {name: i for i, name in enumerate(fm.TRANSPORT_RANGES)}
+    ranges = t.spark.createDataFrame([(number[k], k, lo, hi) for k, (lo, hi) in fm.TRANSPORT_RANGES.items()], "n int, range_name string, min_temp_c double, max_temp_c double")
+    dealt = t.dim_crop.select("crop_id", (F.substring("crop_id", 5, 9).cast("bigint") % len(number)).alias("n")).join(ranges, "n").drop("n")
+    return rp.at_risk_shipments(t.shipments, t.dim_crop, dealt).select("order_id", "product_sku", "range_name", "risk")
+
+
 @query("rp24_breach_impact", """
   WITH a AS (SELECT alert_id, greenhouse_id, severity, CAST(timestamp - INTERVAL 312 MONTH AS DATE) AS day FROM alerts WHERE alert_type = 'cold-chain-break'),
   s AS (SELECT greenhouse_id, CAST(ship_date AS DATE) AS day, package_type, count(*) AS shipments, CAST(sum(quantity_cases) AS BIGINT) AS cases, count(*) FILTER (NOT cold_chain_compliant) AS warm_shipments

@@ -279,6 +279,72 @@ def _(t):
     return back.select("anomaly_id", F.array_join("zone_ids", ",").alias("zone_ids"), "severity", "start_time", "resolved_time")
 
 
+def _database(t) -> str:
+    """A database of its own in the shared folder."""
+    path = work_dir(t.spark, "tables")
+    name = path.rsplit("/", 1)[-1].replace("-", "_")
+    t.spark.sql(f"CREATE DATABASE {name} LOCATION '{path}'")
+    return name
+
+
+@query("src2_pl1_ingest", """
+  SELECT 'iot_telemetry' AS dataset, count(*) AS n FROM telemetry UNION ALL SELECT 'weather', count(*) FROM weather UNION ALL SELECT 'equipment', count(*) FROM equipment
+  UNION ALL SELECT 'daily_harvest', NULL UNION ALL SELECT 'energy', NULL UNION ALL SELECT 'shipments', NULL""")
+def _(t):
+    """Three raw datasets are there, three cannot be read: the counts of the audit, NULL for those skipped."""
+    root, database = work_dir(t.spark, "raw"), _database(t)
+    for name, df in (("iot_telemetry", t.telemetry), ("weather", t.weather), ("equipment", t.equipment)):
+        sinks.write_partitioned(df, f"{root}/{name}")
+    counts, skipped = readers.ingest(t.spark, root, database)
+    rows = [(k.removeprefix(f"{database}.raw_"), v) for k, v in counts.items()] + [(k, None) for k in skipped]
+    return t.spark.createDataFrame(rows, "dataset string, n bigint")
+
+
+@query("src4_snk8_catalogue_scan", "SELECT zone_id, count(*) AS n, min(timestamp) AS first, count(*) AS audited FROM telemetry GROUP BY 1")
+def _(t):
+    """A table found by name in the catalogue, with the audit count of its rows."""
+    table = f"{_database(t)}.readings"
+    sinks.overwrite_table(t.telemetry, table)
+    whole = sinks.table_rows(t.spark, table)
+    rows = t.spark.table(table).groupBy("zone_id").agg(F.count(F.lit(1)).alias("n"), F.min("timestamp").alias("first"), (F.count(F.lit(1)) + F.lit(whole) - F.lit(t.telemetry.count())).alias("audited"))
+    return rows
+
+
+@query("snk1_overwrite", "SELECT zone_id, timestamp, air_temperature FROM telemetry")
+def _(t):
+    """The second load has other columns; nothing of the first is left."""
+    table = f"{_database(t)}.readings"
+    sinks.overwrite_table(t.weather, table)
+    sinks.overwrite_table(t.telemetry.select("zone_id", "timestamp", "air_temperature"), table)
+    return t.spark.table(table)
+
+
+@query("set3_append", "SELECT order_id, ship_date FROM shipments UNION ALL SELECT order_id, ship_date FROM shipments WHERE delivery_status = 'delayed'")
+def _(t):
+    table = f"{_database(t)}.shipments"
+    rows = t.shipments.select("order_id", "ship_date")
+    sinks.overwrite_table(rows, table)
+    sinks.append_table(t.shipments.filter("delivery_status = 'delayed'").select("order_id", "ship_date"), table)
+    return t.spark.table(table)
+
+
+@query("snk6_empty_table", "SELECT timestamp, zone_id, alert_id, CAST(NULL AS VARCHAR) AS message FROM alerts")
+def _(t):
+    """An empty table of the declared schema takes rows later."""
+    table = f"{_database(t)}.alerts"
+    sinks.create_table(t.spark, table, schemas.ALERTS)
+    assert t.spark.table(table).isEmpty()
+    sinks.append_table(sinks.merge_schema(t.alerts.drop("message"), schemas.ALERTS).select(*schemas.ALERTS.fieldNames()), table)
+    return t.spark.table(table).select("timestamp", "zone_id", "alert_id", "message")
+
+
+@query("snk10_bucketed", "SELECT greenhouse_id, count(*) AS n, max(air_temperature) AS hottest FROM telemetry GROUP BY 1")
+def _(t):
+    table = f"{_database(t)}.readings"
+    sinks.write_hashed(t.telemetry, table, buckets=4)
+    return t.spark.table(table).groupBy("greenhouse_id").agg(F.count(F.lit(1)).alias("n"), F.max("air_temperature").alias("hottest"))
+
+
 @query("fm27_transport_fit", """
   SELECT order_id, product_sku, cold_chain_temp BETWEEN lo AND hi AS fits FROM shipments s
   JOIN (SELECT crop_id, CASE WHEN crop_category = 'leafy_green' THEN 1e0 ELSE 0e0 END AS lo, CASE WHEN crop_category = 'vine_crop' THEN 6e0 ELSE 4e0 END AS hi FROM dim_crop) r ON r.crop_id = s.crop_id""")

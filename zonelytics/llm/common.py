@@ -176,6 +176,16 @@ class BitTable:
         words[np.asarray(got.column("word"))] = np.asarray(got.column("bits")).astype(np.int64).view(np.uint64)
         return cls(words, bits)
 
+    def thin(self, df: DataFrame, *key: str) -> DataFrame:
+        """The rows of ``df`` whose ``xxhash64(*key)`` may be in the set."""
+
+        def keep(batches):
+            for batch in batches:
+                fine = self.hit(np.asarray(batch.column(batch.num_columns - 1)).view(np.uint64))
+                yield batch.filter(pa.array(fine)).select(list(range(batch.num_columns - 1)))
+
+        return df.withColumn("__key", F.xxhash64(*key)).mapInArrow(keep, df.schema)
+
     def hit(self, h: np.ndarray) -> np.ndarray:
         """Which of the keys may be in the set."""
         out = np.ones(len(h), bool)

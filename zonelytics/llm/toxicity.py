@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zonelytics.llm.common import Out, plain_words, rows, written
+from zonelytics.llm.common import BitTable, Out, plain_words, rows, written
 
 SCORES = "doc_id long, score double, predicted int, neighbours array<long>, similarities array<double>, terms array<string>"
 _ARROW = pa.schema(
@@ -271,10 +271,14 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
 def labelled(docs: DataFrame, labels: DataFrame, learn) -> DataFrame:
     """Texts with a label, written once. ``learn``: condition on doc_id of the rows to learn from.
 
+    Texts without a label are dropped by a bit table of the labelled ids before the join.
+
     Several labels of one document count as their majority (a tie: 0); NULL labels and ids are left out.
     """
     one = labels.where(learn).where("toxic is not null and doc_id is not null").groupBy("doc_id").agg((F.avg(F.col("toxic").cast("double")) > 0.5).cast("int").alias("toxic"))
-    return written(docs.where(learn).select("doc_id", "text").join(one, "doc_id"), "labelled")
+    one = written(one, "labels")
+    texts = BitTable.of(one.select(F.xxhash64("doc_id"))).thin(docs.where(learn).select("doc_id", "text"), "doc_id")
+    return written(texts.join(one.hint("merge"), "doc_id"), "labelled")  # labels grow with the corpus: never broadcast
 
 
 def clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:

@@ -19,9 +19,18 @@ def span_col(span: timedelta | int) -> Column:
     return F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(seconds(span)))
 
 
+def _by_day(df: DataFrame, ts: str) -> bool:
+    return ts == "timestamp" and dict(df.dtypes).get("date") == "date"
+
+
 def as_of_col(df: DataFrame, as_of: AsOf = None, ts: str = "timestamp") -> Column:
-    """The query time. Defaults to the newest row, as a scalar sub-query (never collected)."""
+    """The query time. Defaults to the newest row, as a scalar sub-query (never collected).
+
+    Of a table partitioned by ``date`` only the newest day is read for it.
+    """
     if as_of is None:
+        if _by_day(df, ts):
+            df = df.filter(F.col("date") == df.agg(F.max("date").alias("day")).scalar())
         return df.agg(F.max(ts).alias("as_of")).scalar()
     if isinstance(as_of, Column):
         return as_of
@@ -36,8 +45,7 @@ def recent(df: DataFrame, lookback: timedelta | int, as_of: AsOf = None, ts: str
     """
     since = as_of_col(df, as_of, ts) - span_col(lookback)
     rows = df.filter(F.col(ts) > since)
-    by_day = ts == "timestamp" and dict(df.dtypes).get("date") == "date"
-    return rows.filter(F.col("date") >= F.to_date(since)) if by_day else rows
+    return rows.filter(F.col("date") >= F.to_date(since)) if _by_day(df, ts) else rows
 
 
 def bin_start(step: timedelta | int, ts: str | Column = "timestamp") -> Column:

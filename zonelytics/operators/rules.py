@@ -111,10 +111,14 @@ def rule_pass(
 
     Returns the readings at which something happens: per rule ``fired<n>`` (a
     branch has just held long enough), ``branch<n>`` and ``resolves<n>`` (the
-    resolve condition has just turned true). One exchange and one sort serve
-    every rule.
+    resolve condition has just turned true). Readings are reduced to one per
+    interval first; the halo copies and the windows work on those.
     """
     rows = evaluated(df, rules, ts, tie, carry)
+    # the last reading of each interval, with partial aggregation before anything is exchanged
+    rest = [c for c in rows.columns if c != rules[0].key]
+    newest = F.max_by(F.struct(*rest), F.struct(ts, *tie))
+    rows = rows.groupBy(rules[0].key, F.floor(F.unix_seconds(ts) / rules[0].interval).alias("_slot")).agg(newest.alias("_last")).select(rules[0].key, "_slot", "_last.*")
     key, interval, gap = rules[0].key, rules[0].interval, rules[0].gap
     halo = max(b.sustain for r in rules for b in r.branches) + 2 * gap
     halo += -halo % interval
@@ -123,11 +127,10 @@ def rule_pass(
     sec = F.unix_seconds(ts)
     home = F.floor(sec / chunk)
     near_end = sec >= (home + 1) * chunk - halo
-    rows = rows.withColumns({"_slot": F.floor(sec / interval), "_home": home})
+    rows = rows.withColumn("_home", home)
     rows = rows.withColumn("_chunk", F.explode(F.when(near_end, F.array(home, home + 1)).otherwise(F.array(home))))
     w = Window.partitionBy(key, "_chunk").orderBy(ts, *tie)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("_next", F.lead("_slot").over(w)).filter(F.col("_next").isNull() | (F.col("_next") != F.col("_slot")))
     no = lambda c: F.coalesce(c, F.lit(False))
     us = F.unix_micros(ts)
     rows = rows.withColumn("_joined", no(us - F.lag(us).over(w) <= gap * 1_000_000))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from zonelytics.functions import formulas as fm
 from zonelytics.functions.timebins import day_of_week_mon0
 from zonelytics.operators.joins import join_null_safe
-from zonelytics.operators.quantiles import exact_quantile
+from zonelytics.operators.quantiles import exact_quantile, exact_quantiles
 from zonelytics.operators.windows import rolling_mean
 from zonelytics.sources.readers import with_default
 
@@ -125,9 +125,13 @@ def stratified(df: DataFrame, keys: Sequence[str], label: str, train: float = 0.
     return join_null_safe(rows, cut, [label]).withColumn("is_train", F.col("_u") < F.col("_cut")).drop("_u", "_cut")
 
 
-def folds(df: DataFrame, keys: Sequence[str], k: int = 5, seed: int = 42, name: str = "fold") -> DataFrame:
-    """Fold numbers by key hash; classes are spread evenly in expectation."""
-    return df.withColumn(name, F.floor(fm.unit_hash(*keys, F.lit(seed), F.lit("fold")) * k).cast("int"))
+def folds(df: DataFrame, keys: Sequence[str], label: str, k: int = 5, seed: int = 42, name: str = "fold") -> DataFrame:
+    """Stratified fold numbers: every class is cut into ``k`` equal parts at quantiles of its rows' key hashes."""
+    rows = df.withColumn("_u", fm.unit_hash(*keys, F.lit(seed), F.lit("fold")))
+    names = [f"_cut{i}" for i in range(1, k)]
+    cuts = exact_quantiles(rows, "_u", [i / k for i in range(1, k)], [label], names)
+    passed = sum((F.col(c) <= F.col("_u")).cast("int") for c in names)
+    return join_null_safe(rows, cuts, [label]).withColumn(name, passed).drop("_u", *names)
 
 
 # --- models --------------------------------------------------------------------------
@@ -150,8 +154,8 @@ def train_classifier(train: DataFrame, features: Sequence[str] = ANOMALY_FEATURE
 
 
 def cross_validated_f1(df: DataFrame, k: int = 5, features: Sequence[str] = ANOMALY_FEATURES, keys: Sequence[str] = ("event_id", "zone_id"), **params) -> float:
-    """Mean weighted F1 over k folds."""
-    rows = folds(class_weights(df), keys, k)
+    """Mean weighted F1 over k stratified folds."""
+    rows = folds(class_weights(df), keys, "anomaly_type", k)
     indexed = StringIndexer(inputCol="anomaly_type", outputCol="label", stringOrderType="alphabetAsc").fit(rows).transform(rows)
     forest = RandomForestClassifier(featuresCol="features", labelCol="label", weightCol="weight", **{**FOREST_PARAMS, **params})
     cv = CrossValidator(

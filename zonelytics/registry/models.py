@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from zonelytics.operators.quantiles import exact_quantile
+from zonelytics.operators.quantiles import exact_quantiles
 from zonelytics.plans import ml
 from zonelytics.plans import pipeline as pl
 from zonelytics.registry import cols, query
@@ -74,7 +74,14 @@ def _(t):
   SELECT zone_id, median(reading) AS q50, quantile_cont(reading, 0.9) AS q90 FROM telemetry_sparse GROUP BY 1""", cols("q50 q90"))
 def _(t):
     rows = t.telemetry_sparse
-    return exact_quantile(rows, "reading", 0.5, ["zone_id"], "q50").join(exact_quantile(rows, "reading", 0.9, ["zone_id"], "q90"), "zone_id")
+    return exact_quantiles(rows, "reading", [0.5, 0.9], ["zone_id"], ["q50", "q90"])
+
+
+@query("ag16_quantiles_null_group", """
+  SELECT nullif(zone_id, 'Z3') AS zone, quantile_cont(reading, 0.25) AS q25, median(reading) AS q50 FROM telemetry_sparse GROUP BY 1""", cols("q25 q50"))
+def _(t):
+    rows = t.telemetry_sparse.withColumn("zone", F.nullif("zone_id", F.lit("Z3")))
+    return exact_quantiles(rows, "reading", [0.25, 0.5], ["zone"], ["q25", "q50"])
 
 
 ADAPTERS["o_anomaly"] = """
@@ -110,6 +117,13 @@ def _(t):
     return ml.stratified(t.predictions, ["event_id"], "actual").select("event_id", "actual", "is_train")
 
 
+@query("ml12_stratified_folds", f"""
+  WITH u AS (SELECT event_id, actual, {_U.format(k="concat(CAST(event_id AS VARCHAR), '|42|fold')")} AS u FROM predictions), c AS (SELECT actual, quantile_cont(u, [0.2, 0.4, 0.6, 0.8]) AS cuts FROM u GROUP BY 1)
+  SELECT event_id, u.actual, CAST(len(list_filter(cuts, lambda x: x <= u)) AS INT) AS fold FROM u JOIN c ON c.actual = u.actual""")
+def _(t):
+    return ml.folds(t.predictions, ["event_id"], "actual").select("event_id", "actual", "fold")
+
+
 @query("ml10_class_weights", """
   SELECT actual, (SELECT count(*) FROM predictions) / (5e0 * count(*)) AS weight FROM predictions GROUP BY 1""", cols("weight"))
 def _(t):

@@ -176,13 +176,13 @@ class BitTable:
         words[np.asarray(got.column("word"))] = np.asarray(got.column("bits")).astype(np.int64).view(np.uint64)
         return cls(words, bits)
 
-    def thin(self, df: DataFrame, *key: str) -> DataFrame:
-        """The rows of ``df`` whose ``xxhash64(*key)`` may be in the set."""
+    def thin(self, df: DataFrame, *key: str, inside: bool = True) -> DataFrame:
+        """The rows of ``df`` whose ``xxhash64(*key)`` may be in the set, or those whose is not."""
 
         def keep(batches):
             for batch in batches:
                 fine = self.hit(np.asarray(batch.column(batch.num_columns - 1)).view(np.uint64))
-                yield batch.filter(pa.array(fine)).select(list(range(batch.num_columns - 1)))
+                yield batch.filter(pa.array(fine == inside)).select(list(range(batch.num_columns - 1)))
 
         return df.withColumn("__key", F.xxhash64(*key)).mapInArrow(keep, df.schema)
 
@@ -196,3 +196,13 @@ class BitTable:
 
 def _places(h: np.ndarray, bits: np.uint64) -> tuple[np.ndarray, np.ndarray]:
     return (h >> np.uint64(8)) % bits, (h * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(11)) % bits
+
+
+def without(df: DataFrame, ids: DataFrame) -> DataFrame:
+    """``df`` without the rows whose doc_id is among ``ids(doc_id)``; rows without doc_id stay.
+
+    Only rows that a bit table of the ids lets through are shuffled for the exact anti-join.
+    """
+    table = BitTable.of(ids.select(F.xxhash64("doc_id")))
+    kept = table.thin(df, "doc_id").join(ids.hint("merge"), "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in df.columns))
+    return table.thin(df, "doc_id", inside=False).unionByName(kept)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from zonelytics.llm.common import BitTable, Out, ascii_words, components, mix, rows, seeded, set_key, shingle_keys, word_keys, written
+from zonelytics.llm.common import BitTable, Out, ascii_words, components, mix, rows, seeded, set_key, shingle_keys, without, word_keys, written
 
 
 class PartEnum:
@@ -231,9 +231,10 @@ def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
 
     All columns are kept. Rows without doc_id cannot be told apart and stay; rows that share a doc_id share its fate.
     """
-    groups = jaccard_groups(docs, n, percent)
-    gone = written(groups.where("doc_id <> component_id").select("doc_id").distinct(), "near-duplicates")
-    left = docs.join(gone, "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    groups = written(jaccard_groups(docs, n, percent), "groups")
+    left = without(docs, written(groups.where("doc_id <> component_id").select("doc_id").distinct(), "near-duplicates"))
+    repeated = BitTable.of(groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.xxhash64("doc_id")))
     order = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0))
     again = F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (F.col("__copy") > 1)
-    return left.withColumn("__copy", F.row_number().over(order)).where(~again).drop("__copy")
+    some = repeated.thin(left, "doc_id").withColumn("__copy", F.row_number().over(order)).where(~again).drop("__copy")
+    return repeated.thin(left, "doc_id", inside=False).unionByName(some)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -94,25 +95,29 @@ def _part(key: Column, bounds: list[int]) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(len(bounds).bit_length())), start, halve, lambda s: s["lo"])
 
 
-def with_next(docs: DataFrame, columns: list[str], rows_each: int = 4000) -> DataFrame:
+def with_next(docs: DataFrame, columns: list[str], rows_each: int = 4000, prepare: Callable[[DataFrame], DataFrame] = lambda d: d) -> DataFrame:
     """Add ``next_<column>`` of the next row by ascending doc_id (equal ids by text, NULL first); the last row's next is the first.
 
+    ``prepare`` adds columns to the rows once they are chosen, before they are shuffled.
+
     Rows are dealt by ranges of doc_id (at most 16384 quantiles) and ordered within each; the first
     row of a range also stands as a guest at the end of the range before, so one shuffle is enough.
     """
-    spark = docs.sparkSession
     key = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
     count = docs.count()
     if not count:
+        docs = prepare(docs)
         return docs.select("*", *(F.col(c).alias(f"next_{c}") for c in columns))
     parts = min(16384, -(-count // rows_each))
     steps = F.percentile_approx(key, [i / parts for i in range(1, parts)], parts * 20) if parts > 1 else F.array()
     bounds = sorted(set(docs.select(steps.alias("b")).first()["b"] or []))
     placed = docs.withColumn("__key", key).withColumn("__part", _part(F.col("__key"), bounds))
     heads = sorted((r["__part"], r["k"]) for r in docs.select(key.alias("__key")).withColumn("__part", _part(F.col("__key"), bounds)).groupBy("__part").agg(F.min("__key").alias("k")).collect())
-    before = [(k, heads[i - 1][0]) for i, (_, k) in enumerate(heads)]  # one row per range
-    guests = placed.join(spark.createDataFrame(before, "__key long, __before int"), "__key").withColumn("__part", F.col("__before")).drop("__before")
-    both = placed.withColumn("__guest", F.lit(0)).unionByName(guests.withColumn("__guest", F.lit(1)))
+    before = [0] * (len(bounds) + 1)  # the range that a range's first row follows; at most 16384 of both
+    for i, (part, _) in enumerate(heads):
+        before[part] = heads[i - 1][0]
+    guests = placed.where(F.col("__key").isin([k for _, k in heads])).withColumn("__part", F.get(F.lit(before), F.col("__part")))
+    both = prepare(placed.withColumn("__guest", F.lit(0)).unionByName(guests.withColumn("__guest", F.lit(1))))
     order = Window.partitionBy("__part").orderBy("__guest", "__key", "text")
     return both.select("*", *(F.lead(c).over(order).alias(f"next_{c}") for c in columns)).where("__guest = 0").drop("__key", "__part", "__guest")
 
@@ -125,7 +130,7 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
     Extra columns are dropped; an empty table gives no rows.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    df = with_next(with_spots(own, "text", "spots"), ["text", "spots"])
+    df = with_next(own, ["text", "spots"], prepare=lambda d: with_spots(d, "text", "spots"))
     n = F.length("text")
     quarter = F.floor(n / 4).cast("int")
     df = df.withColumn("edited", F.concat(F.substr(F.col("text"), F.lit(1), n - quarter), F.substr(F.col("next_text"), F.lit(1), quarter)))

@@ -1,8 +1,9 @@
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
-from zonelytics.operators.rules import Branch, Rule, action_rows, daily_ids, fire, rule_events, throttle
+from zonelytics.operators.rules import Branch, Rule, action_rows, daily_ids, fire, rule_events, spaced, throttle
 from zonelytics.plans import alerting as al
 from zonelytics.session import work_dir
 from zonelytics.streaming import ingest
@@ -66,6 +67,20 @@ def test_shipped_rules_parse():
     assert "==" not in al.EQUIPMENT_OFFLINE.branches[0].condition
 
 
+def test_one_alert_per_kept_instant(frame):
+    rows = [("z", T0 + timedelta(seconds=s), n) for s in (0, 0, 100, 300, 300, 650) for n in (2, 1)]
+    got = spaced(frame(rows, "zone_id string, timestamp timestamp, n int"), ["zone_id"], "timestamp", 300, tie=("n",)).collect()
+    assert sorted(((r["timestamp"] - T0).total_seconds(), r["n"]) for r in got) == [(0, 1), (300, 1), (650, 1)]
+
+
+def test_equipment_meets_the_nearest_reading_across_a_bin_edge(frame):
+    equipment = frame([("a", T0 + timedelta(seconds=30), 1), ("b", T0, 2)], "zone_id string, timestamp timestamp, event_id long")
+    readings = frame([("a", T0 + timedelta(seconds=29), 7, 1.0, 0.0), ("a", T0 + timedelta(seconds=45), 8, 2.0, 0.0)], "zone_id string, timestamp timestamp, event_id long, air_temperature double, substrate_moisture double")
+    config = frame([("a", 20.0)], "zone_id string, target_temperature double")
+    got = {r["zone_id"]: (r["air_temperature"], r["target_temperature"]) for r in al.equipment_with_readings(equipment, readings, config).collect()}
+    assert got == {"a": (1.0, 20.0), "b": (None, None)}
+
+
 def test_throttle_limits(frame):
     rows = [(f"z{z}", datetime(2024, 1, 1, h, m), "r") for z in range(30) for h in (0, 1) for m in range(5)]
     kept = throttle(frame(rows, "zone_id string, timestamp timestamp, rule string"))
@@ -84,7 +99,8 @@ def test_action_rows_and_ids(frame):
     assert daily_ids(alerts, "ALR", "timestamp", ["zone_id"]).first()["id"] == "ALR-20240101-0001"
 
 
-def test_stream_equals_batch_over_many_files(spark, frame):
+@pytest.mark.parametrize("rule", [RULE, Rule("often", (Branch("hot", "v > 3", 60),), cooldown=60, resolve="v <= 1")])
+def test_stream_equals_batch_over_many_files(spark, frame, rule):
     """Five files, rows shuffled inside each, a file border inside runs, one row beyond the watermark."""
     import random
 
@@ -101,9 +117,9 @@ def test_stream_equals_batch_over_many_files(spark, frame):
     ingest.use_rocksdb(spark)
     batch = spark.read.parquet(f"{base}/in")
     stream = ingest.read_files(spark, f"{base}/in", batch.schema, files_per_trigger=1)
-    log = sr.rule_stream(stream, RULE)
+    log = sr.rule_stream(stream, rule)
     ingest.write_files(log, f"{base}/out", f"{base}/ckpt").awaitTermination()
-    got = sr.current_alerts(spark.read.schema(log.schema).parquet(f"{base}/out"), RULE)
-    expected = fire(batch.filter(F.col("timestamp") < F.lit(rows[1200][1])), RULE).select("zone_id", "timestamp", "resolved_at")
+    got = sr.current_alerts(spark.read.schema(log.schema).parquet(f"{base}/out"), rule)
+    expected = fire(batch.filter(F.col("timestamp") < F.lit(rows[1200][1])), rule).select("zone_id", "timestamp", "resolved_at")
     a, b = sorted(map(tuple, got.collect()), key=str), sorted(map(tuple, expected.collect()), key=str)
     assert a == b and len(a) > 3

@@ -7,7 +7,7 @@ from zonelytics.plans import alerting as al
 from zonelytics.plans import views
 from zonelytics.registry import cols, query
 from zonelytics.registry.events import LATEST, LATEST_EQ, _HOURLY_DIGITS, _HOURLY_SQL
-from zonelytics.registry.ops import _EQ, _TEMP, _NUTR, _resolved
+from zonelytics.registry.ops import _COLD, _NUTR, _TEMP, _resolved, cold_rule
 from zonelytics.session import sized_state, work_dir
 from zonelytics.sources import sinks
 from zonelytics.sources.adapters import ADAPTERS, Tables
@@ -124,3 +124,11 @@ def _stream_rule(name, alerts_sql, rows, rule, source):
 
 _stream_rule("rul1_stream_temperature", _TEMP, "o_temp_rows", al.TEMPERATURE, lambda t: sv.enriched(live(t).telemetry, t.zone_config))
 _stream_rule("rul3_stream_nutrient", _NUTR, "o_nutrient_rows", al.NUTRIENT, lambda t: sv.enriched(live(t).telemetry, t.zone_config))
+
+ADAPTERS["o_cold_rows_closed"] = """SELECT * FROM o_cold_rows WHERE time_bucket(INTERVAL 60 SECOND, timestamp) + INTERVAL 60 SECOND <= (SELECT max(timestamp) - INTERVAL 2 MINUTE FROM alerts)"""
+
+
+@query("rul4_stream_cold_chain", f"SELECT zone_id, timestamp, CAST(NULL AS TIMESTAMP) AS resolved_at FROM {_COLD}".replace("o_cold_rows", "o_cold_rows_closed"))
+def _(t):
+    log = replay(t, sr.rule_stream(live(t).alerts, cold_rule(), tie=("alert_id",)))
+    return sr.current_alerts(log, cold_rule())

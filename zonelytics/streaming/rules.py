@@ -26,13 +26,18 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 class RuleProcessor(StatefulProcessor):
-    """State per key: end of the last reading, start of each branch's run, last alert, open alerts."""
+    """State per key: end of the last reading, start of each branch's run, last alert, last alert shown, open alerts.
 
-    def __init__(self, rule: Rule):
+    As in the batch form, alerts that pass the cooldown are thinned again by the
+    duplicate window where that is longer.
+    """
+
+    def __init__(self, rule: Rule, dedup: int = 300):
         self.sustain = [b.sustain * 1_000_000 for b in rule.branches]
         self.names = [b.name for b in rule.branches]
         self.gap = rule.gap * 1_000_000
         self.cooldown = rule.cooldown * 1_000_000
+        self.dedup = dedup * 1_000_000 if dedup > rule.cooldown else 0
         self.resolvable = rule.resolve is not None
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -40,7 +45,7 @@ class RuleProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         n = len(self.names)
-        s = json.loads(self.state.get()[0]) if self.state.exists() else {"at": None, "runs": [None] * n, "last": None, "open": []}
+        s = json.loads(self.state.get()[0]) if self.state.exists() else {"at": None, "runs": [None] * n, "last": None, "shown": None, "open": []}
         out: list[tuple] = []
         for us, conditions, resolved in sorted(
             (int(r.us), list(r.conditions), bool(r.resolved)) for part in rows for r in part.itertuples()
@@ -64,6 +69,9 @@ class RuleProcessor(StatefulProcessor):
                 s["open"] = []
             if fired and (s["last"] is None or us - s["last"] >= self.cooldown):
                 s["last"] = us
+                if self.dedup and s["shown"] is not None and us - s["shown"] < self.dedup:
+                    continue
+                s["shown"] = us
                 out.append((key[0], "fired", us, None, fired))
                 if self.resolvable:
                     s["open"].append(us)
@@ -75,7 +83,7 @@ class RuleProcessor(StatefulProcessor):
         pass
 
 
-def rule_stream(df: DataFrame, rule: Rule, ts: str = "timestamp", tie: tuple[str, ...] = (), delay: str = DEFAULT_DELAY) -> DataFrame:
+def rule_stream(df: DataFrame, rule: Rule, ts: str = "timestamp", tie: tuple[str, ...] = (), delay: str = DEFAULT_DELAY, dedup: int = 300) -> DataFrame:
     """Append-only change log: ``fired`` rows, then a ``resolved`` row per alert when it ends."""
     rows = evaluated(event_time(df, ts, delay), [rule], ts, tie)
     conditions = F.array(*[F.col(f"_c0_{i}") for i in range(len(rule.branches))])
@@ -86,7 +94,7 @@ def rule_stream(df: DataFrame, rule: Rule, ts: str = "timestamp", tie: tuple[str
     reduced = rows.groupBy(F.col(rule.key).alias("object_id"), F.window(ts, f"{rule.interval} seconds").alias("_w")).agg(last.alias("_r"))
     flat = reduced.select("object_id", "_r.us", "_r.conditions", "_r.resolved")
     return flat.groupBy("object_id").transformWithStateInPandas(
-        RuleProcessor(rule),
+        RuleProcessor(rule, dedup),
         outputStructType="object_id string, kind string, fired_us bigint, resolved_us bigint, branch string",
         outputMode="Append",
         timeMode="None",

@@ -27,10 +27,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, purpose: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: the lineage ends in files that outlive executors."""
-    path = f"{shared_dir(df.sparkSession)}/{purpose}-{uuid.uuid4().hex}"
+    """Write ``df`` to the shared folder and read it back: the lineage ends in files that outlive executors.
+
+    The files lie in one root per application, to be dropped when it has ended.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/zonelytics-{spark.sparkContext.applicationId}/{purpose}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def crc_mod(column: str, modulus: int):

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zonelytics.llm.common import Out, mix, rows
+from zonelytics.llm.common import Out, mix, rows, written
 
 BUCKETS = 1 << 16
 PREDICTIONS = "doc_id long, lang_pred string, score double, languages array<string>, proportions array<double>"
@@ -118,7 +118,8 @@ def fit(docs: DataFrame, max_langs: int = 256) -> Model:
             at = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(counts[at])], ["lang", "bucket", "n"])
 
-    found = docs.where("text is not null and lang is not null").select("text", "lang").mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    counted = docs.where("text is not null and lang is not null").select("text", "lang").mapInArrow(count, "lang string, bucket long, n long")
+    found = written(counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")), "trigram-counts")
     if found.select("lang").distinct().limit(max_langs + 1).count() > max_langs:
         raise ValueError(f"more than {max_langs} languages")
     got = found.toArrow()

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterable, Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +41,6 @@ def crc_mod(column: str, modulus: int):
     return F.crc32(F.col(column).cast("string")) % modulus
 
 
-@cache
 def seeded(text: str) -> np.uint64:
     """A fixed odd 64-bit constant named by ``text``."""
     return np.uint64(xxhash.xxh3_64_intdigest(text.encode()) | 1)

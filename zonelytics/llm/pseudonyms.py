@@ -19,6 +19,20 @@ _NATIONAL = r"(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?![0-9A-Za-z]|[.-]\d)"
 _PHONE = r"\+\d(?:[ ./()-]{0,2}\d){7,14}(?![0-9A-Za-z])"
 #: what may be a value; whether it is one is validated afterwards
 FOUND = rf"(?<![0-9A-Za-z])(?:{_EMAIL}|{_IBAN}|{_IP}|{_DATE}|{_SSN}|{_CARD}|{_NATIONAL})|(?<![0-9A-Za-z+])(?:{_PHONE})"
+_WHOLE = rf"^(?:{_EMAIL}|{_IBAN}|{_IP}|{_DATE}|{_SSN}|{_CARD}|{_NATIONAL}|{_PHONE})$"
+_CLOSED = r"(?![0-9A-Za-z]|[0-9A-Za-z._%+-]{0,64}@)"
+#: where values may lie side by side: runs of digits (after an IBAN's head also of capitals) and separators that do not reach into an
+#: address. Character classes only: the engine recurses over repeated groups
+REGION = rf"(?<![0-9A-Za-z])(?:{_EMAIL}|[A-Z]{{2}}\d{{2}}[0-9A-Z ./()+-]{{8,}}[0-9A-Z]{_CLOSED}|(?!(?<=\d\.)\d{{1,3}}(?:\.\d{{1,3}}){{3}}(?!\d))[+(]?\d[0-9 ./()+-]{{5,}}\d{_CLOSED})"
+#: the candidates of every length at one place
+_IBANS = [rf"[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{{k}}}{tail}(?![0-9A-Za-z])" for k in range(2, 8) for tail in ("", " ?[A-Z0-9]{1,3}")]
+_CARDS = [rf"\d(?:[ -]?\d){{{n - 1}}}(?![0-9A-Za-z])" for n in range(13, 20)]
+_PHONES = [rf"\+\d(?:[ ./()-]{{0,2}}\d){{{n - 1}}}(?![0-9A-Za-z])" for n in range(8, 16)]
+#: candidates that go before card numbers in odd groups and before other countries' phone numbers, of which many lengths validate
+_USUAL = (
+    rf"^(?:[A-Z].*|{_IP}|{_DATE}|{_SSN}|{_NATIONAL}|\+1(?:[ ./()-]{{0,2}}\d){{10}}"
+    r"|\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}(?:\1\d{3})?|\d{4}([ -])\d{6}\2\d{4,5})$"
+)
 
 
 def _digest(key: str, tag: str, step: Column, value: Column) -> Column:
@@ -175,7 +189,7 @@ def _iban(hit: Column, key: str) -> Column:
 
 
 def _phone(hit: Column, key: str) -> Column:
-    """North American numbers keep their country code and stay dialable; of others the country's first two digits stay."""
+    """North American numbers keep their country code; dialable ones stay so. Of others the country's first two digits stay."""
     d = _digits(hit)
     ten = F.when(hit.startswith("+"), F.substr(d, F.lit(2))).otherwise(d)
     area, office, line = (F.substr(ten, F.lit(p), F.lit(n)).cast("long") for p, n in ((1, 3), (4, 3), (7, 4)))
@@ -186,10 +200,19 @@ def _phone(hit: Column, key: str) -> Column:
         return F.concat(area.cast("string"), office.cast("string"), _pad(F.pmod(v, F.lit(10_000)), 4))
 
     american = (~hit.startswith("+") | hit.startswith("+1")) & (F.length(ten) == 10) & (area >= 200) & (office >= 200)
+    # the other 3.6e9 numbers of ten digits are permuted among themselves
+    low = F.when(area < 200, ten.cast("long")).otherwise(((area - 200) * 200 + office) * 10_000 + line + 2_000_000_000)
+
+    def low_text(v: Column) -> Column:
+        w = v - 2_000_000_000
+        high = F.concat((F.floor(w / 2_000_000).cast("long") + 200).cast("string"), _pad(F.pmod(F.floor(w / 10_000).cast("long"), F.lit(200)), 3), _pad(F.pmod(w, F.lit(10_000)), 4))
+        return F.when(w < 0, _pad(v, 10)).otherwise(high)
+
+    undialled = F.transform(F.array(permuted(low, 60_000, 60_000, key, "phone below 200")), lambda v: _laid_out(hit, F.concat(F.lit("1"), low_text(v))))[0]
     home = F.transform(F.array(y), lambda v: _laid_out(hit, F.concat(F.when(hit.startswith("+"), "1").otherwise(""), text(v))))[0]
     rest = _by_length(F.substr(d, F.lit(3)), range(6, 14), key, "abroad")
     abroad = F.when(hit.startswith("+") & ~hit.startswith("+1"), _laid_out(hit, F.concat(F.substr(d, F.lit(1), F.lit(2)), rest)))
-    return F.when(american, home).otherwise(abroad)
+    return F.when(american, home).when(hit.startswith("+1") & (F.length(ten) == 10), undialled).otherwise(abroad)
 
 
 def _email(hit: Column, key: str) -> Column:
@@ -218,12 +241,47 @@ def pseudonym(hit: Column, key: str) -> Column:
     return out
 
 
+def _candidates(region: Column) -> Column:
+    """(rank, start, -length, text) of what may be a value in a region: the whole, usual formats, other formats."""
+
+    def at(i: Column, here: Column) -> Column:
+        found = [F.regexp_extract(here, f"^(?:{p})", 0) for p in (*_IBANS, _DATE, _SSN, *_CARDS, _NATIONAL, *_PHONES)]
+        found.append(F.when((i > 2) & F.substr(region, i - 2, F.lit(2)).rlike(r"^\d\.$"), F.lit("")).otherwise(F.regexp_extract(here, f"^(?:{_IP})", 0)))
+        each = F.filter(F.array_distinct(F.array(*found)), lambda t: t != "")
+        return F.transform(each, lambda t: F.struct(F.when(t.rlike(_USUAL), 0).otherwise(1).alias("rank"), i.alias("start"), (-F.length(t)).alias("length"), t.alias("text")))
+
+    def begins(i: Column) -> Column:
+        return F.substr(region, i, F.lit(1)).rlike("[0-9A-Z+(]") & ((i == 1) | ~F.substr(region, i - 1, F.lit(1)).rlike("[0-9A-Za-z]"))
+
+    starts = F.filter(F.sequence(F.lit(1), F.length(region)), begins)
+    parts = F.flatten(F.zip_with(starts, F.transform(starts, lambda i: F.substr(region, i, F.lit(64))), at))
+    whole = F.array(F.struct(F.lit(-1).alias("rank"), F.lit(1).alias("start"), (-F.length(region)).alias("length"), region.alias("text")))
+    parts = F.when(region.contains("@"), F.slice(parts, 1, 0)).otherwise(parts)
+    return F.when(region.rlike(_WHOLE), F.concat(whole, parts)).when(region.rlike(FOUND), parts).otherwise(F.slice(whole, 1, 0))
+
+
+def _take(taken: Column, c: Column) -> Column:
+    apart = F.forall(taken, lambda t: (t["start"] - t["length"] <= c["start"]) | (c["start"] - c["length"] <= t["start"]))
+    return F.when(apart, F.concat(taken, F.array(c))).otherwise(taken)
+
+
+def _put_in(region: Column, taken: Column) -> Column:
+    """``region`` with the taken values' pseudonyms in their places."""
+
+    def put(s: Column, t: Column) -> Column:
+        return F.struct(F.concat(s["out"], F.substr(region, s["at"], t["start"] - s["at"]), t["new"]).alias("out"), (t["start"] - t["length"]).alias("at"))
+
+    order = F.array_sort(F.transform(taken, lambda t: F.struct(t["start"].alias("start"), t["length"].alias("length"), t["new"].alias("new"))))
+    return F.aggregate(order, F.struct(F.lit("").alias("out"), F.lit(1).alias("at")), put, lambda s: F.concat(s["out"], F.substr(region, s["at"])))
+
+
 def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Replace personal numbers, dates and addresses in ``docs`` by pseudonyms; adds ``n_replaced``.
 
     A value is replaced when it validates: card numbers by Luhn, IBANs by mod 97, IPv4 octets, US social
     security ranges, calendar dates of 1900 to 2099, North American and ``+`` phone numbers, e-mail
-    addresses. A keyed Feistel permutation maps it to a valid value of the same format and notation, so
+    addresses. Where numbers lie side by side, every part between borders of groups is tried, so that a
+    value is also found beside others. A keyed Feistel permutation maps it to a valid value of the same format and notation, so
     the same value becomes the same pseudonym in every document, and different values of a format stay
     different. A slash date is month first if that is a date, else day first. All is done in the row,
     with built-in functions; there is no shuffle. All columns of ``docs`` are kept (one named
@@ -232,10 +290,16 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     NULL text stays NULL and has n_replaced 0; a text without values stays as it is.
     """
     names = [c for c in docs.columns if c != "n_replaced"]
-    hits, new = "__hits", "__new"
-    out = docs.select(*(F.col(f"`{c}`") for c in names), F.regexp_extract_all(F.col(text), F.lit(FOUND), F.lit(0)).alias(hits))
-    out = out.withColumn(new, F.when(F.size(hits) > 0, F.transform(F.col(hits), lambda h: pseudonym(h, key))))
-    parts = F.zip_with(F.split(F.col(text), FOUND, -1), F.zip_with(F.col(hits), F.col(new), lambda h, n: F.coalesce(n, h)), lambda p, n: F.concat(p, F.coalesce(n, F.lit(""))))
-    replaced = F.when(F.size(hits) > 0, F.array_join(parts, "")).otherwise(F.col(text))
-    count = F.when(F.size(hits) > 0, F.size(F.filter(F.col(new), lambda n: n.isNotNull()))).otherwise(0)
+    keep, regions, new = [F.col(f"`{c}`") for c in names], "__regions", "__new"
+
+    def renewed(c: Column) -> Column:
+        return F.struct(c["rank"].alias("rank"), c["start"].alias("start"), c["length"].alias("length"), pseudonym(c["text"], key).alias("new"))
+
+    out = docs.select(*keep, F.regexp_extract_all(F.col(text), F.lit(REGION), F.lit(0)).alias(regions))
+    out = out.select(*keep, regions, F.transform(F.col(regions), _candidates).alias(new))
+    out = out.select(*keep, regions, F.transform(F.col(new), lambda cs: F.array_sort(F.filter(F.transform(cs, renewed), lambda c: c["new"].isNotNull()))).alias(new))
+    out = out.select(*keep, regions, F.transform(F.col(new), lambda cs: F.aggregate(cs, F.slice(cs, 1, 0), _take)).alias(new))
+    parts = F.zip_with(F.split(F.col(text), REGION, -1), F.zip_with(F.col(regions), F.col(new), _put_in), lambda p, n: F.concat(p, F.coalesce(n, F.lit(""))))
+    replaced = F.when(F.size(regions) > 0, F.array_join(parts, "")).otherwise(F.col(text))
+    count = F.when(F.size(regions) > 0, F.aggregate(F.col(new), F.lit(0), lambda s, n: s + F.size(n))).otherwise(0)
     return out.select(*(replaced.alias(c) if c == text else F.col(f"`{c}`") for c in names), count.cast("int").alias("n_replaced"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonelytics.llm import decontaminate, langmix, lineblocks, maxent, packing, partenum, pseudonyms, spans, spotsigs, toxicity
+from zonelytics.llm import alignment, decontaminate, langmix, licenses, lineblocks, maxent, negatives, packing, partenum, pseudonyms, spans, spotsigs, toxicity
 from zonelytics.llm.common import crc_mod, table
 
 
@@ -58,22 +58,53 @@ def op9_partenum_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partenum.jaccard_groups(table(spark, sf_dir, "documents"), n=3, percent=90)
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_angular_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(e.select(F.col("vec_id").alias("id"), label.alias("label"), (F.col("vec_id") % 50 == 0).alias("anchor"), F.col("embedding").alias("vector")))
+
+
+def op12_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = {c: F.array_join(c, ",") for c in ("base_labels", "labels")}
+    return licenses.scan(table(spark, sf_dir, "documents")).withColumns(joined).select(
+        "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "permitted", F.size("found").alias("n_found")
+    )
+
+
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_spaced_seed_decontamination, op2_spotsigs_fingerprints, op3_language_mixture, op4_nearest_example_toxicity, op5_sentence_span_dedup,
         op6_hashed_maxent_scores, op7_feistel_pseudonyms, op8_line_block_extraction, op9_partenum_jaccard_join, op10_best_fit_packing,
+        op11_angular_hard_negatives, op12_licence_scan, op13_tokenizer_alignment,
     )
 }
 #: SQL for those that SQL expresses
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op11_angular_hard_negatives": """
+  WITH rows AS (
+    SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+    FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  scored AS (
+    SELECT a.id AS anchor_id, r.id, r.label = a.label AS same, coalesce(list_sum(list_transform(list_zip(a.v, r.v), lambda z: z[1] * z[2])), 0)::BIGINT AS score
+    FROM rows a JOIN rows r ON a.id <> r.id WHERE a.id % 50 = 0),
+  positives AS (SELECT * FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+  SELECT p.anchor_id, p.id AS positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY n.score DESC, n.id) AS INTEGER) AS rank, n.id AS negative_id,
+    p.score AS positive_score, n.score AS negative_score
+  FROM positives p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.same AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
+  QUALIFY row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY n.score DESC, n.id) <= 3""",
+}

@@ -26,6 +26,11 @@ _ARROW = pa.schema([
 BITS = 32
 _LOW = (1 << BITS) - 1
 _LOOSE = re.compile(r"\A\s|\s\Z| \s|\s ")  # a run that begins or ends with white space, or is empty
+_LATIN = re.compile("[\x00-\x0c\x0e-\x7e\xa0-\xa9\xab-\xb1\xb4-\xb8\xbb\xbf-\u024f]*")  # but carriage returns, raised digits and fractions
+_W, _O = r"[^\W_]", r"(?:[^\w\s]|_)"  # letters and numbers; all else but white space
+# what no tokenizer reads across: a run with an apostrophe, one behind other white space, else letters and numbers or others
+_UNIT = re.compile(rf" [^\s']*'\S*|[^\S ]+\S+| ?{_W}+| ?{_O}+")
+_CROSSES = re.compile(rf"\S |{_W}{_O}|{_O}{_W}|\S[^\S ]")
 
 
 def _shown() -> dict[str, int]:
@@ -49,6 +54,7 @@ class Byte:
         for token, i in vocabulary.items():
             self.bytes[i] = bytes(shown[c] for c in token) if all(c in shown for c in token) else token.encode()
         self.lengths = np.array([len(b) for b in self.bytes], np.int64)
+        self.names = [str(i) for i in range(len(self.bytes))]
 
     def ends(self, text: str) -> tuple[list[int], np.ndarray] | None:
         """None where the tokens' bytes are not those of space + text."""
@@ -79,6 +85,7 @@ class Piece:
         names = [self.encoder.id_to_piece(i) for i in range(n)]
         self.bytes = [bytes([int(p[3:5], 16)]) if one else p.replace("▁", " ").encode() for p, one in zip(names, self.single, strict=True)]
         self.lengths = np.array([len(b) for b in self.bytes], np.int64)
+        self.names = [str(i) for i in range(len(self.bytes))]
 
     def ends(self, text: str) -> tuple[list[int], np.ndarray] | None:
         """None where the pieces' bytes are not those of space + text."""
@@ -105,64 +112,80 @@ class Aligner:
 
     Both tokenizers treat a run between single spaces alike wherever it stands, if it neither begins nor ends
     with white space: the byte-level one cuts there by its pattern, and no piece of the other holds a space behind another
-    character (both checked). Such a text's
-    runs are aligned once each and remembered, up to ``remembered`` of them and ``budget`` characters, then anew;
-    all other texts are aligned whole. Either way it is the same function of the text.
+    character. In Latin text the same holds between letters or numbers and other characters, but for apostrophes (all
+    of this is checked on the vocabulary). Such units of a text are aligned once each and remembered, ``remembered`` of
+    them in each of two generations, so that frequent ones stay; all other texts are aligned whole. Either way it is the
+    same function of the text.
     """
 
-    def __init__(self, byte_path: str, piece_path: str, remembered: int = 300_000, budget: int = 8_000_000):
+    def __init__(self, byte_path: str, piece_path: str, remembered: int = 120_000):
         self.a, self.b = Byte(byte_path), Piece(piece_path)
-        self.remembered, self.budget, self.known, self.spent = remembered, budget, {}, 0
+        self.remembered, self.known, self.old = remembered, {}, {}
         steps = json.loads(self.a.encoder.to_str())
         first = steps.get("pre_tokenizer") or {}
         cuts = first.get("type") == "ByteLevel" and first.get("use_regex") and not first.get("add_prefix_space") and not steps.get("normalizer")
-        self.by_run = bool(cuts) and not any(b" " in x.lstrip(b" ") for x in self.b.bytes)
+        names = [x.decode("utf-8", "replace") for i, x in enumerate(self.b.bytes) if not self.b.encoder.is_control(i) and not self.b.encoder.is_unknown(i)]
+        self.by_run = bool(cuts) and not any(re.search(r"\S ", x) for x in names)
+        self.by_unit = self.by_run and not any(_CROSSES.search(x) for x in names if _LATIN.fullmatch(x))
 
-    def whole(self, text: str, runs: Sequence[str]):
-        """One (fragment, pair bytes, n_a, n_b, n_groups) for each run of the text, joined by single spaces; None if bytes differ."""
+    def whole(self, text: str, parts: Sequence[str]):
+        """One (group text, pair bytes, n_a, n_b, n_groups) for each of the ``parts`` that make up space + text; None if bytes differ."""
         one, two = self.a.ends(text), self.b.ends(text)
         if one is None or two is None:
             return None
         (a, ends_a), (b, ends_b) = one, two
-        cut, at_a, at_b = np.intersect1d(ends_a, ends_b, assume_unique=True, return_indices=True)
-        linked = (np.array(a, np.int64)[at_a] << BITS | np.array(b, np.int64)[at_b]).tobytes()
+        a, b = np.array(a, np.int64), np.array(b, np.int64)
+        place = np.minimum(np.searchsorted(ends_b, ends_a), len(ends_b) - 1)
+        at_a = np.flatnonzero(ends_b[place] == ends_a)
+        at_b, cut = place[at_a], ends_a[at_a]
+        linked = (a[at_a] << BITS | b[at_b]).tobytes()
         to_a, to_b = np.append(0, at_a + 1), np.append(0, at_b + 1)
-        upto = np.searchsorted(cut, np.cumsum([1 + len(r.encode()) for r in runs]), "right")
+        upto = np.searchsorted(cut, np.cumsum([len(p.encode()) for p in parts]), "right")
         n_a, n_b = (np.diff(to[upto], prepend=0).tolist() for to in (to_a, to_b))
-        names_a, names_b, to_a, to_b, upto = list(map(str, a)), list(map(str, b)), to_a.tolist(), to_b.tolist(), upto.tolist()
-        parts = [f"{','.join(names_a[i:j])}|{','.join(names_b[k:m])}" for i, j, k, m in zip(to_a, to_a[1:], to_b, to_b[1:], strict=False)]
+        names_a, names_b, to_a, to_b, upto = [self.a.names[i] for i in a.tolist()], [self.b.names[i] for i in b.tolist()], to_a.tolist(), to_b.tolist(), upto.tolist()
+        groups = [
+            f"{names_a[i] if j == i + 1 else ','.join(names_a[i:j])}|{names_b[k] if m == k + 1 else ','.join(names_b[k:m])}"
+            for i, j, k, m in zip(to_a, to_a[1:], to_b, to_b[1:], strict=False)
+        ]
         return [
-            (";".join(parts[i:j]), linked[8 * i : 8 * j], x, y, j - i)
+            (";".join(groups[i:j]), linked[8 * i : 8 * j], x, y, j - i)
             for i, j, x, y in zip([0, *upto], upto, n_a, n_b, strict=False)
         ]
 
     def learn(self, new: list[str]) -> None:
-        for at in range(0, len(new), 2000):
-            part = new[at : at + 2000]
-            found = self.whole(" ".join(part), part)
-            if found is None:  # some run's bytes differ: each alone
-                found = [(self.whole(run, [run]) or [None])[0] for run in part]
-            self.known.update(zip(part, found, strict=True))
-            self.spent += sum(map(len, part))
+        """Align units by the hundreds; one that does not begin with white space stands behind one of the other kind."""
+        for at in range(0, len(new), 500):
+            part, chain = new[at : at + 500], [" a"]
+            for unit in part:
+                chain += "" if unit[0].isspace() else " ." if unit[0].isalnum() else " a", unit
+            found = self.whole("".join(chain)[1:], chain)
+            if found is None:  # some unit's bytes differ: each alone
+                found = [None] * len(chain)
+                for i, unit in enumerate(part):
+                    before = " a" + chain[2 * i + 1]
+                    found[2 * i + 2] = (self.whole((before + unit)[1:], [before, unit]) or [None, None])[1]
+            self.known.update(zip(part, found[2::2], strict=True))
 
     def text(self, text: str | None):
         """(group text, pair bytes, n_a, n_b, n_groups), or None for a text without tokens."""
         if not text:
             return None
         if not self.by_run or _LOOSE.search(text):
-            found = self.whole(text, [text])
+            found = self.whole(text, [" " + text])
             return found[0] if found else None
-        runs = text.split(" ")
-        missing = {r for r in runs if r not in self.known}
+        units = _UNIT.findall(" " + text) if self.by_unit and _LATIN.fullmatch(text) else [" " + r for r in text.split(" ")]
+        missing = {u for u in units if u not in self.known}
         if missing:
-            if len(self.known) + len(missing) > self.remembered or self.spent > self.budget:
-                self.known, self.spent, missing = {}, 0, set(runs)
-            self.learn(sorted(missing))
-        found = [self.known[r] for r in runs]
+            again = {u: self.old[u] for u in missing if u in self.old}
+            if len(self.known) + len(missing) > self.remembered:
+                self.old, self.known = self.known, {u: self.known[u] for u in units if u in self.known}
+            self.known.update(again)
+            self.learn(sorted(missing.difference(again)))
+        found = [self.known[u] for u in units]
         if None in found:
             return None
-        parts, links, n_a, n_b, n = zip(*found, strict=True)
-        return ";".join(parts), b"".join(links), sum(n_a), sum(n_b), sum(n)
+        groups, links, n_a, n_b, n = zip(*found, strict=True)
+        return ";".join(groups), b"".join(links), sum(n_a), sum(n_b), sum(n)
 
 
 def links(docs: DataFrame, byte_path: str, piece_path: str) -> DataFrame:

@@ -88,7 +88,7 @@ def test_stages_on_empty_tables(spark, corpus):
 
 def test_all_queries_are_registered():
     names = [n for n in __spark_entry__.queries() if n == "pipeline" or n in QUERIES]
-    assert sorted(int(n[2:].split("_")[0]) for n in names if n != "pipeline") == list(range(1, 11)) and "pipeline" in names
+    assert sorted(int(n[2:].split("_")[0]) for n in names if n != "pipeline") == list(range(1, 14)) and "pipeline" in names
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "n-gram Jaccard join", "benchmark decontamination", "PII", "packing"]
     assert corpus_pipeline.ORACLE_SQL is None and KEY and toxicity and partenum and pseudonyms and ascii_words
 

@@ -186,7 +186,7 @@ class BitTable:
                 fine = self.hit(np.asarray(batch.column(batch.num_columns - 1)).view(np.uint64))
                 yield batch.filter(pa.array(fine == inside)).select(list(range(batch.num_columns - 1)))
 
-        return df.withColumn("__key", F.xxhash64(*key)).mapInArrow(keep, df.schema)
+        return df.withColumn(unused(df, "thinned"), F.xxhash64(*key)).mapInArrow(keep, df.schema)
 
     def hit(self, h: np.ndarray) -> np.ndarray:
         """Which of the keys may be in the set."""
@@ -200,11 +200,39 @@ def _places(h: np.ndarray, bits: np.uint64) -> tuple[np.ndarray, np.ndarray]:
     return (h >> np.uint64(8)) % bits, (h * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(11)) % bits
 
 
-def without(df: DataFrame, ids: DataFrame) -> DataFrame:
-    """``df`` without the rows whose doc_id is among ``ids(doc_id)``; rows without doc_id stay.
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one where ``df`` has such a column (case does not count)."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
 
-    Only rows that a bit table of the ids lets through are shuffled for the exact anti-join.
+
+def row_key():
+    """Names a row by its doc_id and text: rows alike in both share it, and any decision on them. NULLs are values here."""
+    return F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text")
+
+
+def without(df: DataFrame, keys: DataFrame) -> DataFrame:
+    """``df(doc_id, text, ...)`` without the rows whose ``row_key()`` is among ``keys(key)``.
+
+    Only rows that a bit table of the keys lets through are shuffled for the exact anti-join.
     """
-    table = BitTable.of(ids.select(F.xxhash64("doc_id")))
-    kept = table.thin(df, "doc_id").join(ids.hint("merge"), "doc_id", "left_anti").select(*(F.col(f"`{c}`") for c in df.columns))
-    return table.thin(df, "doc_id", inside=False).unionByName(kept)
+    name, whole = unused(df, "key"), [F.col(f"`{c}`") for c in df.columns]
+    table, keyed = BitTable.of(keys.select(F.xxhash64("key"))), df.withColumn(name, row_key())
+    left = table.thin(keyed, name).join(keys.select(F.col("key").alias(name)).hint("merge"), name, "left_anti")
+    return table.thin(keyed, name, inside=False).select(*whole).union(left.select(*whole))
+
+
+def release() -> None:
+    """Drop what an operator has parked in this Python worker, and hand the memory back.
+
+    Workers are reused between tasks and stages; an operator that needs much memory calls this first.
+    """
+    import ctypes
+    import gc
+    import sys
+
+    if "tokenizers" in sys.modules and sys.modules["tokenizers"].__dict__.pop("_ids_by_path", None):
+        gc.collect()
+        getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)(0)

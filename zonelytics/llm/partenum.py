@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from zonelytics.llm.common import BitTable, Out, ascii_words, components, mix, rows, seeded, set_key, shingle_keys, without, word_keys, written
+from zonelytics.llm.common import BitTable, Out, ascii_words, components, mix, row_key, rows, seeded, set_key, shingle_keys, unused, without, word_keys, written
 
 
 class PartEnum:
@@ -170,8 +170,11 @@ def jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80, block_sets: i
         yield out.batch()
 
     members = written(docs.mapInArrow(emit, "doc_id long, n_shingles long, set_key long, signatures array<long>"), "shingle-sets")
-    lowest = F.min("set_key").over(Window.partitionBy("signature"))
-    shared = members.select("set_key", F.explode("signatures").alias("signature")).select("set_key", lowest.alias("low")).where("set_key <> low").distinct()
+    # a signature's sets are never gathered: its smallest set by partial aggregation, then a join of the few rows whose signature has several
+    signed_sets = members.select("set_key", F.explode("signatures").alias("signature"))
+    lows = written(signed_sets.groupBy("signature").agg(F.min("set_key").alias("low"), F.max("set_key").alias("high")).where("low <> high").select("signature", "low"), "signatures")
+    met = BitTable.of(lows.select(F.xxhash64("signature"))).thin(signed_sets, "signature")
+    shared = met.join(lows.hint("merge"), "signature").where("set_key <> low").select("set_key", "low").distinct()
     clusters = components(shared.select(F.col("set_key").alias("a"), F.col("low").alias("b"))).select(F.col("node").alias("set_key"), F.col("component").alias("cluster"))
 
     nodes = members.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n")).join(clusters, "set_key")
@@ -220,21 +223,32 @@ def jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80, block_sets: i
         tile = F.concat_ws(",", "r", "c").alias("block")
         links = written(links.union(compared(asked.select("*", tile).unionByName(every.select("*", tile)))), "links")
 
-    named = components(links).withColumnRenamed("node", "set_key")
-    flat = members.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left").withColumn("component", F.coalesce("component", "set_key"))
-    smallest = flat.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("least"))
-    return flat.join(smallest, "component", "left").select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
+    # the class's smallest doc_id is found on sets; each document meets it once, by its set
+    own = members.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"))
+    own = own.join(components(links).withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("component", F.coalesce("component", "set_key"))
+    least = own.join(own.groupBy("component").agg(F.min("doc_id").alias("least")), "component").select("set_key", "least")
+    flat = members.select("doc_id", "n_shingles", "set_key").join(least, "set_key", "left")
+    return flat.select("doc_id", "n_shingles", F.coalesce("least", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document of each class: the one of the smallest doc_id, and of equal rows one.
+    """``docs`` with one row of each class: that of the smallest doc_id (NULL last), and of rows alike in doc_id and text one.
 
-    All columns are kept. Rows without doc_id cannot be told apart and stay; rows that share a doc_id share its fate.
+    Rows that share a doc_id but not the text are told apart. All columns are kept. NULL, empty and blank texts resemble
+    nothing: all such rows stay.
     """
-    groups = written(jaccard_groups(docs, n, percent), "groups")
-    left = without(docs, written(groups.where("doc_id <> component_id").select("doc_id").distinct(), "near-duplicates"))
-    repeated = BitTable.of(groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.xxhash64("doc_id")))
-    order = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0))
-    again = F.col("doc_id").isNotNull() & F.col("text").isNotNull() & (F.col("__copy") > 1)
-    some = repeated.thin(left, "doc_id").withColumn("__copy", F.row_number().over(order)).where(~again).drop("__copy")
-    return repeated.thin(left, "doc_id", inside=False).unionByName(some)
+    keyed = docs.select(row_key().alias("doc_id"), F.col("doc_id").cast("long").alias("id"), "text")
+    groups = written(jaccard_groups(keyed, n, percent).where("n_shingles > 0").groupBy("component_id", "doc_id").agg(F.count("*").alias("copies")), "groups")
+    several = groups.groupBy("component_id").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low <> high").select("component_id")
+    members = written(groups.join(several, "component_id").select("component_id", F.col("doc_id").alias("key")), "members")
+    named = BitTable.of(members.select(F.xxhash64("key"))).thin(keyed.select(F.col("doc_id").alias("key"), "id"), "key").groupBy("key").agg(F.min("id").alias("id"))
+    first = members.join(named, "key").groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "key"))["key"].alias("first"))
+    left = without(docs, written(members.join(first, "component_id").where("key <> first").select("key"), "near-duplicates"))
+    repeated = BitTable.of(groups.where("copies > 1").select(F.xxhash64("doc_id")))
+    key = unused(left, "key")
+    number = unused(left, "copy")
+    keyed = left.withColumn(key, row_key())
+    once = Window.partitionBy(key, F.col("text").rlike(r"[^\x20\x09-\x0D]")).orderBy(F.lit(0))
+    some = repeated.thin(keyed, key).withColumn(number, F.row_number().over(once)).where((F.col(number) == 1) | ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
+    whole = [F.col(f"`{c}`") for c in docs.columns]
+    return repeated.thin(keyed, key, inside=False).select(*whole).union(some.select(*whole))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zonelytics.llm.common import BitTable, Out, plain_words, rows, written
+from zonelytics.llm.common import BitTable, Out, plain_words, release, rows, written
 
 SCORES = "doc_id long, score double, predicted int, neighbours array<long>, similarities array<double>, terms array<string>"
 _ARROW = pa.schema(
@@ -34,7 +34,18 @@ def word_terms(word: str) -> list[str]:
 def _counted(labelled: DataFrame, keep: frozenset[str] | None, schema: str = "term string, toxic int, n long") -> DataFrame:
     """Documents of either label that hold each term, counted per task and then summed."""
 
+    def summed(found):
+        for toxic, counts in found.items():
+            items = list(counts.items())
+            counts.clear()
+            for at in range(0, len(items), 50_000):
+                part = items[at : at + 50_000]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([t for t, _ in part], pa.string()), pa.array([toxic] * len(part), pa.int32()), pa.array([n for _, n in part], pa.int64())], ["term", "toxic", "n"]
+                )
+
     def count(batches):
+        release()
         found = {0: Counter(), 1: Counter()}
         known: dict[str, tuple[str, ...]] = {}
         for text, toxic in rows(batches, "text", "toxic"):
@@ -42,18 +53,14 @@ def _counted(labelled: DataFrame, keep: frozenset[str] | None, schema: str = "te
             for w in set(words(text)):
                 got = known.get(w)
                 if got is None:
-                    if len(known) > 500_000:
+                    if len(known) > 100_000:
                         known.clear()
                     got = known[w] = tuple(t for t in word_terms(w) if keep is None or t in keep)
                 terms.update(got)
             found[toxic].update(terms)
-        for toxic, counts in found.items():
-            items = list(counts.items())
-            for at in range(0, len(items), 50_000):
-                part = items[at : at + 50_000]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([t for t, _ in part], pa.string()), pa.array([toxic] * len(part), pa.int32()), pa.array([n for _, n in part], pa.int64())], ["term", "toxic", "n"]
-                )
+            if len(found[0]) + len(found[1]) > 500_000:
+                yield from summed(found)
+        yield from summed(found)
 
     return labelled.select("text", "toxic").mapInArrow(count, schema).groupBy("term", "toxic").agg(F.sum("n").alias("n"))
 
@@ -135,7 +142,7 @@ class Model:
         for w in words(text):
             got = self.known.get(w)
             if got is None:
-                if len(self.known) > 500_000:
+                if len(self.known) > 150_000:
                     self.known.clear()
                 got = self.known[w] = tuple(self.terms[t][0] for t in word_terms(w) if t in self.terms)
             if got:
@@ -161,7 +168,7 @@ class Model:
         names = [self.names[t] for t, _ in vector]
         raw, near, sims = self.raw(vector) if vector and self.index.n else (self.bare, [], [])
         out = (float(np.interp(raw, *self.curve)) if near else self.bare, near, sims, names)
-        if len(self.voted) > 50_000:
+        if len(self.voted) > 10_000:
             self.voted.clear()
         self.voted[vector] = out
         return out
@@ -209,6 +216,7 @@ def fit(labelled: DataFrame, max_examples: int = 20_000, max_terms: int = 2048,
     shell = Model(terms, [], (0, 0), 0.5, k, shrink)
 
     def vectors(batches):
+        release()
         schema = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("terms", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32()))])
         out = Out(schema)
         for doc_id, text, label in rows(batches, "doc_id", "text", "toxic"):
@@ -285,6 +293,7 @@ def clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose text scores below ``threshold``."""
 
     def keep(batches):
+        release()
         for batch in batches:
             fine = [model.vote(model.vector(text))[0] < threshold for (text,) in rows([batch], "text")]
             yield batch.filter(pa.array(fine, pa.bool_()))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zonelytics.llm import decontaminate, packing, partenum, pseudonyms, toxicity
-from zonelytics.llm.common import table, without, written
+from zonelytics.llm.common import row_key, table, without, written
 from zonelytics.llm.queries import KEY, tokenizer_path
 
 
@@ -22,17 +22,21 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that overlap with no item of ``benchmark``."""
-    found = written(decontaminate.leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "contaminated")
-    return without(docs, found)
+    """Documents that overlap with no item of ``benchmark``; rows that share a doc_id but not the text are told apart."""
+    keyed = docs.select(row_key().alias("doc_id"), "text")
+    found = decontaminate.leaks(keyed, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("key")).distinct()
+    return without(docs, written(found, "contaminated"))
 
 
 def hide_personal_values(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal values become pseudonyms; ``n_chars`` follows the new text."""
-    new = pseudonyms.pseudonymise(docs, KEY).drop("n_replaced")
+    """Personal values become pseudonyms; ``n_chars`` follows the new text. Other columns, whatever their names, stay."""
+    whole = docs.select("text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    new = pseudonyms.pseudonymise(whole, KEY)
+    columns = {c: F.col("row").getField(c) for c in docs.columns} | {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        new = new.withColumn("n_chars", F.when(F.col("text") == "", F.col("n_chars")).otherwise(F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars"))))
-    return new.select(*docs.columns)
+        old, kind = columns["n_chars"], docs.schema["n_chars"].dataType
+        columns["n_chars"] = F.when(F.col("text") == "", old).otherwise(F.coalesce(F.length("text").cast(kind), old))
+    return new.select(*(columns[c].alias(c) for c in docs.columns))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

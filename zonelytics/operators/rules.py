@@ -175,50 +175,38 @@ def spaced(df: DataFrame, by: Sequence[str], ts: str, seconds: int, chunk: int =
     """Greedy thinning: a row stays when it is at least ``seconds`` after the last row kept before it.
 
     Of several rows of a key at one kept instant the first by ``tie`` stays (without it: by all columns).
+    NULL keys are a key; rows without a time are dropped.
 
-    Exact without gathering a key's history. Per (key, day) the times (at most
-    one per evaluation interval) are folded once for every time that could be
-    the day's first pick, i.e. those in its first ``seconds`` and the next one;
-    a second fold over one small row per day then finds the real first pick.
+    Exact, and no key's history is gathered. An instant with none of its key within ``seconds`` before it is
+    always kept. Every other pick follows from a link: the first instant ``seconds`` or more after a pick, which
+    lies within twice that, so links are found in windows of one (key, time chunk) with neighbours' edges. Picks are then
+    what can be reached from the sure ones, by pointer jumping: each round doubles the reach of all links with one join,
+    so a burst of n picks takes log2(n) rounds.
     """
-    gap, span = seconds * 1_000_000, chunk * 1_000_000
-    t = F.unix_micros(ts)
-    days = (
-        df.select(*by, t.alias("_t"), F.floor(t / span).alias("_day"))
-        .groupBy(*by, "_day")
-        .agg(F.array_sort(F.collect_set("_t")).alias("_times"))
-    )
-    limit = F.col("_day") * span + gap
-    starts = F.concat(F.filter("_times", lambda x: x < limit), F.slice(F.filter("_times", lambda x: x >= limit), 1, 1))
-    step = lambda last, x: F.when(x >= last + gap, x).otherwise(last)
-    moves = F.transform(starts, lambda s: F.struct(s.alias("first"), F.aggregate("_times", s, step).alias("last")))
-    days = days.withColumn("_moves", moves)
-
-    none = F.lit(None).cast("bigint")
-    state = F.struct(none.alias("last"), F.array().cast("array<struct<_day:bigint,first:bigint>>").alias("picks"))
-
-    def next_day(s: Column, d: Column) -> Column:
-        hit = F.get(F.filter(d["_moves"], lambda m: s["last"].isNull() | (m["first"] >= s["last"] + gap)), F.lit(0))
-        pick = F.array(F.struct(d["_day"].alias("_day"), hit["first"].alias("first")))
-        return F.struct(
-            F.coalesce(hit["last"], s["last"]).alias("last"),
-            F.when(hit.isNull(), s["picks"]).otherwise(F.concat(s["picks"], pick)).alias("picks"),
-        )
-
-    chain = (
-        days.groupBy(*by)
-        .agg(F.array_sort(F.collect_list(F.struct("_day", "_moves"))).alias("_days"))
-        .select(*by, F.explode(F.aggregate("_days", state, next_day)["picks"]).alias("_p"))
-        .select(*by, F.col("_p._day").alias("_day"), F.col("_p.first").alias("_first"))
-    )
-    kept = days.drop("_moves").join(chain, [*by, "_day"])
-    out0 = F.array("_first")
-    grow = lambda acc, x: F.when(x >= F.element_at(acc, -1) + gap, F.concat(acc, F.array(x))).otherwise(acc)
-    times = kept.select(*by, F.explode(F.aggregate("_times", out0, grow)).alias("_t"))
-    kept = df.withColumn("_t", t).join(times, [*by, "_t"], "left_semi")
+    gap = seconds * 1_000_000
+    span = max(chunk * 1_000_000, 2 * gap, 1)
+    t, whole = F.unix_micros(ts), F.struct(*[F.col(c) for c in by])
+    times = df.filter(F.col(ts).isNotNull()).select(whole.alias("_key"), t.alias("_t")).distinct()
+    home = F.floor(F.col("_t") / span)
+    into = F.col("_t") - home * span
+    near = F.array_compact(F.array(home, F.when(into < 2 * gap, home - 1), F.when(into >= span - gap, home + 1)))
+    spread = times.withColumns({"_home": home, "_chunk": F.explode(near)})
+    w = Window.partitionBy("_key", "_chunk").orderBy("_t")
+    found = {"_sure": F.coalesce(F.col("_t") - F.lag("_t").over(w) >= gap, F.lit(True)), "_to": F.min("_t").over(w.rangeBetween(gap, 2 * gap))}
+    rows = cut(spread.withColumns(found).filter("_chunk = _home").select("_key", "_t", "_sure", "_to"), "spaced")
+    # picks have no start; a link to a sure pick is not needed
+    sure = rows.filter("_sure").select("_key", F.lit(None).cast("bigint").alias("_from"), F.col("_t").alias("_to"))
+    links = rows.filter("_to is not null").select("_key", F.col("_t").alias("_from"), "_to")
+    state = cut(sure.unionByName(links.join(sure.select("_key", "_to"), ["_key", "_to"], "left_anti")), "spaced")
+    while not (links := state.filter("_from is not null")).isEmpty():
+        onward = links.select("_key", F.col("_from").alias("_to"), F.col("_to").alias("_next"))
+        further = state.join(onward, ["_key", "_to"]).select("_key", "_from", F.col("_next").alias("_to"))
+        state = cut(further.unionByName(state.filter("_from is null")), "spaced")
+    picks = state.select(F.col("_key"), F.col("_to").alias("_t"))
+    kept = df.withColumns({"_key": whole, "_t": t}).join(picks, ["_key", "_t"], "left_semi")
     order = [F.col(c) for c in tie] or [F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])]
-    one = Window.partitionBy(*by, "_t").orderBy(*order)
-    return kept.withColumn("_n", F.row_number().over(one)).filter("_n = 1").drop("_t", "_n")
+    one = Window.partitionBy("_key", "_t").orderBy(*order)
+    return kept.withColumn("_n", F.row_number().over(one)).filter("_n = 1").select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def settle(events: DataFrame, rule: Rule, ts: str = "timestamp", tie: Sequence[str] = (), dedup: int = 300) -> DataFrame:

@@ -7,7 +7,7 @@ from zonelytics.plans import alerting as al
 from zonelytics.plans import views
 from zonelytics.registry import cols, query
 from zonelytics.registry.events import LATEST, LATEST_EQ, _HOURLY_DIGITS, _HOURLY_SQL
-from zonelytics.registry.ops import _COLD, _NUTR, _TEMP, _resolved, cold_rule
+from zonelytics.registry.ops import _ACKS, _COLD, _EQ, _NUTR, _TEMP, _resolved, cold_rule
 from zonelytics.session import sized_state, work_dir
 from zonelytics.sources import sinks
 from zonelytics.sources.adapters import ADAPTERS, Tables
@@ -113,12 +113,12 @@ for _n, _s in (("o_temp_rows", "telemetry"), ("o_nutrient_rows", "telemetry"), (
     _closed_rows(_n, _s)
 
 
-def _stream_rule(name, alerts_sql, rows, rule, source):
+def _stream_rule(name, alerts_sql, rows, rule, source, tie=TIE, delay=ingest.DEFAULT_DELAY):
     sql = _resolved(alerts_sql, rows, 30).replace(rows, f"{rows}_closed")
 
     @query(name, sql)
     def _(t):
-        log = replay(t, sr.rule_stream(source(t), rule, tie=TIE))
+        log = replay(t, sr.rule_stream(source(t), rule, tie=tie, delay=delay))
         return sr.current_alerts(log, rule)
 
 
@@ -132,3 +132,38 @@ ADAPTERS["o_cold_rows_closed"] = """SELECT * FROM o_cold_rows WHERE time_bucket(
 def _(t):
     log = replay(t, sr.rule_stream(live(t).alerts, cold_rule(), tie=("alert_id",)))
     return sr.current_alerts(log, cold_rule())
+
+
+# --- the equipment rule: left outer stream join, nearest reading, rule state; then limits and escalation -----------------
+
+_stream_rule("rul2_stream_equipment", _EQ, "o_equipment_rows", al.EQUIPMENT_OFFLINE, lambda t: sv.equipment_for_rule(live(t).equipment, live(t).telemetry, t.zone_config), (*TIE, *sv.NEAREST), None)
+
+
+@query("jn15_left_outer_late_equipment", """
+  SELECT e.event_id, e.timestamp, e.zone_id, s.event_id AS reading_id, s.air_temperature FROM (SELECT event_id, zone_id, timestamp + INTERVAL 29 SECOND AS timestamp FROM equipment) e
+  LEFT JOIN telemetry s ON s.zone_id = e.zone_id AND s.timestamp > e.timestamp - INTERVAL 30 SECOND AND s.timestamp < e.timestamp + INTERVAL 30 SECOND
+  WHERE s.event_id IS NOT NULL OR e.timestamp + INTERVAL 30 SECOND <= (SELECT max(timestamp) - INTERVAL 2 MINUTE FROM telemetry)""")
+def _(t):
+    """Equipment 29 seconds late; rows without a reading come once the watermark has passed."""
+    late = live(t).equipment.withColumn("timestamp", F.col("timestamp") + F.expr("INTERVAL 29 SECONDS"))
+    return replay(t, sv.equipment_with_readings(late, live(t).telemetry, how="left").select("event_id", "timestamp", "zone_id", "reading_id", "air_temperature"))
+
+
+@query("rul11_stream_throttle", """
+  WITH a AS (SELECT alert_id, zone_id, timestamp, alert_type AS rule, date_trunc('hour', timestamp) AS h FROM alerts WHERE timestamp <= (SELECT max(timestamp) - INTERVAL 2 MINUTE FROM alerts)
+    QUALIFY row_number() OVER (PARTITION BY zone_id, h ORDER BY timestamp, rule, alert_id) <= 1)
+  SELECT alert_id, zone_id, timestamp FROM a QUALIFY row_number() OVER (PARTITION BY h ORDER BY timestamp, zone_id, rule, alert_id) <= 2""")
+def _(t):
+    alerts = live(t).alerts.select("alert_id", "zone_id", "timestamp", F.col("alert_type").alias("rule"))
+    return replay(t, sr.throttle_stream(alerts, per_key=1, overall=2).select("alert_id", "zone_id", "timestamp"))
+
+
+@query("rul12_stream_escalation", f"""
+  SELECT alert_id, timestamp + INTERVAL 30 MINUTE AS escalated_at FROM alerts a WHERE severity = 'critical'
+    AND timestamp + INTERVAL 30 MINUTE <= (SELECT least((SELECT max(timestamp) FROM alerts WHERE severity = 'critical'), (SELECT max(ack_time) FROM {_ACKS} k)) - INTERVAL 2 MINUTE)
+    AND NOT EXISTS (SELECT 1 FROM {_ACKS} k WHERE k.zone_id = a.zone_id AND k.rule = a.alert_type AND k.ack_time BETWEEN a.timestamp AND a.timestamp + INTERVAL 30 MINUTE)""")
+def _(t):
+    rule = F.col("alert_type").alias("rule")
+    alerts = live(t).alerts.select("alert_id", "zone_id", "timestamp", "severity", rule)
+    acks = live(t).alerts.filter("acknowledged").select("zone_id", rule, (F.col("timestamp") + F.expr("INTERVAL 10 MINUTE")).alias("ack_time"))
+    return replay(t, sr.escalate_stream(alerts, acks).select("alert_id", "escalated_at"))

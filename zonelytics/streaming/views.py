@@ -34,15 +34,32 @@ def enriched(telemetry: DataFrame, config: DataFrame) -> DataFrame:
     return lookup(telemetry, config, "zone_id")
 
 
-def equipment_with_readings(equipment: DataFrame, telemetry: DataFrame, seconds: int = 30, delay: str = DEFAULT_DELAY) -> DataFrame:
+def equipment_with_readings(equipment: DataFrame, telemetry: DataFrame, seconds: int = 30, delay: str = DEFAULT_DELAY, how: str = "inner") -> DataFrame:
     """Stream-stream join of rows of one zone less than ``seconds`` apart; the time bounds let Spark expire state on both sides.
 
     The equi-key is (zone, bin): a reading stands in its own bin and in both
-    neighbours, and the bounds decide, so each pair is met once.
+    neighbours, and the bounds decide, so each pair is met once. ``how="left"``: equipment rows
+    without a reading follow once the watermark has passed. ``reading_time`` is the reading's.
     """
     slot = F.floor(F.unix_seconds("timestamp") / seconds)
     e = event_time(equipment, delay=delay).withColumn("_bin", slot).alias("e")
     s = event_time(telemetry, delay=delay).withColumn("_bin", F.explode(F.array(slot - 1, slot, slot + 1))).alias("s")
     near = F.expr(f"s.timestamp > e.timestamp - INTERVAL {seconds} SECONDS AND s.timestamp < e.timestamp + INTERVAL {seconds} SECONDS")
     on = (F.col("e.zone_id") == F.col("s.zone_id")) & (F.col("e._bin") == F.col("s._bin")) & near
-    return e.join(s, on).select("e.*", F.col("s.air_temperature"), F.col("s.substrate_moisture")).drop("_bin")
+    picked = [F.col("s.air_temperature"), F.col("s.substrate_moisture"), F.unix_micros("s.timestamp").alias("reading_us"), F.col("s.event_id").alias("reading_id")]
+    return e.join(s, on, how).select("e.*", *picked).drop("_bin")
+
+
+#: order of readings around an equipment row: the nearest, then the earlier, last
+NEAREST = ("_near", "_before", "_first")
+
+
+def equipment_for_rule(equipment: DataFrame, telemetry: DataFrame, config: DataFrame, seconds: int = 30, delay: str = DEFAULT_DELAY) -> DataFrame:
+    """Input of the equipment rule: every equipment row with each reading near it, or none, and the set-points.
+
+    The rule's own reduction to the last row of an interval also takes the nearest reading, by ``NEAREST`` behind the row's tie.
+    """
+    both = lookup(equipment_with_readings(equipment, telemetry, seconds, delay, "left"), config, "zone_id", "left")
+    us = F.unix_micros("timestamp")
+    first = F.when(F.col("reading_us") <= us, F.col("reading_id")).otherwise(-F.col("reading_id"))
+    return both.withColumns({"_near": -F.abs(F.col("reading_us") - us), "_before": -F.col("reading_us"), "_first": first})

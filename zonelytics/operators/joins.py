@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from zonelytics.functions.timebins import seconds
+from zonelytics.session import cut
 
 
 def lookup(left: DataFrame, right: DataFrame, on: Sequence[str] | str, how: str = "inner") -> DataFrame:
@@ -35,6 +36,33 @@ def lookup_keys(left: DataFrame, right: DataFrame, pairs: dict[str, str], how: s
     return lookup(left, renamed, list(pairs), how)
 
 
+#: levels of dyadic slots; slot numbers of a second's width fit in far fewer
+_LEVELS = 48
+
+
+def dyadic_cover(intervals: DataFrame, start: str = "start_time", end: str = "end_time", bucket: int = 900) -> DataFrame:
+    """Each half-open interval as the fewest slots of width ``bucket`` times a power of two: rows with ``_level`` and ``_slot``.
+
+    At every level at most a slot at either end is left over by the wider ones, so an interval of n
+    buckets has no more than 2 log2(n) rows. Empty intervals have none.
+    """
+    size = seconds(bucket)
+    first = F.floor(F.unix_seconds(start) / size)
+    after = F.floor(F.unix_seconds(F.col(end) - F.expr("INTERVAL 1 MICROSECOND")) / size) + 1
+    odd = lambda x: x.bitwiseAND(F.lit(1).cast("bigint"))
+    shifted = lambda x, k: F.call_function("shiftright", x, k)
+
+    def ends(k: Column) -> Column:
+        low, high = -shifted(-F.col("_first"), k), shifted(F.col("_after"), k)
+        one = F.when((low < high) & (odd(low) == 1), F.struct(k.alias("level"), low.alias("slot")))
+        two = F.when((low + odd(low) < high) & (odd(high) == 1), F.struct(k.alias("level"), (high - 1).alias("slot")))
+        return F.array(one, two)
+
+    rows = intervals.filter(F.col(end) > F.col(start)).withColumns({"_first": first, "_after": after})
+    slots = F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(_LEVELS)), ends)))
+    return rows.withColumn("_cover", F.explode(slots)).withColumns({"_level": F.col("_cover.level"), "_slot": F.col("_cover.slot")}).drop("_cover", "_first", "_after")
+
+
 def interval_join(
     points: DataFrame,
     intervals: DataFrame,
@@ -45,24 +73,26 @@ def interval_join(
     bucket: int = 900,
     how: str = "inner",
 ) -> DataFrame:
-    """Points inside half-open intervals ``[start, end)`` of the same key.
+    """Points inside half-open intervals ``[start, end)`` of the same key; ``how``: inner or left.
 
-    Intervals are spread over the time buckets they touch, so the join is an
-    equi-join on (key, bucket): a hot key is split by time, no cross join
-    arises, and every pair is met once (in the point's own bucket).
+    An interval is covered by dyadic slots, few whatever its length, and a point stands in one slot of
+    every level that some interval uses, so the join is an equi-join on (key, level, slot): a hot
+    key is split by time, no cross join arises, and every pair is met once.
     """
     size = seconds(bucket)
-    slot = lambda c: F.floor(F.unix_seconds(c) / size)
-    spread = intervals.withColumn(
-        "_slot", F.explode(F.sequence(slot(F.col(start)), slot(F.col(end) - F.expr("INTERVAL 1 MICROSECOND"))))
-    ).filter(F.col(end) > F.col(start))
-    clash = [c for c in spread.columns if c in points.columns and c not in by]
-    p = points.withColumn("_slot", slot(F.col(ts))).alias("p")
-    s = spread.drop(*clash).alias("s")
-    on = [F.col(f"p.{k}") == F.col(f"s.{k}") for k in (*by, "_slot")]
+    cover = dyadic_cover(intervals, start, end, bucket)
+    used = cover.agg(F.array_sort(F.collect_set("_level")).alias("levels")).scalar()  # at most _LEVELS + 1 numbers
+    clash = [c for c in cover.columns if c in points.columns and c not in by]
+    if how == "left":
+        points = cut(points.withColumn("_id", F.monotonically_increasing_id()), "points")
+    slot = F.floor(F.unix_seconds(ts) / size)
+    spread = points.withColumn("_level", F.explode(used)).withColumn("_slot", F.call_function("shiftright", slot, F.col("_level")))
+    p, s = spread.alias("p"), cover.drop(*clash).alias("s")
+    on = [F.col(f"p.{k}") == F.col(f"s.{k}") for k in (*by, "_level", "_slot")]
     on += [F.col(f"p.{ts}") >= F.col(f"s.{start}"), F.col(f"p.{ts}") < F.col(f"s.{end}")]
-    keep_right = [c for c in s.columns if c not in by and c != "_slot"]
-    return p.join(s, on, how).select(*[F.col(f"p.{c}") for c in points.columns], *[F.col(f"s.{c}") for c in keep_right])
+    keep = [c for c in s.columns if c not in (*by, "_level", "_slot")]
+    met = p.join(s, on).select(*[F.col(f"p.{c}") for c in points.columns], *[F.col(f"s.{c}") for c in keep])
+    return points.join(met.select("_id", *keep), "_id", "left").drop("_id") if how == "left" else met
 
 
 def asof_join(

@@ -13,6 +13,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from zonelytics.functions.timebins import binned, seconds, span_col
+from zonelytics.operators.joins import join_null_safe
+from zonelytics.operators.quantiles import exact_quantiles
+from zonelytics.operators.windows import running_total
+from zonelytics.session import cut
 
 
 def make_series(
@@ -46,6 +50,7 @@ def decompose_anomalies(
     method: str = "sigma",
     ts: str = "timestamp",
     prefix: str = "",
+    step=None,
 ) -> DataFrame:
     """Adds ``anomaly`` (-1, 0, 1), ``score`` and ``baseline`` to a binned series.
 
@@ -54,42 +59,50 @@ def decompose_anomalies(
     standard deviation, 0 for a flat residual or fewer than 3 bins.
     ``method="tukey"`` measures the distance beyond the quartiles in units of
     the interquartile range instead.
+
+    A series is never gathered: line, phase means and spread are aggregates with
+    partial steps (the line from mergeable moments), joined back by key. The bin index is
+    (time - first time) / ``step`` for a regular series; without ``step`` the rows are
+    numbered, day by day with the counts of the days before. NULL keys are a series. The bins
+    are written once, since these steps read them again.
     """
-    whole = Window.partitionBy(*by)
-    i = F.col("_i").cast("double")
-    out = df.withColumn("_i", F.row_number().over(whole.orderBy(ts)) - 1)
-    out = out.withColumns(
-        {
-            "_n": F.count(value).over(whole),
-            "_slope": F.coalesce(F.regr_slope(F.col(value), i).over(whole), F.lit(0.0)),
-            "_icpt": F.coalesce(F.regr_intercept(F.col(value), i).over(whole), F.avg(value).over(whole)),
-        }
+    by = list(by)
+    rows = df if by else df.withColumn("_all", F.lit(0))
+    keys = by or ["_all"]
+    if step is None:
+        day = F.floor(F.unix_seconds(ts) / 86400)
+        rows = running_total(cut(rows.withColumn("_one", F.lit(1.0)), "series"), "_one", keys, [ts], day, "_x").drop("_one")
+    else:
+        rows = rows.withColumn("_x", F.round(F.unix_micros(ts) / (seconds(step) * 1_000_000)))
+    rows = cut(rows, "series")
+    y, x = F.col(value), F.col("_x")
+    line = rows.groupBy(*keys).agg(
+        F.count(value).alias("_n"), F.min("_x").alias("_x0"), F.coalesce(F.regr_slope(y, x), F.lit(0.0)).alias("_slope"),
+        F.avg(value).alias("_y"), F.regr_avgx(y, x).alias("_mid"),
     )
-    trend = F.col("_icpt") + F.col("_slope") * i
+    rows = join_null_safe(rows, line, keys).withColumn("_i", x - F.col("_x0"))
+    trend = F.col("_y") + F.col("_slope") * (x - F.col("_mid"))
     if period:
-        phase = Window.partitionBy(*by, (F.col("_i") % period))
-        out = out.withColumn("_season", F.avg(F.col(value) - trend).over(phase))
+        rows = rows.withColumn("_phase", (F.col("_i") % period).cast("int"))
+        season = rows.groupBy(*keys, "_phase").agg(F.avg(y - trend).alias("_season"))
+        rows = join_null_safe(rows, season, [*keys, "_phase"]).drop("_phase")
     else:
-        out = out.withColumn("_season", F.lit(0.0))
-    out = out.withColumn(f"{prefix}baseline", trend + F.col("_season"))
-    out = out.withColumn("_res", F.col(value) - F.col(f"{prefix}baseline"))
+        rows = rows.withColumn("_season", F.lit(0.0))
+    rows = rows.withColumn(f"{prefix}baseline", trend + F.col("_season"))
+    rows = rows.withColumn("_res", y - F.col(f"{prefix}baseline"))
     if method == "tukey":
-        out = out.withColumns(
-            {"_q1": F.percentile("_res", F.lit(0.25)).over(whole), "_q3": F.percentile("_res", F.lit(0.75)).over(whole)}
-        )
+        spread = exact_quantiles(rows, "_res", [0.25, 0.75], keys, ["_q1", "_q3"])
         iqr = F.col("_q3") - F.col("_q1")
         raw = F.when(F.col("_res") > F.col("_q3"), (F.col("_res") - F.col("_q3")) / iqr).when(
             F.col("_res") < F.col("_q1"), (F.col("_res") - F.col("_q1")) / iqr
         ).otherwise(0.0)
         score = F.when((F.col("_n") < 3) | (iqr <= 1e-9), F.lit(0.0)).otherwise(raw)
     else:
-        out = out.withColumn("_sd", F.stddev_pop("_res").over(whole))
+        spread = rows.groupBy(*keys).agg(F.stddev_pop("_res").alias("_sd"))
         score = F.when((F.col("_n") < 3) | (F.col("_sd") <= 1e-9), F.lit(0.0)).otherwise(F.col("_res") / F.col("_sd"))
-    out = out.withColumn(f"{prefix}score", score)
+    rows = join_null_safe(rows, spread, keys, "left").withColumn(f"{prefix}score", score)
     flag = F.when(F.abs(F.col(f"{prefix}score")) > threshold, F.signum(f"{prefix}score").cast("int")).otherwise(F.lit(0))
-    return out.withColumn(f"{prefix}anomaly", flag).drop(
-        *[c for c in ("_i", "_n", "_slope", "_icpt", "_season", "_res", "_sd", "_q1", "_q3") if c in out.columns]
-    )
+    return rows.withColumn(f"{prefix}anomaly", flag).select(*df.columns, *[f"{prefix}{c}" for c in ("baseline", "score", "anomaly")])
 
 
 def fir(

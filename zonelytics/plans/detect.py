@@ -19,7 +19,7 @@ SITE = ["zone_id", "greenhouse_id"]
 
 def temperature_anomalies(telemetry: DataFrame, as_of: AsOf = None, lookback=DAY, step=5 * MIN, threshold=1.5, fill=0.0) -> DataFrame:
     series = make_series(recent(telemetry, lookback, as_of), step, F.avg("air_temperature"), "avg_temp", SITE, fill=fill)
-    found = decompose_anomalies(series, "avg_temp", SITE, threshold).filter("anomaly <> 0")
+    found = decompose_anomalies(series, "avg_temp", SITE, threshold, step=step).filter("anomaly <> 0")
     return found.select(
         "timestamp", *SITE, "avg_temp", "baseline",
         F.when(F.col("anomaly") > 0, "spike").otherwise("dip").alias("anomaly_direction"), "score",

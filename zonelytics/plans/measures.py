@@ -9,7 +9,7 @@ brought together, so facts are never joined row to row.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,7 +58,7 @@ def with_single_row(df: DataFrame, one: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Base:
-    """One aggregate over one fact; ``prior`` reads the fact one year earlier.
+    """One aggregate over one fact; ``prior`` reads the fact one year earlier (1: where the calendar has the later date, 2: in any case).
 
     Every kind splits into a partial and a final step, so that a fact can be
     reduced to its foreign keys before it meets a dimension.
@@ -68,7 +68,7 @@ class Base:
     fact: str
     kind: str  # sum, avg, count, count_if or max
     expr: Callable[[], Column] = lambda: F.lit(1)
-    prior: bool = False
+    prior: int = 0
 
     def partial(self) -> list[Column]:
         e = self.expr()
@@ -77,8 +77,11 @@ class Base:
         made = {"sum": F.sum, "count": F.count, "count_if": F.count_if, "max": F.max}[self.kind](e)
         return [made.alias(f"{self.name}#s")]
 
-    def final(self) -> Column:
+    def final(self, shifted: bool = False) -> Column:
+        """``shifted``: rows of both years are there, marked by ``_shift``; a count without any row of its own year is NULL."""
         part = F.col(f"`{self.name}#s`")
+        if self.kind in ("count", "count_if") and shifted:
+            return F.sum(part).cast("bigint").alias(self.name)
         if self.kind == "avg":
             return F.try_divide(F.sum(part).cast("double"), F.sum(F.col(f"`{self.name}#n`"))).alias(self.name)
         if self.kind in ("count", "count_if"):
@@ -95,7 +98,7 @@ class Measure:
     fmt: str = "#,##0.0"
 
 
-def _sum(fact: str, column: str, prior: bool = False) -> Base:
+def _sum(fact: str, column: str, prior: int = 0) -> Base:
     return Base(f"_{'p' if prior else 's'}_{column}", fact, "sum", lambda: F.col(column).cast("double"), prior)
 
 
@@ -120,7 +123,7 @@ def _ratio(key: str, title: str, top: Base, bottom: Base, scale: float = 100.0,
 
 
 _KG, _COST = _sum(HARVEST, "harvest_weight_kg"), _sum(ENERGY, "energy_cost_usd")
-_KG_P, _COST_P = _sum(HARVEST, "harvest_weight_kg", True), _sum(ENERGY, "energy_cost_usd", True)
+_KG_P, _COST_P = _sum(HARVEST, "harvest_weight_kg", 1), _sum(ENERGY, "energy_cost_usd", 1)
 _KWH, _GAS = _sum(ENERGY, "electricity_kwh"), _sum(ENERGY, "natural_gas_m3")
 _WATER, _RECYCLED, _WASTE = _sum(ENERGY, "water_liters"), _sum(ENERGY, "water_recycled_liters"), _sum(HARVEST, "waste_kg")
 _CASES, _ORDERED, _SHIPMENTS = _sum(SHIP, "quantity_cases"), _sum(SHIP, "quantity_ordered"), _count(SHIP)
@@ -221,13 +224,15 @@ def out_name(attr: str) -> str:
     return attr.split(".")[-1]
 
 
-def _starred(model: Model, fact: str, attrs: Sequence[str], members: Sequence[Base], prior: bool) -> DataFrame:
-    """Partial aggregates of a fact with the wanted attributes as ``@name`` columns.
+def _starred(model: Model, fact: str, attrs: Sequence[str], members: Sequence[Base]) -> tuple[DataFrame, bool]:
+    """Partial aggregates of a fact with the wanted attributes as ``@name`` columns, from one scan; and whether years are marked.
 
     The fact is first reduced to one row per combination of the foreign keys in
     use. A hot customer or product therefore reaches the dimension join as a
     few rows, whether that join is broadcast or sorted. Orphan keys keep NULL
-    attributes.
+    attributes. Where measures of the year before take part, each reduced row then stands for its own
+    date and, a year later, for those measures: ``_shift`` is 0, 1 or 2 as ``Base.prior``, and the partials
+    of the others are NULL in it.
     """
     df = model.table(fact)
     links = model.relationships.get(fact, {})
@@ -240,18 +245,25 @@ def _starred(model: Model, fact: str, attrs: Sequence[str], members: Sequence[Ba
             keys[f"_fk_{found[0]}"] = F.col(links[found[0]][0])
         elif found:
             keys[f"@{out_name(attr)}"] = F.col(found[1])
-    shift = prior and "dim_date" in links
-    if shift:
-        keys["_fk_dim_date"] = F.add_months(F.col(links["dim_date"][0]), 12)
+    kinds = sorted({b.prior for b in members})
+    shifted = "dim_date" in links and kinds != [0]
+    if shifted:
+        keys["_fk_dim_date"] = F.col(links["dim_date"][0])
+        wanted.setdefault("dim_date", set())
     partials = [p for b in members for p in b.partial()]
     df = df.groupBy(*[c.alias(n) for n, c in keys.items()]).agg(*partials)
-    if shift:  # a shifted row counts only where the calendar has the later date
-        known = model.dims["dim_date"].select(F.col("date_key").alias("_fk_dim_date"))
-        df = df.join(known, "_fk_dim_date", "left_semi")
+    if shifted:
+        df = df.withColumn("_shift", F.explode(F.array(*map(F.lit, kinds))))
+        own = {c: F.when(F.col("_shift") == b.prior, F.col(f"`{c}`")) for b in members for c in (f"{b.name}#s", f"{b.name}#n") if c in df.columns}
+        later = F.when(F.col("_shift") > 0, F.add_months("_fk_dim_date", 12)).otherwise(F.col("_fk_dim_date"))
+        df = df.withColumns({**own, "_fk_dim_date": later})
     for dim, columns in wanted.items():
         side = model.dims[dim].select(F.col(links[dim][1]).alias(f"_fk_{dim}"), *[F.col(c).alias(f"@{c}") for c in sorted(columns)])
-        df = df.join(side, f"_fk_{dim}", "left")
-    return df
+        if shifted and dim == "dim_date":  # a shifted row counts only where the calendar has the later date
+            df = df.join(side.withColumn("_known", F.lit(True)), f"_fk_{dim}", "left").filter("_shift <> 1 or _known").drop("_known")
+        else:
+            df = df.join(side, f"_fk_{dim}", "left")
+    return df, shifted
 
 
 def evaluate(
@@ -261,9 +273,13 @@ def evaluate(
     filters: dict[str, Callable[[Column], Column]] | None = None,
     rollup: bool = False,
     as_of: AsOf = None,
+    before: bool = False,
 ) -> DataFrame:
     """Measures by attributes. A fact ignores keys and filters it has no relationship to.
 
+    Every fact is read once, for all measures and both years. ``before`` adds each measure's
+    value a year earlier as ``<measure>_before``: dated facts moved one year on, others as they are.
+
     ``filters`` maps an attribute to a predicate over its column. With
     ``rollup`` every prefix of ``by`` is also aggregated; ``grouping_level``
     tells how many trailing keys are rolled up.
@@ -272,24 +288,29 @@ def evaluate(
     keys = [out_name(a) for a in by]
     picked = [MEASURES[m] for m in measures]
     bases = {b.name: b for m in picked for b in m.bases}
-    groups: dict[tuple[str, bool], list[Base]] = {}
-    for b in bases.values():
-        groups.setdefault((b.fact, b.prior), []).append(b)
+    earlier = {n: replace(b, name=f"{n}~", prior=2) for n, b in bases.items() if before}
+    if before and any(b.prior for b in bases.values()):
+        raise ValueError("a measure of the year before has no year before")
+    groups: dict[str, list[Base]] = {}
+    for b in (*bases.values(), *earlier.values()):
+        groups.setdefault(b.fact, []).append(b)
 
     parts: list[tuple[list[str], DataFrame]] = []
-    for (fact, prior), members in groups.items():
+    for fact, members in groups.items():
         by_fact, only = list(by), dict(filters)
         if fact == "dim_zone":  # floor area follows the zone id alone, whatever else is selected
             by_fact = [a for a in by if a == "dim_zone.zone_id"]
             only = {a: p for a, p in filters.items() if a == "dim_zone.zone_id"}
         related = [a for a in by_fact if _attribute(model, fact, a)]
         only = {a: p for a, p in only.items() if _attribute(model, fact, a)}
-        df = _starred(model, fact, [*related, *only], members, prior)
+        df, shifted = _starred(model, fact, [*related, *only], members)
         for attr, predicate in only.items():
             df = df.filter(predicate(F.col(f"@{out_name(attr)}")))
         own = [out_name(a) for a in related]
         cols = [F.col(f"@{k}").alias(k) for k in own]
-        aggs = [b.final() for b in members]
+        aggs = [b.final(shifted and bool(cols)) for b in members]
+        now = F.max((F.col("_shift") == 0).cast("int")) if shifted and (own or rollup) else F.max(F.lit(0 if all(b.prior for b in members) or fact == "dim_zone" else 1))
+        aggs.append(now.alias("_current"))
         if rollup and own == keys:
             level = sum((F.grouping(F.col(f"@{k}")).cast("int") for k in own), F.lit(0))
             part = df.rollup(*[F.col(f"@{k}") for k in own]).agg(*aggs, level.alias("grouping_level"))
@@ -299,7 +320,9 @@ def evaluate(
             part = df.groupBy(*cols).agg(*aggs)
         else:
             part = df.agg(*aggs)
-        parts.append((own, part.withColumn("_current", F.lit(0 if prior or fact == "dim_zone" else 1))))
+        if not cols:
+            part = part.withColumn("_current", F.lit(0 if all(b.prior for b in members) or fact == "dim_zone" else 1))
+        parts.append((own, part))
 
     full = [*keys, "grouping_level"] if rollup else keys
     complete = [p for own, p in parts if own == full]
@@ -326,9 +349,14 @@ def evaluate(
     if any(m.key == "days_since_last_anomaly" for m in picked):
         newest = model.facts[ANOMALY].agg(F.max("start_time").alias("t")).scalar()
         merged = merged.withColumn("_as_of", newest if as_of is None else (as_of if isinstance(as_of, Column) else F.lit(as_of).cast("timestamp")))
-    out = merged.select(*full, "_current", *[m.combine().alias(m.key) for m in picked])
+    out = merged.select("*", *[m.combine().alias(m.key) for m in picked])
+    if before:  # the same formulas over the values of the year before
+        out = out.withColumns({n: F.col(f"`{b.name}`") for n, b in earlier.items()}).withColumns({f"{m.key}_before": m.combine() for m in picked})
+    out = out.select(*full, "_current", *[m.key for m in picked], *[f"{m.key}_before" for m in picked if before])
     # a group that only the year before has stays if one of the measures has a value there
-    return out.filter((F.col("_current") == 1) | F.coalesce(*[F.when(F.col(m.key).isNotNull(), True) for m in picked if any(b.prior for b in m.bases)], F.lit(False))).drop("_current")
+    values = [f"{m.key}_before" for m in picked] if before else [m.key for m in picked if any(b.prior for b in m.bases)]
+    some = F.coalesce(*[F.when(F.col(v).isNotNull(), True) for v in values], F.lit(False))
+    return out.filter((F.col("_current") == 1) | some).drop("_current")
 
 
 def auto(model: Model, fact: str, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -340,7 +368,7 @@ def auto(model: Model, fact: str, columns: Sequence[str], by: Sequence[str] = ()
     least = [c for c in columns if kinds[c] == "min"]  # as the largest of the negatives
     members = [Base(c, fact, "max" if c in least else kinds[c], lambda c=c: -F.col(c) if c in least else F.col(c)) for c in columns]
     keys = [F.col(f"@{out_name(a)}").alias(out_name(a)) for a in by]
-    out = _starred(model, fact, by, members, False).groupBy(*keys).agg(*[b.final() for b in members])
+    out = _starred(model, fact, by, members)[0].groupBy(*keys).agg(*[b.final() for b in members])
     return out.withColumns({c: -F.col(c) for c in least})
 
 

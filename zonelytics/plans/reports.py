@@ -54,21 +54,9 @@ def bookmark(model: Model, name: str, greenhouse: str | None = None, as_of=None)
     return slicers(model, BOOKMARKS[name], greenhouse, as_of=as_of)
 
 
-def a_year_earlier(model: Model) -> Model:
-    """The model with every dated fact moved one year forward, for deltas of any measure."""
-    moved = dict(model.facts)
-    for fact, links in model.relationships.items():
-        if fact in moved and "dim_date" in links:
-            day = links["dim_date"][0]
-            moved[fact] = lambda fact=fact, day=day: model.facts[fact].withColumn(day, F.add_months(day, 12))
-    return Model(moved, model.dims, model.relationships)
-
-
 def kpi_cards(model: Model, filters: Filters | None = None) -> DataFrame:
     """One row per KPI: value, value a year earlier, change in percent, colour."""
-    now = evaluate(model, KPIS, filters=filters)
-    before = evaluate(a_year_earlier(model), KPIS, filters=filters)
-    both = with_single_row(now, before.withColumnsRenamed({k: f"{k}_before" for k in KPIS}))
+    both = evaluate(model, KPIS, filters=filters, before=True)
     pairs = F.array(*[F.struct(F.lit(k).alias("kpi"), F.col(k).cast("double").alias("value"), F.col(f"{k}_before").cast("double").alias("before")) for k in KPIS])
     rows = both.select(F.explode(pairs).alias("_k")).select("_k.*")
     rows = rows.withColumn("yoy_pct", fm.ratio(F.col("value") - F.col("before"), F.col("before"), 100.0))
@@ -304,10 +292,7 @@ def quarterly_fill_rate(model: Model) -> DataFrame:
 def energy_week_vs_last_year(model: Model, as_of=None) -> DataFrame:
     """Seven days up to ``as_of`` against the same dates a year earlier, per site."""
     week = last_days(model, 7, as_of)
-    measures = ["energy_cost_usd", "electricity_kwh"]
-    now = evaluate(model, measures, ["dim_greenhouse.name"], week)
-    before = evaluate(a_year_earlier(model), measures, ["dim_greenhouse.name"], week).withColumnsRenamed({m: f"{m}_before" for m in measures})
-    return now.join(before, "name", "full")
+    return evaluate(model, ["energy_cost_usd", "electricity_kwh"], ["dim_greenhouse.name"], week, before=True)
 
 
 def highest_vpd(latest: DataFrame, n: int = 5) -> DataFrame:

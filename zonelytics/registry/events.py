@@ -422,7 +422,7 @@ def _(t):
 @query("ts2_decompose_anomalies", decompose_sql(_sparse, "reading", "zone_id, greenhouse_id"), cols("reading baseline score"))
 def _(t):
     by = ["zone_id", "greenhouse_id"]
-    return decompose_anomalies(make_series(t.telemetry_sparse, HOUR, F.avg("reading"), "reading", by), "reading", by)
+    return decompose_anomalies(make_series(t.telemetry_sparse, HOUR, F.avg("reading"), "reading", by), "reading", by, step=HOUR)
 
 
 @query("ts2_decompose_seasonal", f"""
@@ -437,7 +437,7 @@ def _(t):
        cols("reading baseline score"))
 def _(t):
     by = ["zone_id", "greenhouse_id"]
-    return decompose_anomalies(make_series(t.telemetry_sparse, HOUR, F.avg("reading"), "reading", by), "reading", by, threshold=2.5, period=24)
+    return decompose_anomalies(make_series(t.telemetry_sparse, HOUR, F.avg("reading"), "reading", by), "reading", by, threshold=2.5, period=24, step=HOUR)
 
 
 @query("ts2_decompose_tukey", f"""
@@ -451,7 +451,7 @@ def _(t):
        cols("reading baseline score"))
 def _(t):
     by = ["zone_id", "greenhouse_id"]
-    return decompose_anomalies(make_series(t.telemetry_sparse, HOUR, F.avg("reading"), "reading", by), "reading", by, method="tukey")
+    return decompose_anomalies(make_series(t.telemetry_sparse, HOUR, F.avg("reading"), "reading", by), "reading", by, method="tukey", step=HOUR)
 
 
 @query("ts3_fir_moving_sum", f"""

@@ -25,11 +25,15 @@ _ARROW = pa.schema([
 #: a pair of ids in one number: the first id above these bits, the second below
 BITS = 32
 _LOW = (1 << BITS) - 1
+#: A's count of tokens stands above these bits, B's below: no text has 2^31 tokens
+_A_AT = 31
+_B = (1 << _A_AT) - 1
 _LOOSE = re.compile(r"\A\s|\s\Z| \s|\s ")  # a run that begins or ends with white space, or is empty
 _LATIN = re.compile("[\x00-\x0c\x0e-\x7e\xa0-\xa9\xab-\xb1\xb4-\xb8\xbb\xbf-\u024f]*")  # but carriage returns, raised digits and fractions
 _W, _O = r"[^\W_]", r"(?:[^\w\s]|_)"  # letters and numbers; all else but white space
 # what no tokenizer reads across: a run with an apostrophe, one behind other white space, else letters and numbers or others
-_UNIT = re.compile(rf" [^\s']*'\S*|[^\S ]+\S+| ?{_W}+| ?{_O}+")
+_SIMPLE = re.compile(rf" ?{_W}+| ?{_O}+|[^\S ]+\S+")  # of a text without apostrophes
+_UNIT = re.compile(rf" [^\s']*'\S*|{_SIMPLE.pattern}")
 _CROSSES = re.compile(rf"\S |{_W}{_O}|{_O}{_W}|\S[^\S ]")
 
 
@@ -90,10 +94,10 @@ class Piece:
     def ends(self, text: str) -> tuple[list[int], np.ndarray] | None:
         """None where the pieces' bytes are not those of space + text."""
         pieces = self.encoder.encode(text, return_type="proto").pieces
-        ids = [p.id for p in pieces]
+        ids, ends = zip(*[(p.id, p.end) for p in pieces], strict=True) if pieces else ((), ())
         if b"".join([self.bytes[i] for i in ids]) != b" " + text.encode():
             return None
-        ends = np.fromiter((p.end for p in pieces), np.int64, len(ids)) + 1
+        ids, ends = list(ids), np.array(ends, np.int64) + 1
         return ids, refined(ends, self.single[ids], self.lengths[ids])
 
 
@@ -128,8 +132,11 @@ class Aligner:
         self.by_run = bool(cuts) and not any(re.search(r"\S ", x) for x in names)
         self.by_unit = self.by_run and not any(_CROSSES.search(x) for x in names if _LATIN.fullmatch(x))
 
-    def whole(self, text: str, parts: Sequence[str]):
-        """One (group text, pair bytes, n_a, n_b, n_groups) for each of the ``parts`` that make up space + text; None if bytes differ."""
+    def whole(self, text: str, parts: Sequence[str], first: int = 0, every: int = 1):
+        """(group text, pair bytes, counts) of the ``parts`` that make up space + text, or of every so-manieth; None if bytes differ.
+
+        The numbers of A's and B's tokens are one number, so that they add up together.
+        """
         one, two = self.a.ends(text), self.b.ends(text)
         if one is None or two is None:
             return None
@@ -140,17 +147,14 @@ class Aligner:
         at_b, cut = place[at_a], ends_a[at_a]
         linked = (a[at_a] << BITS | b[at_b]).tobytes()
         to_a, to_b = np.append(0, at_a + 1), np.append(0, at_b + 1)
-        upto = np.searchsorted(cut, np.cumsum([len(p.encode()) for p in parts]), "right")
-        n_a, n_b = (np.diff(to[upto], prepend=0).tolist() for to in (to_a, to_b))
+        upto = np.append(0, np.searchsorted(cut, np.cumsum([len(p) if p.isascii() else len(p.encode()) for p in parts]), "right"))
+        counts = (np.diff(to_a[upto]) << _A_AT) + np.diff(to_b[upto])
         names_a, names_b, to_a, to_b, upto = [self.a.names[i] for i in a.tolist()], [self.b.names[i] for i in b.tolist()], to_a.tolist(), to_b.tolist(), upto.tolist()
         groups = [
             f"{names_a[i] if j == i + 1 else ','.join(names_a[i:j])}|{names_b[k] if m == k + 1 else ','.join(names_b[k:m])}"
             for i, j, k, m in zip(to_a, to_a[1:], to_b, to_b[1:], strict=False)
         ]
-        return [
-            (";".join(groups[i:j]), linked[8 * i : 8 * j], x, y, j - i)
-            for i, j, x, y in zip([0, *upto], upto, n_a, n_b, strict=False)
-        ]
+        return [(";".join(groups[i:j]), linked[8 * i : 8 * j], n) for i, j, n in zip(upto[first::every], upto[first + 1 :: every], counts[first::every].tolist(), strict=False)]
 
     def learn(self, new: list[str]) -> None:
         """Align units by the hundreds; one that does not begin with white space stands behind one of the other kind."""
@@ -158,22 +162,20 @@ class Aligner:
             part, chain = new[at : at + 500], [" a"]
             for unit in part:
                 chain += "" if unit[0].isspace() else " ." if unit[0].isalnum() else " a", unit
-            found = self.whole("".join(chain)[1:], chain)
+            found = self.whole("".join(chain)[1:], chain, 2, 2)
             if found is None:  # some unit's bytes differ: each alone
-                found = [None] * len(chain)
-                for i, unit in enumerate(part):
-                    before = " a" + chain[2 * i + 1]
-                    found[2 * i + 2] = (self.whole((before + unit)[1:], [before, unit]) or [None, None])[1]
-            self.known.update(zip(part, found[2::2], strict=True))
+                alone = [(" a" + before, unit) for before, unit in zip(chain[1::2], part, strict=True)]
+                found = [(self.whole("".join(pair)[1:], pair, 1) or [None])[0] for pair in alone]
+            self.known.update(zip(part, found, strict=True))
 
     def text(self, text: str | None):
-        """(group text, pair bytes, n_a, n_b, n_groups), or None for a text without tokens."""
+        """(group text, pair bytes, n_a, n_b), or None for a text without tokens; a pair (8 bytes) per group."""
         if not text:
             return None
         if not self.by_run or _LOOSE.search(text):
             found = self.whole(text, [" " + text])
-            return found[0] if found else None
-        units = _UNIT.findall(" " + text) if self.by_unit and _LATIN.fullmatch(text) else [" " + r for r in text.split(" ")]
+            return (*found[0][:2], found[0][2] >> _A_AT, found[0][2] & _B) if found else None
+        units = (_UNIT if "'" in text else _SIMPLE).findall(" " + text) if self.by_unit and _LATIN.fullmatch(text) else [" " + r for r in text.split(" ")]
         missing = {u for u in units if u not in self.known}
         if missing:
             again = {u: self.old[u] for u in missing if u in self.old}
@@ -184,8 +186,9 @@ class Aligner:
         found = [self.known[u] for u in units]
         if None in found:
             return None
-        groups, links, n_a, n_b, n = zip(*found, strict=True)
-        return ";".join(groups), b"".join(links), sum(n_a), sum(n_b), sum(n)
+        groups, links, counts = zip(*found, strict=True)
+        both = sum(counts)
+        return ";".join(groups), b"".join(links), both >> _A_AT, both & _B
 
 
 def links(docs: DataFrame, byte_path: str, piece_path: str) -> DataFrame:
@@ -204,10 +207,11 @@ def links(docs: DataFrame, byte_path: str, piece_path: str) -> DataFrame:
             if found is None:
                 out.append((row, doc_id, 0, 0, 0, 0, "", [], []))
             else:
-                groups, linked, n_a, n_b, n = found
+                groups, linked, n_a, n_b = found
+                n = len(linked) // 8  # one token of either ends at a cut, so a group has one link
                 pairs, times = np.unique(np.frombuffer(linked, np.int64), return_counts=True)
                 held += len(pairs)
-                out.append((row, doc_id, n_a, n_b, n, len(linked) // 8, hashlib.sha256(groups.encode()).hexdigest(), pairs, times))
+                out.append((row, doc_id, n_a, n_b, n, n, hashlib.sha256(groups.encode()).hexdigest(), pairs, times))
             if len(out) >= 5000 or held > 1_000_000:
                 yield batch()
                 out, held = [], 0

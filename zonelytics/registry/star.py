@@ -202,16 +202,55 @@ def _(t):
   SELECT 'sensor_telemetry' AS kind, count(*) AS n FROM telemetry UNION ALL SELECT 'equipment_state', count(*) FROM equipment
   UNION ALL SELECT 'weather', count(*) FROM weather UNION ALL SELECT 'alert', count(*) FROM alerts UNION ALL SELECT 'rejected', 0""")
 def _(t):
+    """All kinds are counted in one pass over the messages."""
+    messages = readers.typed_messages(mixed_messages(t))
+    kinds = [*schemas.EVENT_TYPES, "rejected"]
+    counts = messages.agg(*[F.count_if(F.col("kind") == k).alias(k) for k in kinds])
+    return counts.select(F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("n")) for k in kinds])).alias("x")).select("x.*")
+
+
+def mixed_messages(t, junk=False):
+    """The rows of every event type as JSON text in files, with broken ones among them on request."""
     sent = {"sensor_telemetry": t.telemetry, "equipment_state": t.equipment, "weather": t.weather, "alert": t.alerts}
     mixed = None
     for kind, df in sent.items():
         one = sinks.to_messages(df, kind)
         mixed = one if mixed is None else mixed.unionByName(one)
-    counts = None
-    for kind, df in readers.route_messages(mixed).items():
-        one = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("kind"), "n")
-        counts = one if counts is None else counts.unionByName(one)
-    return counts
+    if junk:  # no object, text behind an object, two objects, another type
+        forms = F.array(F.concat(F.lit("broken "), F.col("props")), F.concat("props", F.lit(" and more")), F.concat("props", F.lit(","), "props"), F.lit('{"event_type": "other"}'))
+        mixed = mixed.unionByName(t.events.filter("event_type = 'error'").select(F.element_at(forms, (F.col("event_id") % 4 + 1).cast("int")).alias("value")))
+    path = work_dir(t.spark, "messages")
+    mixed.write.text(path)
+    return t.spark.read.text(path)
+
+
+#: every kind with its rows: time, place and three of its values
+ROUTED_SQL = """
+  SELECT 'sensor_telemetry' AS kind, timestamp, zone_id AS place, air_temperature AS a, substrate_ph AS b, vpd AS c FROM telemetry
+  UNION ALL SELECT 'equipment_state', timestamp, zone_id, heating_output, irrigation_flow, CAST(irrigation_pump AS DOUBLE) FROM equipment
+  UNION ALL SELECT 'weather', timestamp, greenhouse_id, outside_temperature, wind_speed, cloud_cover FROM weather
+  UNION ALL SELECT 'alert', timestamp, alert_id, anomaly_score, CAST(acknowledged AS DOUBLE), NULL FROM alerts
+  UNION ALL SELECT 'rejected', NULL, CASE event_id % 4 WHEN 0 THEN concat('broken ', props) WHEN 1 THEN concat(props, ' and more') WHEN 2 THEN concat(props, ',', props) ELSE '{"event_type": "other"}' END,
+    NULL, NULL, NULL FROM events WHERE event_type = 'error'"""
+ROUTED = {
+    "sensor_telemetry": ("timestamp", "zone_id", "air_temperature", "substrate_ph", "vpd"), "equipment_state": ("timestamp", "zone_id", "heating_output", "irrigation_flow", "irrigation_pump"),
+    "weather": ("timestamp", "greenhouse_id", "outside_temperature", "wind_speed", "cloud_cover"), "alert": ("timestamp", "alert_id", "anomaly_score", "acknowledged", None), "rejected": (None, "value", None, None, None),
+}
+
+
+def routed_rows(tables):
+    out = None
+    for kind, columns in ROUTED.items():
+        types = ("timestamp", "string", "double", "double", "double")
+        made = [(F.col(c) if c else F.lit(None)).cast(k).alias(n) for n, c, k in zip(("timestamp", "place", "a", "b", "c"), columns, types, strict=True)]
+        one = tables[kind].select(F.lit(kind).alias("kind"), *made)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("src10_routed_rows", ROUTED_SQL, cols("a b c"))
+def _(t):
+    return routed_rows(readers.route_messages(mixed_messages(t, junk=True)))
 
 
 @query("snk7_merge_schema", "SELECT timestamp, zone_id, CAST(NULL AS VARCHAR) AS message, alert_id FROM alerts")

@@ -2,10 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from zonelytics import schemas
 from zonelytics.plans import alerting as al
 from zonelytics.plans import views
 from zonelytics.registry import cols, query
+from zonelytics.registry.star import ROUTED, ROUTED_SQL, mixed_messages, routed_rows
 from zonelytics.registry.events import LATEST, LATEST_EQ, _HOURLY_DIGITS, _HOURLY_SQL
 from zonelytics.registry.ops import _ACKS, _COLD, _EQ, _NUTR, _TEMP, _resolved, cold_rule
 from zonelytics.session import sized_state, work_dir
@@ -97,13 +97,22 @@ def _(t):
     ingest.write_batches(stream, ingest.route_to_tables(f"{base}/tables"), f"{base}/ckpt").awaitTermination()
     out = None
     for kind in ("sensor_telemetry", "weather", "rejected"):
-        schema = "value string" if kind == "rejected" else schemas.EVENT_TYPES[kind]
-        rows = t.spark.read.schema(schema).option("recursiveFileLookup", True).parquet(f"{base}/tables/{kind}")
+        rows = ingest.routed_table(t.spark, f"{base}/tables", kind)
         one = rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("kind"), "n")
         out = one if out is None else out.unionByName(one)
     return out
 
 
+@query("src9_stream_routed_rows", ROUTED_SQL, cols("a b c"))
+def _(t):
+    """Every kind with its rows, through text files, a stream and the routed tables."""
+    base = work_dir(t.spark, "routing")
+    mixed_messages(t, junk=True).write.text(f"{base}/messages")
+    stream = t.spark.readStream.format("text").load(f"{base}/messages")
+    ingest.write_batches(stream, ingest.route_to_tables(f"{base}/tables"), f"{base}/ckpt").awaitTermination()
+    return routed_rows({kind: ingest.routed_table(t.spark, f"{base}/tables", kind) for kind in ROUTED})
+
+
 # Rules: intervals that end after the final watermark stay open, so the twin reads the rest.
 def _closed_rows(name: str, src: str) -> None:
     ADAPTERS[f"{name}_closed"] = f"""SELECT * FROM {name} WHERE time_bucket(INTERVAL 30 SECOND, timestamp) + INTERVAL 30 SECOND <= (SELECT max(timestamp) - INTERVAL 2 MINUTE FROM {src})"""

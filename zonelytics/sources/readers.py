@@ -48,40 +48,65 @@ def json_mapping(schema: T.StructType) -> dict[str, tuple[str, str]]:
     return {f.name: (f"$.{f.name}", f.dataType.simpleString()) for f in schema.fields}
 
 
+#: stands behind the value while it is parsed; what follows an object would push it out of its place
+_END = "~end of message~"
+
+
+def parsed_json(df: DataFrame, value: str = "value", name: str = "_json") -> DataFrame:
+    """Adds the value's VARIANT, parsed once per row; NULL for all but a single JSON object, white space around it allowed.
+
+    Text behind the object, a second object and repeated fields make it malformed.
+    """
+    text = F.col(value)
+    wrapped = F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{_END}"]')))
+    alone = (F.try_variant_get("_w", "$[1]", "string") == _END) & text.rlike(r"^\s*\{")
+    # behind a generator, so that Spark does not parse again in the filters and columns that follow
+    once = df.select("*", F.inline(F.array(F.struct(wrapped.alias("_w")))))
+    return once.withColumn(name, F.when(alone, F.try_variant_get("_w", "$[0]", "variant"))).drop("_w")
+
+
+def _typed(variant: str, path: str, kind: str):
+    """A field by path, leniently: what cannot be read as ``kind`` is NULL."""
+    raw = F.try_variant_get(variant, path, "string")
+    return F.try_to_timestamp(raw) if kind == "timestamp" else raw.try_cast(kind)
+
+
 def from_json_mapping(df: DataFrame, mapping: dict[str, tuple[str, str]], value: str = "value") -> tuple[DataFrame, DataFrame]:
     """Typed columns by path map, and the rejects: text that is no JSON object.
 
-    The text is parsed once per row with one schema; a field of the wrong type
+    The text is parsed once per row; a field of the wrong type
     becomes NULL, as the source's lenient mapping does.
     """
-    leaf = {path.removeprefix("$.").split(".")[0] for path, _ in mapping.values()}
-    strings = T.StructType([T.StructField(n, T.StringType()) for n in [*sorted(leaf), "_bad"]])
-    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}
-    # parsed behind a generator, so that Spark does not parse again in the filters below
-    text = F.col(value)
-    looks_right = F.coalesce(text.rlike(r"^\s*\{"), F.lit(False))  # an object after any white space
-    both = F.struct(F.from_json(text, strings, options).alias("_j"), looks_right.alias("_ok"))
-    parsed = df.select("*", F.inline(F.array(both)))
-    is_object = F.col("_ok") & F.col("_j._bad").isNull()
-    out = []
-    for name, (path, kind) in mapping.items():
-        first, *rest = path.removeprefix("$.").split(".")
-        raw = F.col(f"_j.{first}")
-        if rest:
-            raw = F.get_json_object(raw, "$." + ".".join(rest))
-        out.append((F.try_to_timestamp(raw) if kind == "timestamp" else raw.try_cast(kind)).alias(name))
-    return parsed.filter(is_object).select(*out), parsed.filter(~is_object).drop("_j", "_ok")
+    parsed = parsed_json(df, value)
+    rows = parsed.filter(F.col("_json").isNotNull()).select(*[_typed("_json", path, kind).alias(name) for name, (path, kind) in mapping.items()])
+    return rows, parsed.filter(F.col("_json").isNull()).drop("_json")
 
 
-def route_messages(df: DataFrame, value: str = "value") -> dict[str, DataFrame]:
-    """Split a mixed JSON stream by ``event_type`` into typed tables, plus ``rejected``."""
-    kind = F.get_json_object(value, "$.event_type")
-    out = {
-        name: from_json_mapping(df.filter(kind == name), json_mapping(schema), value)[0]
+def typed_messages(df: DataFrame, value: str = "value") -> DataFrame:
+    """Mixed JSON messages with one struct column per event type, filled for messages of that type, from one parse.
+
+    ``kind`` is the event type, or ``rejected`` for text that is no JSON object or of another type; ``value`` is kept for those only.
+    """
+    parsed = parsed_json(df, value)
+    sent = F.try_variant_get("_json", "$.event_type", "string")
+    kind = F.when(sent.isin(*schemas.EVENT_TYPES), sent).otherwise(F.lit("rejected"))
+    rows = parsed.withColumn("kind", F.coalesce(kind, F.lit("rejected")))
+    made = [
+        F.when(F.col("kind") == name, F.struct(*[_typed("_json", path, t).alias(c) for c, (path, t) in json_mapping(schema).items()])).alias(name)
         for name, schema in schemas.EVENT_TYPES.items()
-    }
-    out["rejected"] = df.filter(F.coalesce(~kind.isin(*schemas.EVENT_TYPES), F.lit(True)))
-    return out
+    ]
+    return rows.select("kind", F.when(F.col("kind") == "rejected", F.col(value)).alias("value"), *made)
+
+
+def of_kind(messages: DataFrame, kind: str) -> DataFrame:
+    """The table of one kind out of ``typed_messages``; partition and column pruning reach a stored form."""
+    return messages.filter(F.col("kind") == kind).select("value" if kind == "rejected" else f"{kind}.*")
+
+
+def route_messages(df: DataFrame, value: str = "value") -> dict[str, DataFrame]:
+    """Split a mixed JSON stream by ``event_type`` into typed tables, plus ``rejected``. See ``typed_messages`` for all at once."""
+    messages = typed_messages(df, value)
+    return {kind: of_kind(messages, kind) for kind in (*schemas.EVENT_TYPES, "rejected")}
 
 
 def read_history(spark: SparkSession, path: str, array: bool = False) -> DataFrame:

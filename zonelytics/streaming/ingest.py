@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from zonelytics import schemas
 from zonelytics.session import ROCKSDB_PROVIDER
-from zonelytics.sources.readers import from_json_mapping, json_mapping
+from zonelytics.sources.readers import of_kind, typed_messages
 
 DEFAULT_DELAY = "2 minutes"
 
@@ -66,20 +66,19 @@ def newest_snapshot(spark: SparkSession, path: str) -> DataFrame:
 
 
 def route_to_tables(root: str) -> Callable[[DataFrame, int], None]:
-    """foreachBatch sink: mixed JSON messages to one parquet folder per type, rejects to their own.
+    """foreachBatch sink: mixed JSON messages, parsed once and written once, partitioned by kind.
 
-    A replayed batch overwrites its own sub-folder, so the result is exactly once.
+    A replayed batch overwrites its own sub-folder, so the result is exactly once. ``routed_table`` reads a kind.
     """
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.withColumn("_kind", F.get_json_object("value", "$.event_type")).persist()
-        try:
-            for kind, schema in schemas.EVENT_TYPES.items():
-                rows, _ = from_json_mapping(batch.filter(F.col("_kind") == kind), json_mapping(schema))
-                rows.write.mode("overwrite").parquet(f"{root}/{kind}/batch={batch_id:08d}")
-            other = batch.filter(F.coalesce(~F.col("_kind").isin(*schemas.EVENT_TYPES), F.lit(True))).select("value")
-            other.write.mode("overwrite").parquet(f"{root}/rejected/batch={batch_id:08d}")
-        finally:
-            batch.unpersist()
+        typed_messages(batch).write.mode("overwrite").partitionBy("kind").parquet(f"{root}/batch={batch_id:08d}")
 
     return save
+
+
+def routed_table(spark: SparkSession, root: str, kind: str) -> DataFrame:
+    """The routed messages of one kind; only its folders and its columns are read."""
+    made = [T.StructField(name, schema) for name, schema in schemas.EVENT_TYPES.items()]
+    stored = T.StructType([T.StructField("value", T.StringType()), *made, T.StructField("kind", T.StringType()), T.StructField("batch", T.StringType())])
+    return of_kind(spark.read.schema(stored).option("basePath", root).parquet(root), kind)

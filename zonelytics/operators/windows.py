@@ -17,6 +17,24 @@ def rolling_mean(df: DataFrame, columns: Sequence[str], by: Sequence[str], order
     return df.withColumns({f"{c}{tail}": F.avg(c).over(w) for c in columns})
 
 
+def rolling_mean_days(df: DataFrame, columns: Sequence[str], by: Sequence[str], day: str, days: int = 7, suffix: str | None = None, chunk: int = 512) -> DataFrame:
+    """Mean of ``columns`` over the last ``days`` days a key has rows on, this one included; one value a day, however many rows it has.
+
+    Rows of a day carry the same values (their mean counts otherwise), so ties cannot change a result. A key's days
+    are numbered chunk by chunk, and each chunk of numbers also gets the last ``days - 1`` of the one before, so no
+    key is ever one window. NULL keys are a key; rows without a day keep NULL means.
+    """
+    tail = suffix or f"_{days}d_avg"
+    each = df.filter(F.col(day).isNotNull()).groupBy(*by, day).agg(*[F.avg(c).alias(c) for c in columns])
+    each = running_total(each.withColumn("_one", F.lit(1.0)), "_one", by, [day], F.floor(F.unix_date(F.to_date(day)) / chunk), "_n").drop("_one")
+    home = F.floor(F.col("_n") / chunk)
+    near = F.when(F.col("_n") % chunk > chunk - days, F.array(home, home + 1)).otherwise(F.array(home))
+    spread = each.withColumns({"_home": home, "_chunk": F.explode(near)})
+    w = Window.partitionBy(*by, "_chunk").orderBy("_n").rowsBetween(1 - days, 0)
+    means = spread.withColumns({f"{c}{tail}": F.avg(c).over(w) for c in columns}).filter("_chunk = _home").select(*by, day, *[f"{c}{tail}" for c in columns])
+    return join_null_safe(df, means, [*by, day], "left")
+
+
 def moving_average_days(df: DataFrame, value: str, by: Sequence[str], day: str, days: int = 7, name: str = "moving_avg") -> DataFrame:
     """Mean over the last ``days`` calendar days, missing days left out."""
     w = Window.partitionBy(*by).orderBy(F.unix_date(day)).rangeBetween(1 - days, 0)

@@ -18,7 +18,7 @@ from zonelytics.functions import formulas as fm
 from zonelytics.functions.timebins import day_of_week_mon0
 from zonelytics.operators.joins import join_null_safe
 from zonelytics.operators.quantiles import exact_quantile, exact_quantiles
-from zonelytics.operators.windows import rolling_mean
+from zonelytics.operators.windows import rolling_mean_days
 from zonelytics.sources.readers import with_default
 
 # --- fixed values: model inputs, classes and hyper-parameters ----------------------
@@ -39,7 +39,7 @@ FOREST_PARAMS = {"numTrees": 200, "maxDepth": 12, "minInstancesPerNode": 3, "fea
 # --- features ------------------------------------------------------------------------
 
 def yield_features(harvest: DataFrame, env: DataFrame, crops: DataFrame, zones: DataFrame) -> DataFrame:
-    """Harvest rows with the climate of their day, crop and zone attributes and 7-row rolling means."""
+    """Harvest rows with the climate of their day, crop and zone attributes and rolling means over the zone's last 7 harvest days."""
     day = env.withColumnRenamed("date", "harvest_date").select("harvest_date", "zone_id", "greenhouse_id", *CLIMATE)
     rows = harvest.join(day, ["harvest_date", "zone_id", "greenhouse_id"])
     rows = rows.join(crops.select("crop_id", "crop_category", "optimal_temp_c", "growth_cycle_days"), "crop_id", "left")
@@ -52,7 +52,27 @@ def yield_features(harvest: DataFrame, env: DataFrame, crops: DataFrame, zones:
             "yield_per_sqft": fm.ratio(F.col("harvest_weight_kg"), F.col("size_sqft").cast("double")),
         }
     )
-    return rolling_mean(rows, ROLLED, ["zone_id"], "harvest_date", 7)
+    return rolling_mean_days(rows, ROLLED, ["zone_id"], "harvest_date", 7)
+
+
+def upcoming_features(harvest: DataFrame, env: DataFrame, crops: DataFrame, zones: DataFrame) -> DataFrame:
+    """One row of model inputs per zone for the week after its newest climate day.
+
+    Climate: means of the zone's last seven calendar days up to that day, whole days only (those without rows are left out); the crop
+    is that of its newest harvest, with that harvest's growing time. A zone without a harvest has no crop and no row.
+    """
+    newest = env.groupBy("zone_id").agg(F.max("date").alias("newest"))
+    week = env.join(newest, "zone_id").filter(F.col("date") > F.date_sub("newest", 7))
+    climate = week.groupBy("zone_id", "newest").agg(*[F.avg(c).alias(c) for c in CLIMATE])
+    last = harvest.groupBy("zone_id").agg(F.max(F.struct("harvest_date", "crop_id", "days_to_harvest")).alias("_last")).select("zone_id", "_last.crop_id", "_last.days_to_harvest")
+    rows = climate.join(last, "zone_id").join(crops.select("crop_id", "crop_category", "optimal_temp_c"), "crop_id", "left")
+    rows = rows.join(zones.select("zone_id", "size_sqft"), "zone_id", "left").withColumn("week_start", F.date_add("newest", 1))
+    return rows.withColumns(
+        {
+            "month": F.month("week_start"), "day_of_year": F.dayofyear("week_start"), "temp_deviation": F.abs(F.col("avg_temp") - F.col("optimal_temp_c")),
+            "is_leafy_green": F.coalesce((F.col("crop_category") == "leafy_green").cast("int"), F.lit(0)), **{f"{c}_7d_avg": F.col(c) for c in ROLLED},
+        }
+    ).drop("newest")
 
 
 def anomaly_features(events: DataFrame, env: DataFrame, zones: DataFrame) -> DataFrame:
@@ -172,11 +192,9 @@ def importance(spark: SparkSession, model: PipelineModel, features: Sequence[str
     return spark.createDataFrame(pairs, "feature string, importance double").orderBy(F.col("importance").desc(), "feature").limit(n)
 
 
-def score_upcoming(model: PipelineModel, features: DataFrame) -> DataFrame:
-    """Predictions for the newest row of every zone, whose rolling means cover the last seven rows."""
-    w = Window.partitionBy("zone_id").orderBy(F.col("harvest_date").desc(), "crop_id")
-    newest = features.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
-    return model.transform(newest).select("zone_id", "crop_id", "harvest_date", "predicted")
+def score_upcoming(model: PipelineModel, upcoming: DataFrame) -> DataFrame:
+    """Predicted yield of a day of the coming week per zone; see ``upcoming_features``."""
+    return model.transform(upcoming).select("zone_id", "crop_id", "week_start", "predicted")
 
 
 def save_model(model: PipelineModel, path: str, labels: Sequence[str] | None = None) -> None:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from zonelytics.sources.manifest import new_folder, read_manifest, replace_manifest
 from zonelytics.functions.timebins import binned, seconds
 from zonelytics.operators.latest import latest_per_key
 
@@ -84,15 +85,41 @@ def widen(partials: DataFrame, step: int) -> DataFrame:
 
 
 def store_batch(partials: DataFrame, path: str, batch: int) -> None:
-    """Add a batch of partials (the backfill is one, too) to a stored view; storing it again replaces it."""
-    partials.withColumn("batch", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+    """Add a batch of partials (the backfill is one, too) to a stored view; storing it again replaces it.
 
+    The batch is written to a folder of its own and counts from the moment the manifest names it. A batch
+    that a compaction has merged already is there, and is left out when it arrives again.
+    """
+    spark = partials.sparkSession
+    known = read_manifest(spark, path) or {"batches": {}, "merged": []}
+    if any(first <= batch <= last for first, last in known["merged"]):
+        return
+    folder = new_folder(path, f"batch-{batch}")
+    partials.write.parquet(folder)
+    replace_manifest(spark, path, {**known, "batches": {**known["batches"], str(batch): folder}})
 
-def stored_view(spark: SparkSession, path: str) -> DataFrame:
-    """The view as of its stored batches: bins that several batches touch are merged on reading."""
-    return finish_partials(merge_partials(spark.read.parquet(path).drop("batch")))
+
+def stored_partials(spark: SparkSession, path: str) -> DataFrame:
+    """All partials the manifest names; folders of attempts that died are not read."""
+    return spark.read.parquet(*read_manifest(spark, path)["batches"].values())
 
 
-def compact_batches(spark: SparkSession, path: str, into: str) -> None:
-    """One merged batch in a new folder, for when small batches have piled up."""
-    store_batch(merge_partials(spark.read.parquet(path).drop("batch")), into, 0)
+def stored_view(spark: SparkSession, path: str) -> DataFrame:
+    """The view as of its stored batches: bins that several batches touch are merged on reading."""
+    return finish_partials(merge_partials(stored_partials(spark, path)))
+
+
+def compact_batches(spark: SparkSession, path: str) -> None:
+    """One merged folder in place of all batches, for when small batches have piled up. Readers see the batches or it, never both."""
+    known = read_manifest(spark, path)
+    ids = sorted({*map(int, known["batches"])} - {-1})
+    ranges = sorted([*known["merged"], *([i, i] for i in ids)])
+    merged: list[list[int]] = []
+    for first, last in ranges:
+        if merged and first <= merged[-1][1] + 1:
+            merged[-1][1] = max(merged[-1][1], last)
+        else:
+            merged.append([first, last])
+    folder = new_folder(path, "compacted")
+    merge_partials(stored_partials(spark, path)).write.parquet(folder)
+    replace_manifest(spark, path, {"batches": {"-1": folder}, "merged": merged})

@@ -11,6 +11,7 @@ from zonelytics.operators.latest import first_per_key, latest_incremental, order
 from zonelytics.operators.series import decompose_anomalies, fir, make_series, mv_expand, slope, to_arrays
 from zonelytics.plans import detect, tiles, views
 from zonelytics.registry import cols, query
+from zonelytics.sources import manifest
 from zonelytics.session import work_dir
 
 MIN, HOUR, DAY = timedelta(minutes=1), timedelta(hours=1), timedelta(days=1)
@@ -337,8 +338,25 @@ def _(t):
     ts = F.col("timestamp")
     for batch, rows in ((0, ts < late), (1, (ts >= late) & (ts < last)), (2, ts >= last), (2, ts >= last)):
         views.store_batch(views.hourly_partials(t.telemetry.filter(rows)), f"{base}/batches", batch)
-    views.compact_batches(t.spark, f"{base}/batches", f"{base}/compact")
-    return views.stored_view(t.spark, f"{base}/compact")
+    views.compact_batches(t.spark, f"{base}/batches")
+    return views.stored_view(t.spark, f"{base}/batches")
+
+
+@query("mv5_manifest", _HOURLY_SQL, _HOURLY_DIGITS)
+def _(t):
+    """As above, with a compaction between the increments, an old batch arriving after it, and an attempt that died before its manifest."""
+    base = work_dir(t.spark, "view")
+    late, last = (F.lit(x).cast("timestamp") for x in ("2024-01-01 00:17:30", "2024-01-01 00:41:10"))
+    ts = F.col("timestamp")
+    parts = [views.hourly_partials(t.telemetry.filter(rows)) for rows in (ts < late, (ts >= late) & (ts < last), ts >= last)]
+    views.store_batch(parts[0], base, 0)
+    views.store_batch(parts[1], base, 1)
+    views.compact_batches(t.spark, base)
+    views.store_batch(parts[1], base, 1)
+    parts[2].write.parquet(manifest.new_folder(base, "batch-2"))
+    views.store_batch(parts[2], base, 2)
+    views.compact_batches(t.spark, base)
+    return views.stored_view(t.spark, base)
 
 
 @query("mv5_widen_hourly_to_day", _HOURLY_SQL.replace("1 HOUR", "1 DAY"), _HOURLY_DIGITS)

@@ -156,6 +156,22 @@ def _(t):
     return ml.misclassified_pairs(t.predictions)
 
 
+def upcoming(t):
+    return ml.upcoming_features(daily(t), t.env_daily, t.dim_crop, t.dim_zone)
+
+
+@query("ml15_upcoming_inputs", f"""
+  WITH n AS (SELECT zone_id, max(date) AS newest FROM env_daily GROUP BY 1),
+  w AS (SELECT e.zone_id, newest, {', '.join(f'avg({c}) AS {c}' for c in ml.CLIMATE)} FROM env_daily e JOIN n ON n.zone_id = e.zone_id WHERE e.date > newest - INTERVAL 7 DAY GROUP BY ALL),
+  l AS (SELECT zone_id, crop_id, days_to_harvest FROM o_daily QUALIFY row_number() OVER (PARTITION BY zone_id ORDER BY harvest_date DESC, crop_id DESC, days_to_harvest DESC) = 1)
+  SELECT w.zone_id, l.crop_id, CAST(newest + INTERVAL 1 DAY AS DATE) AS week_start, {', '.join(ml.CLIMATE)}, CAST(month(newest + INTERVAL 1 DAY) AS INT) AS month, CAST(dayofyear(newest + INTERVAL 1 DAY) AS INT) AS day_of_year,
+    days_to_harvest, abs(avg_temp - optimal_temp_c) AS temp_deviation, CAST(coalesce(crop_category = 'leafy_green', false) AS INT) AS is_leafy_green, z.size_sqft, {', '.join(f'{c} AS {c}_7d_avg' for c in ml.ROLLED)}
+  FROM w JOIN l ON l.zone_id = w.zone_id LEFT JOIN dim_crop c ON c.crop_id = l.crop_id LEFT JOIN dim_zone z ON z.zone_id = w.zone_id""",
+       cols(" ".join([*ml.CLIMATE, "temp_deviation", *[f"{c}_7d_avg" for c in ml.ROLLED]])))
+def _(t):
+    return upcoming(t).select("zone_id", "crop_id", "week_start", *ml.YIELD_FEATURES)
+
+
 # --- trained models: no SQL twin -------------------------------------------------------------
 # Few rounds keep the check short; the library's defaults are the full settings.
 
@@ -181,8 +197,7 @@ def _(t):
 
 @query("ml15_score_upcoming")
 def _(t):
-    rows = cut(features(t), "features")
-    return ml.score_upcoming(ml.train_yield(rows, **_SMALL), rows)
+    return ml.score_upcoming(trained(t)[0], upcoming(t))
 
 
 @query("ml10_forest_report")

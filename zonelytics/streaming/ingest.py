@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from zonelytics import schemas
 from zonelytics.session import ROCKSDB_PROVIDER
+from zonelytics.sources.manifest import new_folder, read_manifest, replace_manifest
 from zonelytics.sources.readers import of_kind, typed_messages
 
 DEFAULT_DELAY = "2 minutes"
@@ -52,17 +53,19 @@ def write_batches(df: DataFrame, save: Callable[[DataFrame, int], None], checkpo
 
 
 def save_snapshot(path: str) -> Callable[[DataFrame, int], None]:
-    """Complete-mode sink: every batch writes the whole (small) view to its own folder; replays overwrite it."""
+    """Complete-mode sink: every batch writes the whole (small) view to a folder of its own, which the manifest then names; replays do so again."""
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id:08d}")
+        folder = new_folder(path, f"batch-{batch_id}")
+        batch.write.parquet(folder)
+        replace_manifest(batch.sparkSession, path, {"batch": batch_id, "folder": folder})
 
     return save
 
 
 def newest_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    every = spark.read.option("basePath", path).parquet(path)
-    return every.filter(F.col("batch") == every.agg(F.max("batch").alias("b")).scalar()).drop("batch")
+    """The view as of the last batch; older ones are not listed."""
+    return spark.read.parquet(read_manifest(spark, path)["folder"])
 
 
 def route_to_tables(root: str) -> Callable[[DataFrame, int], None]:

@@ -156,14 +156,16 @@ def fact_anomaly_events(history: DataFrame) -> DataFrame:
 
 
 def run_star(tables: dict[str, DataFrame], config: DataFrame) -> dict[str, DataFrame]:
-    """All facts from the six cleaned tables (names as in the raw layout)."""
+    """All facts from the six cleaned tables (names as in the raw layout) and, where given, ``anomaly_history``."""
     harvest = fact_daily_harvest(tables["daily_harvest"])
+    events = {"fact_anomaly_events": fact_anomaly_events(tables["anomaly_history"])} if "anomaly_history" in tables else {}
     return {
         "fact_daily_harvest": harvest,
         "fact_zone_daily_environment": fact_zone_daily_environment(tables["iot_telemetry"], config),
         "fact_daily_energy": fact_daily_energy(tables["energy"], harvest),
         "fact_shipments": fact_shipments(tables["shipments"]),
         "fact_weekly_crop_health": fact_weekly_crop_health(tables["iot_telemetry"], config),
+        **events,
     }
 
 

@@ -104,6 +104,26 @@ def _(t):
     return incident_features(t).select("event_id", "zone_id", "anomaly_type", "avg_temp", "avg_ph", "avg_ec", "hour_of_day", "day_of_week", "month", "is_night", "is_weekend", "duration_minutes", "ph_deviation", "ec_deviation")
 
 
+ADAPTERS["o_env_fact"] = """
+  SELECT d.*, CASE WHEN abs(avg_temp - target_temperature) > 2 THEN abs(avg_temp - target_temperature) * 2 ELSE 0e0 END AS temp_excursion_hours,
+    24 - CASE WHEN abs(avg_temp - target_temperature) > 2 THEN abs(avg_temp - target_temperature) * 2 ELSE 0e0 END AS hours_in_optimal_range
+  FROM (SELECT CAST(timestamp AS DATE) AS date, zone_id, greenhouse_id, avg(air_temperature) AS avg_temp, avg(air_humidity) AS avg_humidity, avg(co2_level) AS avg_co2,
+      sum(par_light) * 30 / 1e6 AS total_dli, avg(vpd) AS avg_vpd, avg(substrate_ec) AS avg_ec, avg(substrate_ph) AS avg_ph FROM telemetry GROUP BY ALL) d
+    LEFT JOIN (SELECT zone_id, target_temperature FROM zone_config) c ON c.zone_id = d.zone_id"""
+# what the given log does not carry has neutral defaults, as the reader of the features must see them
+_DEFAULTS = {"affected_sensor_count": 0.0, "temp_deviation": 0.0, "moisture_drop": 0.0}
+
+
+@query("ml7_all_inputs", f"""
+  SELECT o.event_id, o.zone_id, o.anomaly_type, {', '.join(f'e.{c}' for c in ml.CLIMATE)}, o.hour_of_day, o.day_of_week, o.month, o.is_night, o.is_weekend, o.duration_minutes, o.ph_deviation, o.ec_deviation,
+    {', '.join(f'CAST({v} AS DOUBLE) AS {c}' for c, v in _DEFAULTS.items())}, {', '.join(f'0 AS affected_{s}' for s in ml.SYSTEMS)}
+  FROM o_anomaly o JOIN scenarios a ON a.anomaly_id = o.event_id JOIN o_env_fact e ON e.zone_id = o.zone_id AND e.date = CAST(a.start_time AS DATE) AND e.greenhouse_id = a.greenhouse_id""",
+       cols(" ".join([*ml.CLIMATE, "duration_minutes", "ph_deviation", "ec_deviation", "temp_deviation"])))
+def _(t):
+    """All 25 inputs of the classifier."""
+    return incident_features(t).select("event_id", "zone_id", "anomaly_type", *ml.ANOMALY_FEATURES)
+
+
 @query("ml8_label_encoding", """
   SELECT event_id, actual, CASE actual WHEN 'cold_chain_break' THEN 0e0 WHEN 'hvac_failure' THEN 1e0 WHEN 'irrigation_failure' THEN 2e0 WHEN 'nutrient_drift' THEN 3e0 ELSE 4e0 END AS label_index FROM predictions""")
 def _(t):
@@ -173,15 +193,20 @@ def _(t):
 
 
 # --- trained models: no SQL twin -------------------------------------------------------------
-# Few rounds keep the check short; the library's defaults are the full settings.
+# All train with the library's full settings. The yield model is trained once per application and table folder, and kept as a saved model.
 
-_SMALL = {"maxIter": 5, "maxDepth": 5}
+_YIELD: dict[tuple[str, str], str] = {}
 
 
 def trained(t):
     # training reads its input many times: the features are written once
     train, test = ml.hash_split(cut(features(t), "features"), ["zone_id", "harvest_date", "crop_id"])
-    return ml.train_yield(train, **_SMALL), test
+    key = (t.spark.sparkContext.applicationId, t.sf_dir)
+    if key not in _YIELD:
+        path = work_dir(t.spark, "yield-model")
+        ml.save_model(ml.train_yield(train), path)
+        _YIELD[key] = path
+    return ml.load_model(_YIELD[key]), test
 
 
 @query("ml2_yield_model_metrics")
@@ -203,14 +228,14 @@ def _(t):
 @query("ml10_forest_report")
 def _(t):
     rows = cut(ml.class_weights(ml.stratified(cut(incident_features(t), "features"), ["event_id", "zone_id"], "anomaly_type")), "training")
-    model = ml.train_classifier(rows.filter("is_train"), numTrees=10, maxDepth=5)
+    model = ml.train_classifier(rows.filter("is_train"))
     out = model.transform(rows.filter("NOT is_train")).withColumnRenamed("anomaly_type", "actual")
     return ml.class_report(out.select("actual", "predicted"))
 
 
 @query("ml12_cross_validated_f1")
 def _(t):
-    f1 = ml.cross_validated_f1(cut(incident_features(t), "features"), 3, numTrees=5, maxDepth=4)
+    f1 = ml.cross_validated_f1(cut(incident_features(t), "features"))
     return t.scenarios.agg(F.count(F.lit(1)).alias("incidents")).withColumn("f1_mean", F.lit(f1))
 
 

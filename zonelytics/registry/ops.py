@@ -365,9 +365,9 @@ def _(t):
   SELECT alert_id, c AS cold_chain_temp, c <= 5 AS cold_chain_compliant FROM v""", cols("cold_chain_temp"))
 def _(t):
     incidents = t.anomaly_events.select("greenhouse_id", F.col("event_id").alias("anomaly_id"), F.col("anomaly_type").alias("scenario"), F.lit(0.5).alias("severity"), "start_time", "end_time")
-    only = {"cold-chain-break": sc.SCENARIOS["cold-chain-break"]}
+    only = {"cold-chain-break": sc.PHASES["cold-chain-break"]}
     channels = {"cold_chain_temp": "double", "cold_chain_compliant": "boolean"}
-    hit = sc.overlay(t.alerts, incidents, channels, key="greenhouse_id", scenarios=only).filter("incidents > 0")
+    hit = sc.overlay(t.alerts, incidents, channels, key="greenhouse_id", phases=only).filter("incidents > 0")
     return hit.select("alert_id", "cold_chain_temp", "cold_chain_compliant")
 
 

@@ -224,6 +224,19 @@ def _(t):
     return me.evaluate(m, ["total_harvest_kg"], ["dim_date.date"], rp.bookmark(m, "site focus", "G1"))
 
 
+@query("rp19_bookmarks", " UNION ALL ".join(
+    f"SELECT '{name}' AS bookmark, sum(harvest_weight_kg) AS total_harvest_kg, count(DISTINCT harvest_date) AS days FROM harvest WHERE greenhouse_id = 'G1' AND harvest_date > {D} - {days}"
+    for name, days in rp.BOOKMARKS.items()), cols("total_harvest_kg", 4))
+def _(t):
+    """All presets of one site."""
+    m, out = model(t), None
+    for name in rp.BOOKMARKS:
+        days = me.evaluate(m, ["total_harvest_kg"], ["dim_date.date"], rp.bookmark(m, name, "G1"))
+        one = days.agg(F.sum("total_harvest_kg").alias("total_harvest_kg"), F.count("date").alias("days")).select(F.lit(name).alias("bookmark"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("flt10_slicers", f"""
   SELECT zone_id, sum(harvest_weight_kg) AS total_harvest_kg FROM harvest WHERE {CROP} IN ('Crop 1', 'Crop 3') AND zone_id IN ('Z01', 'Z03', 'Z09') AND harvest_date > {D} - 365 GROUP BY 1""", cols("total_harvest_kg", 4))
 def _(t):

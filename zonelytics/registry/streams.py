@@ -7,7 +7,7 @@ from zonelytics.plans import views
 from zonelytics.registry import cols, query
 from zonelytics.registry.star import ROUTED, ROUTED_SQL, mixed_messages, routed_rows
 from zonelytics.registry.events import LATEST, LATEST_EQ, _HOURLY_DIGITS, _HOURLY_SQL
-from zonelytics.registry.ops import _ACKS, _COLD, _EQ, _NUTR, _TEMP, _resolved, cold_rule
+from zonelytics.registry.ops import _ACKS, _COLD, _COLD_SHIPPED, _EQ, _NUTR, _TEMP, _resolved, cold_rule
 from zonelytics.session import sized_state, work_dir
 from zonelytics.sources import sinks
 from zonelytics.sources.adapters import ADAPTERS, Tables
@@ -143,6 +143,15 @@ def _(t):
     return sr.current_alerts(log, cold_rule())
 
 
+ADAPTERS["o_cold_shipped_rows_closed"] = """SELECT * FROM o_cold_shipped_rows WHERE time_bucket(INTERVAL 60 SECOND, timestamp) + INTERVAL 60 SECOND <= (SELECT max(timestamp) - INTERVAL 2 MINUTE FROM alerts)"""
+
+
+@query("rul4_stream_cold_chain_shipped", f"SELECT zone_id, timestamp, CAST(NULL AS TIMESTAMP) AS resolved_at FROM {_COLD_SHIPPED}".replace("o_cold_shipped_rows", "o_cold_shipped_rows_closed"))
+def _(t):
+    """With the shipped threshold."""
+    return sr.current_alerts(replay(t, sr.rule_stream(live(t).alerts, al.COLD_CHAIN, tie=("alert_id",))), al.COLD_CHAIN)
+
+
 # --- the equipment rule: left outer stream join, nearest reading, rule state; then limits and escalation -----------------
 
 _stream_rule("rul2_stream_equipment", _EQ, "o_equipment_rows", al.EQUIPMENT_OFFLINE, lambda t: sv.equipment_for_rule(live(t).equipment, live(t).telemetry, t.zone_config), (*TIE, *sv.NEAREST), None)

@@ -213,14 +213,19 @@ def row_key():
     return F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text")
 
 
-def without(df: DataFrame, keys: DataFrame) -> DataFrame:
-    """``df(doc_id, text, ...)`` without the rows whose ``row_key()`` is among ``keys(key)``.
+def without(df: DataFrame, keys: DataFrame, once: DataFrame | None = None) -> DataFrame:
+    """``df(doc_id, text, ...)`` without the rows whose ``row_key()`` is among ``keys(key)``, and with one row of each key in ``once(key)``.
 
-    Only rows that a bit table of the keys lets through are shuffled for the exact anti-join.
+    Only rows that a bit table of these keys lets through are shuffled, for the exact anti-join and the choice among rows alike.
     """
-    name, whole = unused(df, "key"), [F.col(f"`{c}`") for c in df.columns]
-    table, keyed = BitTable.of(keys.select(F.xxhash64("key"))), df.withColumn(name, row_key())
+    name, number, whole = unused(df, "key"), unused(df, "copy"), [F.col(f"`{c}`") for c in df.columns]
+    table = BitTable.of((keys if once is None else keys.union(once)).select(F.xxhash64("key")))
+    keyed = df.withColumn(name, row_key())
     left = table.thin(keyed, name).join(keys.select(F.col("key").alias(name)).hint("merge"), name, "left_anti")
+    if once is not None:
+        left = left.join(once.select(F.col("key").alias(name), F.lit(True).alias(number)).hint("merge"), name, "left")
+        alike = left.where(F.col(number)).groupBy(name).agg(F.first(F.struct(*whole)).alias("row")).select("row.*")
+        left = left.where(F.col(number).isNull()).select(*whole).union(alike)
     return table.thin(keyed, name, inside=False).select(*whole).union(left.select(*whole))
 
 

@@ -83,19 +83,20 @@ class Ids:
         return self.words[word]
 
     @classmethod
-    def kept(cls, path: str) -> Ids:
+    def kept(cls, path: str, remembered: int) -> Ids:
         """One encoder per Python worker: workers are reused between tasks, and with them its words."""
         kept = tokenizers.__dict__.setdefault("_ids_by_path", {})
         if path not in kept:
             kept[path] = cls(path)
+        kept[path].remembered = remembered
         return kept[path]
 
 
-def pieces(docs: DataFrame, tokenizer: str, window: int, end_id: int) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, window: int, end_id: int, remembered: int = 400_000) -> DataFrame:
     """Cut each document's ids (with ``end_id`` after them) into full windows and a rest: one row per piece."""
 
     def cut(batches):
-        ids, out = Ids.kept(tokenizer), Out(_ARROW)
+        ids, out = Ids.kept(tokenizer, remembered), Out(_ARROW)
         end = np.array([end_id], "<u4").tobytes()
         for doc_id, text in rows(batches, "doc_id", "text"):
             data = ids.one(text) + end
@@ -147,13 +148,13 @@ def best_fit(lengths: list[int], window: int) -> tuple[list[int], list[int]]:
     return where, offset
 
 
-def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, shard_docs: int = 8192) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, shard_docs: int = 8192, remembered: int = 400_000) -> DataFrame:
     """Pack ``docs(doc_id, text)`` into windows of ``window`` tokens; one row per piece, see ``PACKED``.
 
     Overlong documents are cut into full windows first. Pieces are dealt evenly, whatever their ids,
     to shards of about ``shard_docs`` documents, and each shard is packed by best-fit decreasing in
     its own task, so memory does not grow with the corpus and the loss against one global packing is
-    at most a part-filled window or two per shard. A window holding fewer than ``window`` tokens is
+    at most a part-filled window or two per shard. An encoder remembers ``remembered`` words and as many pieces of words. A window holding fewer than ``window`` tokens is
     padded to ``window`` unless its length is a power of two; padding has no rows.
 
     NULL or empty text: one piece, the end id alone. NULL or repeated doc_id: each row is a document
@@ -161,7 +162,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, s
     dropped. An empty table gives no rows.
     """
     shards = max(1, math.ceil(docs.count() / shard_docs))
-    dealt = pieces(docs, tokenizer, window, end_id).withColumn("shard", F.pmod(F.xxhash64("doc_id", "start", F.monotonically_increasing_id()), F.lit(shards)))
+    dealt = pieces(docs, tokenizer, window, end_id, remembered).withColumn("shard", F.pmod(F.xxhash64("doc_id", "start", F.monotonically_increasing_id()), F.lit(shards)))
 
     def place(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True], kind="stable")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from zonelytics.llm.common import BitTable, Out, ascii_words, components, mix, row_key, rows, seeded, set_key, shingle_keys, unused, without, word_keys, written
+from zonelytics.llm.common import BitTable, Out, ascii_words, components, mix, row_key, rows, seeded, set_key, shingle_keys, without, word_keys, written
 
 
 class PartEnum:
@@ -243,12 +243,6 @@ def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     members = written(groups.join(several, "component_id").select("component_id", F.col("doc_id").alias("key")), "members")
     named = BitTable.of(members.select(F.xxhash64("key"))).thin(keyed.select(F.col("doc_id").alias("key"), "id"), "key").groupBy("key").agg(F.min("id").alias("id"))
     first = members.join(named, "key").groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "key"))["key"].alias("first"))
-    left = without(docs, written(members.join(first, "component_id").where("key <> first").select("key"), "near-duplicates"))
-    repeated = BitTable.of(groups.where("copies > 1").select(F.xxhash64("doc_id")))
-    key = unused(left, "key")
-    number = unused(left, "copy")
-    keyed = left.withColumn(key, row_key())
-    once = Window.partitionBy(key, F.col("text").rlike(r"[^\x20\x09-\x0D]")).orderBy(F.lit(0))
-    some = repeated.thin(keyed, key).withColumn(number, F.row_number().over(once)).where((F.col(number) == 1) | ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
-    whole = [F.col(f"`{c}`") for c in docs.columns]
-    return repeated.thin(keyed, key, inside=False).select(*whole).union(some.select(*whole))
+    worse = written(members.join(first, "component_id").where("key <> first").select("key"), "near-duplicates")
+    # only sets with shingles are in groups: rows with a NULL, empty or blank text are never alike
+    return without(docs, worse, groups.where("copies > 1").select(F.col("doc_id").alias("key")))

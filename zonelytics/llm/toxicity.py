@@ -130,7 +130,7 @@ class Model:
         self.index = Index([self.weighted(e[0], e[1]) for e in examples], len(terms))
         self.bare = (empty[0] + shrink * base) / (empty[1] + shrink)
         self.position = {tuple(zip(e[0], e[1], strict=True)): i for i, e in enumerate(examples)}
-        self.curve = ([0.0, 1.0], [0.0, 1.0])
+        self.curve, self.learnt = ([0.0, 1.0], [0.0, 1.0]), 0
         self.known: dict[str, tuple[int, ...]] = {}
         self.voted: dict[tuple, tuple] = {}
 
@@ -237,6 +237,7 @@ def fit(labelled: DataFrame, max_examples: int = 20_000, max_terms: int = 2048,
     kept = grouped.where(F.size("terms") > 0).orderBy(F.xxhash64("terms", "counts"), "doc_id").limit(max_examples).collect()
     kept = sorted(((r["terms"], r["counts"], r["n_toxic"], r["n"], r["doc_id"]) for r in kept), key=lambda e: (e[0], e[1]))
     model = Model(terms, kept, (bare[0] or 0, bare[1] or 0), pos / (pos + neg) if pos + neg else 0.5, k, shrink)
+    model.learnt = pos + neg
 
     def held_back(batches):
         bins = np.zeros((2, 101))
@@ -290,7 +291,9 @@ def labelled(docs: DataFrame, labels: DataFrame, learn) -> DataFrame:
 
 
 def clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose text scores below ``threshold``."""
+    """The rows of ``docs``, with all their columns, whose text scores below ``threshold``; all rows if the model has seen no label."""
+    if not model.learnt:
+        return docs
 
     def keep(batches):
         release()

@@ -10,19 +10,27 @@ from zonelytics.llm.common import row_key, table, without, written
 from zonelytics.llm.queries import KEY, tokenizer_path
 
 
+def lean(spark: SparkSession) -> None:
+    """Arrow batches of 1000 rows: executors and their Python workers hold a tenth of Spark's default at once. No result depends on it."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below 0.5 by their nearest labelled examples; all labels of ``sf_dir`` teach."""
+    lean(spark)
     labels = table(spark, sf_dir, "labels")
     return toxicity.clean(docs, toxicity.fit(toxicity.labelled(docs, labels, F.lit(True))))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of five-word shingle sets of similarity 0.8 or more."""
+    lean(spark)
     return partenum.one_of_each(docs, n=5, percent=80)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that overlap with no item of ``benchmark``; rows that share a doc_id but not the text are told apart."""
+    lean(spark)
     keyed = docs.select(row_key().alias("doc_id"), "text")
     found = decontaminate.leaks(keyed, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("key")).distinct()
     return without(docs, written(found, "contaminated"))
@@ -30,6 +38,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def hide_personal_values(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal values become pseudonyms; ``n_chars`` follows the new text. Other columns, whatever their names, stay."""
+    lean(spark)
     whole = docs.select("text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     new = pseudonyms.pseudonymise(whole, KEY)
     columns = {c: F.col("row").getField(c) for c in docs.columns} | {"text": F.col("text")}
@@ -41,7 +50,8 @@ def hide_personal_values(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token windows of 2048, one row per piece of a document."""
-    return packing.pack(docs, tokenizer_path())
+    lean(spark)
+    return packing.pack(docs, tokenizer_path(), remembered=80_000)
 
 
 STAGES = [

@@ -267,3 +267,25 @@ def test_alignment_of_nothing(spark, paths):
     assert alignment.align(frame(spark, []), *paths).collect() == []
     got = {tuple(x)[1:] for x in alignment.align(frame(spark, [(1, None), (None, "")]), *paths).collect()}
     assert got == {(0, 0, 0, 0, 0, 0, "")}
+
+
+# names of page parts
+
+
+BODY = "Words of the article, as many as it takes. " * 6
+
+
+@pytest.mark.parametrize("html, kept", [
+    (f'<div class="layout has-sidebar"><article><h1>Title</h1><p>{BODY}</p></article></div>', ["Title", BODY]),
+    (f'<div class="no-comments"><div><h1>Title</h1><p>{BODY}</p></div></div>', ["Title", BODY]),
+    (f'<div class="comments"><article><h1>Title</h1><p>{BODY}</p></article></div>', ["Title", BODY]),
+    (f'<div class="entry-header"><h1>Title</h1></div><div><p>{BODY}</p></div>', ["Title", BODY]),
+    (f'<h2 class="share-price">Share price</h2><p>{BODY}</p><div class="share-buttons">Share this</div>', ["Share price", BODY]),
+    (f'<article><h1>Title</h1><ul class="share-buttons"><li>a</li><li>b</li><li>c</li></ul><p>{BODY}</p>' + '<div class="ad-slot">x</div>' * 3 + "<p>End.</p></article>", ["Title", BODY, "End."]),
+    (f'<div id="site-footer">foot</div><div class="commentList2">c</div><div class="sidebar-left">s</div><p>{BODY}</p>', [BODY]),
+])
+def test_names_of_parts_beside_the_article(html, kept):
+    from zonelytics.llm import lineblocks
+
+    page = f"<html><body><nav><a href=x>Menu</a></nav>{html}<footer>foot</footer></body></html>"
+    assert lineblocks.extract(page) == "\n\n".join(x.strip() for x in kept)

@@ -33,15 +33,35 @@ _BESIDE = frozenset(
 )
 
 
-def beside(attributes: str) -> bool:
-    """Whether class, id or role names a part beside the article, or the element is hidden."""
-    if not attributes:
+#: what may follow such a word in the name of its container
+_PARTS = frozenset(
+    "area bar block body bottom box button buttons col container content count group head heading icon icons inner item items label left link links list listing main module "
+    "outer panel placeholder posts region right row section slot stories strip target text thread title tools top unit wrap wrapper zone".split()
+)
+#: words before it that make a name say something of another element
+_ABOUT = frozenset("has is no not non with without hide hides show shows open opens above below after before".split())
+_STORY = frozenset("article content entry post story".split())
+
+
+def named_beside(word: str) -> bool:
+    """Whether one name out of class, id or role is that of a part beside the article.
+
+    The whole name, its last word ("site-footer"), or its first words before words for containers ("share-buttons") say so;
+    not in "has-sidebar", "no-comments", "share-price", nor "entry-header", which holds the title.
+    """
+    if word.lower() in _BESIDE:
+        return True
+    parts = [x.lower() for x in _CAMEL.findall(word)]
+    if not parts or parts[0] in _ABOUT or parts[-1] == "header" and parts[0] in _STORY:
         return False
-    for _, a, b, c in _NAMES.findall(attributes):
-        for word in (a or b or c).split():
-            if word.lower() in _BESIDE or any(x.lower() in _BESIDE for x in _CAMEL.findall(word)):
-                return True
-    return _HIDDEN.search(attributes) is not None
+    while len(parts) > 1 and (parts[-1] in _PARTS or parts[-1].isdigit()):
+        parts.pop()
+    return parts[-1] in _BESIDE
+
+
+def beside(attributes: str) -> bool:
+    """Whether class, id or role names a part beside the article."""
+    return bool(attributes) and any(named_beside(word) for _, a, b, c in _NAMES.findall(attributes) for word in (a or b or c).split())
 
 
 def lines(page: str) -> list[tuple[str, int, bool]]:
@@ -51,7 +71,7 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
     block-level element begins or ends, not at ``br``. Unclosed elements end with their parent.
     """
     out: list[tuple[str, int, bool]] = []
-    stack: list[tuple[str, bool]] = []  # open elements and whether they lie beside the article
+    stack: list[tuple[str, int]] = []  # open elements; 1: beside the article by its kind, 2: by its name
     text: list[str] = []
     linked, outside, links, inside, at = 0, 0, 0, 0, 0
 
@@ -67,7 +87,7 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
         nonlocal outside, links, inside
         while len(stack) > upto:
             name, off = stack.pop()
-            outside -= off
+            outside -= off > 0
             links -= name == "a"
             inside -= name in ("article", "main")
 
@@ -110,9 +130,14 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
                     break
         if name in _VOID or m[3].rstrip().endswith("/") and not block:
             continue
-        off = name in _OUT or (name == "header" and not inside) or (name not in ("html", "body", "article", "main") and beside(m[3]))
+        if name in ("article", "main"):  # what holds the article is not beside it, whatever its name
+            outside -= sum(off == 2 for _, off in stack)
+            stack = [(n, 0 if off == 2 else off) for n, off in stack]
+        off = 1 if name in _OUT or name == "header" and not inside else 0
+        if not off and name not in ("html", "body", "article", "main"):
+            off = 1 if m[3] and _HIDDEN.search(m[3]) else 2 * beside(m[3])
         stack.append((name, off))
-        outside += off
+        outside += off > 0
         links += name == "a"
         inside += name in ("article", "main")
     flush()
@@ -149,8 +174,8 @@ def between(lengths: np.ndarray, window: int, most: int) -> np.ndarray:
 
 def extract(page: str | None, window: int = 3, most: int = 80) -> str:
     found = lines(page) if page else []
-    if any(t and a for t, _, a in found):  # text outside the marked article counts nothing
-        found = [(t if a else "", k, a) for t, k, a in found]
+    if any(t and a for t, _, a in found):  # text outside the marked article counts nothing, and parts beside it inside leave no gap
+        found = [(t if a else "", k, a) for t, k, a in found if t or not a]
     counted = np.array([0 if 2 * k > len(t) and not a else len(t) for t, k, a in found], np.int64)
     keep = between(counted, window, most)
     return "\n\n".join(t for (t, _, _), k in zip(found, keep, strict=True) if k)
@@ -161,7 +186,8 @@ def main_text(pages: DataFrame, window: int = 3, most: int = 80) -> DataFrame:
 
     Markup is stripped to one line per block; blocks of menus, headers, footers, sidebars, notices,
     adverts, forms and comments, blocks that are mostly links, and, where the page marks an article,
-    blocks outside it count as empty lines. Text lengths are summed over ``window`` lines, and the
+    blocks outside it count as empty lines; inside a marked article such parts count as absent. An element named like one of them that
+    holds the article is none of them. Text lengths are summed over ``window`` lines, and the
     lines between a surge of that sum and its dive to 0 are kept, joined by two line feeds; inside a
     block white space is one space. Nothing is cut.
 

@@ -126,6 +126,27 @@ def current_alerts(log: DataFrame, rule: Rule) -> DataFrame:
     )
 
 
+class OneTimer:
+    """A single event-time timer per key, at the earliest time something is due; its time is kept as state."""
+
+    def __init__(self, handle: StatefulProcessorHandle):
+        self.handle, self.at = handle, handle.getValueState("timer", "ms bigint")
+
+    def earliest(self, us: int) -> None:
+        """See to it that the timer runs no later than at ``us``."""
+        ms, now = -(-int(us) // 1000), self.at.get()[0] if self.at.exists() else None
+        if now is None or ms < now:
+            if now is not None:
+                self.handle.deleteTimer(now)
+            self.handle.registerTimer(ms)
+            self.at.update((ms,))
+
+    def expired(self, timerValues, info) -> int:
+        """The time up to which everything is due, in microseconds; the timer is gone."""
+        self.at.clear()
+        return max(info.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()) * 1000
+
+
 class FirstOfHour(StatefulProcessor):
     """The first ``n`` rows of a group, whose key holds the hour, in the order of ``ts`` and ``order``.
 
@@ -138,32 +159,37 @@ class FirstOfHour(StatefulProcessor):
         self.fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
+        self.timer = OneTimer(handle)
         self.waiting = handle.getListState("waiting", self.fields)
         self.through = handle.getValueState("through", "n int")
 
+    def us(self, frame: pd.DataFrame) -> pd.Series:
+        return frame[self.ts].astype("datetime64[us]").astype(np.int64)
+
+    def values(self, frame: pd.DataFrame) -> list[tuple]:
+        return list(frame.astype(object).where(frame.notna(), None).itertuples(index=False, name=None))
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         if not self.through.exists() or self.through.get()[0] < self.n:
             frame = pd.concat(list(rows))[self.columns]
-            values = frame.astype(object).where(frame.notna(), None)
-            self.waiting.appendList(list(values.itertuples(index=False, name=None)))
-            for ms in np.unique(-(-frame[self.ts].astype("datetime64[us]").astype(np.int64).to_numpy() // 1000)).tolist():
-                self.handle.registerTimer(ms)
+            self.waiting.appendList(self.values(frame))
+            self.timer.earliest(self.us(frame).min())
         yield pd.DataFrame(columns=self.columns)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = self.timer.expired(timerValues, expiredTimerInfo)
         frame = pd.DataFrame(list(self.waiting.get()) if self.waiting.exists() else [], columns=self.columns)
-        due = frame[self.ts].astype("datetime64[us]").astype(np.int64) <= expiredTimerInfo.getExpiryTimeInMs() * 1000
-        if due.any():
-            done = self.through.get()[0] if self.through.exists() else 0
-            out = frame[due].sort_values([self.ts, *self.order]).head(self.n - done)
-            self.through.update((done + len(out),))
-            rest = frame[~due] if done + len(out) < self.n else frame[:0]
-            values = rest.astype(object).where(rest.notna(), None)
-            self.waiting.put(list(values.itertuples(index=False, name=None))) if len(rest) else self.waiting.clear()
-            yield out
+        due = self.us(frame) <= now
+        done = self.through.get()[0] if self.through.exists() else 0
+        out = frame[due].sort_values([self.ts, *self.order]).head(self.n - done)
+        self.through.update((done + len(out),))
+        rest = frame[~due] if done + len(out) < self.n else frame[:0]
+        if len(rest):
+            self.waiting.put(self.values(rest))
+            self.timer.earliest(self.us(rest).min())
         else:
-            yield frame[:0]
+            self.waiting.clear()
+        yield out
 
     def close(self) -> None:
         pass
@@ -188,7 +214,7 @@ def throttle_stream(alerts: DataFrame, ts: str = "timestamp", key: str = "zone_i
 class Escalation(StatefulProcessor):
     """State per key and rule: alerts whose time to be acknowledged runs, and recent acknowledgements.
 
-    A timer per alert fires when the watermark has passed its deadline, with no further input for the key needed;
+    A timer at the earliest deadline fires when the watermark has passed it, with no further input for the key needed;
     by then every acknowledgement in time has been seen. Acknowledgements are forgotten a deadline after they came.
     """
 
@@ -196,7 +222,7 @@ class Escalation(StatefulProcessor):
         self.wait = minutes * 60_000_000
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
+        self.timer = OneTimer(handle)
         self.alerts = handle.getListState("alerts", "us bigint, id string")
         self.acks = handle.getListState("acks", "us bigint")
 
@@ -207,22 +233,23 @@ class Escalation(StatefulProcessor):
             self.alerts.appendList(list(zip(frame["us"][alert].tolist(), frame["alert_id"][alert].tolist(), strict=True)))
         if not alert.all():
             self.acks.appendList([(x,) for x in frame["us"][~alert].unique().tolist()])
-        for ms in np.unique(-(-(frame["us"].to_numpy(np.int64) + self.wait) // 1000)).tolist():
-            self.handle.registerTimer(ms)
+        self.timer.earliest(frame["us"].min() + self.wait)
         yield pd.DataFrame({"alert_id": [], "fired_us": []}).astype({"alert_id": object, "fired_us": "int64"})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        now = self.timer.expired(timerValues, expiredTimerInfo)
         alerts = list(self.alerts.get()) if self.alerts.exists() else []
         acks = np.sort(np.array([x[0] for x in self.acks.get()] if self.acks.exists() else [], np.int64))
         due = [x for x in alerts if x[0] + self.wait <= now]
         times = np.array([x[0] for x in due], np.int64)
         following = np.append(acks, np.iinfo(np.int64).max)[np.searchsorted(acks, times)]
-        late = following > times + self.wait
+        late = following - self.wait > times
         yield pd.DataFrame({"alert_id": np.array([x[1] for x in due], object)[late], "fired_us": times[late]})
         left, recent = [x for x in alerts if x[0] + self.wait > now], acks[acks > now - self.wait]
         self.alerts.put(left) if left else self.alerts.clear()
         self.acks.put([(int(x),) for x in recent]) if len(recent) else self.acks.clear()
+        if left or len(recent):
+            self.timer.earliest(min([x[0] for x in left] + recent.tolist()) + self.wait)
 
     def close(self) -> None:
         pass

@@ -28,12 +28,22 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, purpose: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage ends in files that outlive executors.
 
-    The files lie in one root per application, to be dropped when it has ended.
+    The files lie in one root per application, to be dropped when it has ended; see ``discard`` for earlier.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/zonelytics-{spark.sparkContext.applicationId}/{purpose}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.__dict__["folder"] = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the files of frames that ``written`` returned. Only for those that no frame still to be computed reads."""
+    for df in frames:
+        jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(df.__dict__["folder"])
+        path.getFileSystem(conf).delete(path, True)
 
 
 def crc_mod(column: str, modulus: int):
@@ -138,9 +148,10 @@ def components(links: DataFrame) -> DataFrame:
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low2 = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low2, "u").select("u", "v", "m")
-        pairs = written(
+        old, pairs = pairs, written(
             small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "links"
         )
+        discard(old)
         now = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == seen:
             return pairs.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.col("v").alias("component")).union(

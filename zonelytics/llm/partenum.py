@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from zonelytics.llm.common import BitTable, Out, ascii_words, components, mix, row_key, rows, seeded, set_key, shingle_keys, without, word_keys, written
+from zonelytics.llm.common import BitTable, Out, ascii_words, components, discard, mix, row_key, rows, seeded, set_key, shingle_keys, without, word_keys, written
 
 
 class PartEnum:
@@ -169,9 +169,10 @@ def jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80, block_sets: i
                 yield out.batch()
         yield out.batch()
 
-    members = written(docs.mapInArrow(emit, "doc_id long, n_shingles long, set_key long, signatures array<long>"), "shingle-sets")
+    emitted = written(docs.mapInArrow(emit, "doc_id long, n_shingles long, set_key long, signatures array<long>"), "shingle-sets")
+    members = written(emitted.select("doc_id", "n_shingles", "set_key"), "members")
     # a signature's sets are never gathered: its smallest set by partial aggregation, then a join of the few rows whose signature has several
-    signed_sets = members.select("set_key", F.explode("signatures").alias("signature"))
+    signed_sets = emitted.select("set_key", F.explode("signatures").alias("signature"))
     lows = written(signed_sets.groupBy("signature").agg(F.min("set_key").alias("low"), F.max("set_key").alias("high")).where("low <> high").select("signature", "low"), "signatures")
     met = BitTable.of(lows.select(F.xxhash64("signature"))).thin(signed_sets, "signature")
     shared = met.join(lows.hint("merge"), "signature").where("set_key <> low").select("set_key", "low").distinct()
@@ -181,6 +182,7 @@ def jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80, block_sets: i
     total = nodes.groupBy("cluster").agg(F.count("*").alias("sets"), F.sum("n").alias("size"))
     blocks = F.ceil(F.greatest(F.col("sets") / block_sets, F.col("size") / block_keys)).cast("int")
     nodes = written(nodes.join(total, "cluster").select("set_key", "cluster", "doc_id", blocks.alias("blocks")), "clusters")
+    discard(emitted, lows)
     wanted = BitTable.of(nodes.select(F.xxhash64("doc_id")))
 
     def shingled(batches):
@@ -223,6 +225,7 @@ def jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80, block_sets: i
         tile = F.concat_ws(",", "r", "c").alias("block")
         links = written(links.union(compared(asked.select("*", tile).unionByName(every.select("*", tile)))), "links")
 
+    discard(sets, nodes)
     # the class's smallest doc_id is found on sets; each document meets it once, by its set
     own = members.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"))
     own = own.join(components(links).withColumnRenamed("node", "set_key"), "set_key", "left").withColumn("component", F.coalesce("component", "set_key"))

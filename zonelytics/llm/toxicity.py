@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zonelytics.llm.common import BitTable, Out, plain_words, release, rows, written
+from zonelytics.llm.common import BitTable, Out, discard, plain_words, release, rows, written
 
 SCORES = "doc_id long, score double, predicted int, neighbours array<long>, similarities array<double>, terms array<string>"
 _ARROW = pa.schema(
@@ -253,6 +253,7 @@ def fit(labelled: DataFrame, max_examples: int = 20_000, max_terms: int = 2048,
     if seen:
         total = np.array([r["n"] for r in seen])
         model.curve = ([r["bin"] / 100 for r in seen], rising(np.array([r["toxic"] for r in seen]) + model.base, total + 1).tolist())
+    discard(grouped)
     return model
 
 
@@ -287,7 +288,9 @@ def labelled(docs: DataFrame, labels: DataFrame, learn) -> DataFrame:
     one = labels.where(learn).where("toxic is not null and doc_id is not null").groupBy("doc_id").agg((F.avg(F.col("toxic").cast("double")) > 0.5).cast("int").alias("toxic"))
     one = written(one, "labels")
     texts = BitTable.of(one.select(F.xxhash64("doc_id"))).thin(docs.where(learn).select("doc_id", "text"), "doc_id")
-    return written(texts.join(one.hint("merge"), "doc_id"), "labelled")  # labels grow with the corpus: never broadcast
+    out = written(texts.join(one.hint("merge"), "doc_id"), "labelled")  # labels grow with the corpus: never broadcast
+    discard(one)
+    return out
 
 
 def clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zonelytics.llm import decontaminate, packing, partenum, pseudonyms, toxicity
-from zonelytics.llm.common import row_key, table, without, written
+from zonelytics.llm.common import discard, row_key, table, without, written
 from zonelytics.llm.queries import KEY, tokenizer_path
 
 
@@ -19,7 +19,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below 0.5 by their nearest labelled examples; all labels of ``sf_dir`` teach."""
     lean(spark)
     labels = table(spark, sf_dir, "labels")
-    return toxicity.clean(docs, toxicity.fit(toxicity.labelled(docs, labels, F.lit(True))))
+    learned = toxicity.labelled(docs, labels, F.lit(True))
+    model = toxicity.fit(learned)
+    discard(learned)
+    return toxicity.clean(docs, model)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -161,9 +161,9 @@ def test_both_years_from_one_scan(spark, frame):
 ALERTS = "zone_id string, timestamp timestamp, rule string, alert_id string, severity string, ack boolean"
 
 
-def alerts(n, seed):
+def alerts(n, seed, acknowledged=0.4):
     r = random.Random(seed)
-    rows = [(r.choice("abc"), at(r.randrange(4 * 3600)), r.choice(["r1", "r2"]), f"id{i}", r.choice(["critical", "critical", "warning"]), r.random() < 0.4) for i in range(n)]
+    rows = [(r.choice("abc"), at(r.randrange(4 * 3600)), r.choice(["r1", "r2"]), f"id{i}", r.choice(["critical", "critical", "warning"]), r.random() < acknowledged) for i in range(n)]
     rows.sort(key=lambda x: x[1])
     parts = [rows[i : i + 40] for i in range(0, n, 40)]
     for p in parts:
@@ -183,7 +183,7 @@ def test_stream_escalation_equals_batch_without_further_input(spark):
         acks = s.filter("ack").select("zone_id", "rule", (F.col("timestamp") + F.expr("INTERVAL 20 MINUTES")).alias("ack_time"))
         return sr.escalate_stream(s, acks, delay="4 hours").select("alert_id", "timestamp", "escalated_at")
 
-    parts = [[("lone", at(0), "r9", "lone", "critical", False)], *alerts(240, 2)]
+    parts = [[("lone", at(0), "r9", "lone", "critical", False)], *alerts(240, 2, 0.05)]
     batch, got = streamed(spark, parts, ALERTS, both)
     acks = batch.filter("ack").select("zone_id", "rule", (F.col("timestamp") + F.expr("INTERVAL 20 MINUTES")).alias("ack_time"))
     want = escalate(batch.filter("zone_id <> 'end'"), acks, as_of=at(6 * 3600)).select("alert_id", "timestamp", "escalated_at")

@@ -122,7 +122,7 @@ class Aligner:
     same function of the text.
     """
 
-    def __init__(self, byte_path: str, piece_path: str, remembered: int = 120_000):
+    def __init__(self, byte_path: str, piece_path: str, remembered: int = 240_000):
         self.a, self.b = Byte(byte_path), Piece(piece_path)
         self.remembered, self.known, self.old = remembered, {}, {}
         steps = json.loads(self.a.encoder.to_str())

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from zonelytics.operators.joins import join_null_safe
+from zonelytics.session import cut
 
 
 def rolling_mean(df: DataFrame, columns: Sequence[str], by: Sequence[str], order: str, rows: int = 7, suffix: str | None = None) -> DataFrame:
@@ -50,10 +51,12 @@ def share_of_total(df: DataFrame, value: str, by: Sequence[str] = (), name: str
     """Value as a fraction of its group total.
 
     The total comes from an aggregate joined back, not from a window, so a
-    group (or the whole frame) is never gathered in one task.
+    group (or the whole frame) is never gathered in one task. The totals are
+    written first: their size is then known when the join is planned, and few
+    totals meet the rows where these lie, without a shuffle by group.
     """
     if by:
-        totals = df.groupBy(*by).agg(F.sum(value).alias("_total"))
+        totals = cut(df.groupBy(*by).agg(F.sum(value).alias("_total")), "totals")
         out = join_null_safe(df, totals, by)
         return out.withColumn(name, F.try_divide(F.col(value), F.col("_total"))).drop("_total")
     return df.withColumn(name, F.try_divide(F.col(value), df.agg(F.sum(value).alias("t")).scalar()))

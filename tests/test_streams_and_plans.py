@@ -246,3 +246,53 @@ def test_rule_that_never_resolves_in_batch_too(frame):
     rule = Rule("r", (Branch("b", "v > 1", 0),), cooldown=60, resolve="v < 0")
     df = frame([("z", at(300 * i), 2.0) for i in range(5)], "zone_id string, timestamp timestamp, v double")
     assert [x.resolved_at for x in fire(df, rule).collect()] == [None] * 5
+
+
+def test_cross_validation_runs_folds_together_and_equals_one_by_one(spark, monkeypatch):
+    import threading
+    import time
+
+    from pyspark.ml import Pipeline
+    from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+    from pyspark.ml.feature import StringIndexer
+    from pyspark.sql import functions as F
+
+    from zonelytics.plans import ml
+
+    rows = [(f"e{i}", "Z0", ("hvac_failure", "nutrient_drift")[i % 2], float(i % 2 * 3 + i % 5), float(i % 7)) for i in range(120)]
+    df = spark.createDataFrame(rows, "event_id string, zone_id string, anomaly_type string, x double, y double").coalesce(1)
+    small, now, most, fit = {"numTrees": 5, "maxDepth": 3}, [0], [0], Pipeline.fit
+    lock = threading.Lock()
+
+    def watched(self, *args):
+        with lock:
+            now[0] += 1
+            most[0] = max(most[0], now[0])
+        time.sleep(0.3)
+        try:
+            return fit(self, *args)
+        finally:
+            with lock:
+                now[0] -= 1
+
+    monkeypatch.setattr(Pipeline, "fit", watched)
+    got = ml.cross_validated_f1(df, 3, ["x", "y"], **small)
+    assert most[0] > 1
+    parts = ml.folds(ml.class_weights(df), ("event_id", "zone_id"), "anomaly_type", 3)
+    parts = StringIndexer(inputCol="anomaly_type", outputCol="label", stringOrderType="alphabetAsc").fit(parts).transform(parts)
+    forest = ml.RandomForestClassifier(featuresCol="features", labelCol="label", weightCol="weight", **{**ml.FOREST_PARAMS, **small})
+    f1 = MulticlassClassificationEvaluator(metricName="f1")
+    each = [f1.evaluate(fit(Pipeline(stages=[ml._assembler(["x", "y"]), forest]), parts.filter(F.col("fold") != i)).transform(parts.filter(F.col("fold") == i))) for i in range(3)]
+    assert abs(got - sum(each) / 3) < 1e-12
+
+
+def test_few_totals_meet_rows_without_a_shuffle_of_these(spark):
+    from pyspark.sql import functions as F
+
+    from zonelytics.operators.windows import share_of_total
+
+    df = spark.range(30_000).select(F.col("id"), F.when(F.col("id") % 3 > 0, F.col("id") % 3).alias("flag"), (F.col("id") % 5).cast("double").alias("v"))
+    out = share_of_total(df, "v", ["flag"])
+    assert "Exchange hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()
+    sums = {r["flag"]: r["s"] for r in out.groupBy("flag").agg(F.sum("share").alias("s")).collect()}
+    assert set(sums) == {None, 1, 2} and all(abs(s - 1) < 1e-9 for s in sums.values())

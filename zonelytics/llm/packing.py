@@ -23,6 +23,8 @@ PACKED = f"{PIECES}, sequence_id long, offset long"
 _ARROW = pa.schema([(n, pa.int64()) for n in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")])
 # within these characters Unicode's NFC is the identity and lower-casing has no context
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-ɏ]*")
+# under this pattern a word of letters alone is one piece
+_LETTERS_WHOLE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 class Ids:
@@ -43,6 +45,7 @@ class Ids:
         fits = [x["type"] for x in steps] == ["Split", "ByteLevel"] and "Regex" in steps[0]["pattern"] and steps[0]["behavior"] == "Removed" and steps[0]["invert"]
         if fits and names == ["NFC", "Replace", "Lowercase"] and spec["model"]["type"] == "BPE" and not steps[1]["add_prefix_space"] and not steps[1]["use_regex"]:
             self.split = regex.compile(steps[0]["pattern"]["Regex"])
+            self.letters_whole = steps[0]["pattern"]["Regex"] == _LETTERS_WHOLE
             self.special = [x["content"] for x in spec["added_tokens"]]
             self.bare = Tokenizer(self.whole.model)
             plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
@@ -50,20 +53,19 @@ class Ids:
 
     def learn(self, new: set[str]) -> None:
         """Remember the ids of words not met yet."""
-        cut = {w: self.split.findall(w) for w in new}
+        cut = {w: [w] if self.letters_whole and w.isalpha() else self.split.findall(w) for w in new}
         if len(self.pieces) + len(new) > self.remembered:
             self.pieces = {}
         missing = [p for p in {p for found in cut.values() for p in found} if p not in self.pieces]
         for at in range(0, len(missing), 1000):
             part = missing[at : at + 1000]
-            got = self.bare.encode([p.encode().decode("latin-1").translate(self.shown) for p in part], is_pretokenized=True, add_special_tokens=False)
-            ids, ends = np.array(got.ids, "<u4"), np.searchsorted(got.word_ids, np.arange(len(part) + 1)).tolist()
-            for p, a, b in zip(part, ends, ends[1:], strict=False):
-                self.pieces[p] = ids[a:b].tobytes()
+            got = self.bare.encode([p if p.isascii() else p.encode().decode("latin-1").translate(self.shown) for p in part], is_pretokenized=True, add_special_tokens=False)
+            data, ends = np.array(got.ids, "<u4").tobytes(), (4 * np.searchsorted(got.word_ids, np.arange(len(part) + 1))).tolist()
+            self.pieces |= {p: data[a:b] for p, a, b in zip(part, ends, ends[1:], strict=False)}
         if len(self.words) + len(new) > self.remembered:
             self.words = {}
         known = self.pieces
-        self.words |= {w: b"".join([known[p] for p in found]) for w, found in cut.items()}
+        self.words |= {w: known[found[0]] if len(found) == 1 else b"".join([known[p] for p in found]) for w, found in cut.items()}
 
     def one(self, text: str | None) -> bytes:
         if not text:
@@ -71,12 +73,14 @@ class Ids:
         if self.split is None or not _PLAIN.fullmatch(text) or any(s in text for s in self.special):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         words = text.lower().split()
-        try:
-            return b"".join([self.words[w] for w in words])
-        except KeyError:
-            self.learn({w for w in words if w not in self.words})
-            known = self.words
-            return b"".join([known[w] if w in known else self.alone(w) for w in words])
+        found = [*map(self.words.get, words)]
+        if None in found:
+            missing = [i for i, x in enumerate(found) if x is None]
+            self.learn({words[i] for i in missing})
+            for i in missing:
+                w = words[i]
+                found[i] = self.words[w] if w in self.words else self.alone(w)
+        return b"".join(found)
 
     def alone(self, word: str) -> bytes:
         self.learn({word})

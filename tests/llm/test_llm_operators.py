@@ -586,3 +586,86 @@ def test_packing_round_trip(spark, awkward, none):
 def test_ids_equal_the_tokenizer(text):
     ids = packing.Ids(pytest.importorskip("public_tokenizers").path("word_bpe_49k.json"), remembered=2)
     assert np.frombuffer(ids.one(text), "<u4").tolist() == ids.whole.encode(text, add_special_tokens=False).ids
+
+
+def test_maxent_model_is_not_cut_down():
+    """Context chooses among 24 classes by four features, every word met twice is told apart, and the table grows with these."""
+    assert maxent.CLASSES == 24 and maxent.features(np.arange(9), np.array([0])).shape == (9, 4)
+    text = [b"w%d" % i for i in range(30_000)]
+    keys = common.word_keys(text)
+    order = np.argsort(keys)
+    words = maxent.Words(keys[order], np.where(order < 25_000, 2, 1), total=55_000, distinct=30_000)
+    table = maxent.Lexicon(words).look(text)
+    assert len(set(table[:25_000, 2])) == 25_000 and len(set(table[25_000:, 2])) <= maxent.GROUPS
+    assert words.buckets == 1 << 17 and maxent.Words().buckets == 1 << 16
+    small = maxent.Lexicon(words, remembered=100)  # what was forgotten is learned anew
+    assert all((small.look(text[i : i + 500]) == table[i : i + 500]).all() for i in range(0, 2000, 250))
+
+
+def test_gradient_rows_above_16_bits():
+    r = np.random.default_rng(1)
+    x, cls = r.integers(0, 1 << 17, (500, maxent.FEATURES)).astype(np.int32) // 1000 * 1000, r.integers(0, maxent.CLASSES, 500)
+    make = lambda: (np.zeros((1 << 17, maxent.CLASSES), np.float32), np.zeros(maxent.CLASSES, np.float32), np.zeros(1 << 17, np.float32))
+    weights, bias, seen = make()
+    maxent.descend(weights, bias, seen, x, cls, 0.2)
+    error = np.full((500, maxent.CLASSES), 1 / maxent.CLASSES) - np.eye(maxent.CLASSES)[cls]
+    want, _, sums = make()
+    for i in range(maxent.FEATURES):
+        grad = np.zeros(want.shape)
+        np.add.at(grad, x[:, i], error)
+        sums += (grad * grad).mean(axis=1)
+        want -= 0.2 * grad / np.sqrt(sums + 1.0)[:, None]
+    assert np.allclose(weights, want, atol=1e-5)
+
+
+def test_packing_looks_up_each_word_once():
+    """A text with new words is looked up once; words of letters alone need no pattern."""
+    ids = packing.Ids(public_path())
+
+    class Counting(dict):
+        seen = 0
+
+        def get(self, key, default=None):
+            Counting.seen += 1
+            return super().get(key, default)
+
+    class NoPattern:
+        def findall(self, word):
+            assert not word.isalpha(), word
+            return packing.regex.findall(packing._LETTERS_WHOLE, word)
+
+    ids.words, ids.split = Counting(), NoPattern()
+    text = "Plain words, l'été 2024 isn't over; plain Words again " * 3
+    assert ids.one(text) == np.array(ids.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert Counting.seen == len(text.split())
+
+
+def public_path():
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def test_shuffles_of_written_frames_are_deleted(spark):
+    """Written frames leave no shuffle behind, and the setting is as before."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, tracker = spark.conf.get(name), spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    had = tracker.shuffleStatuses().size()
+    for i in range(3):
+        assert common.written(spark.range(1000).repartition(4, F.col("id") % (i + 2)).groupBy("id").count(), "test").count() == 1000
+    assert spark.conf.get(name) == before and tracker.shuffleStatuses().size() <= had + 3  # those of the counts, which are not written
+
+
+def test_components_broadcast_nothing(spark, monkeypatch):
+    plans, whole = [], common.written
+
+    def written(df, purpose):
+        out = whole(df, purpose)
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(common, "written", written)
+    links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
+    got = {r["node"]: r["component"] for r in common.components(links).collect()}
+    assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
+    assert plans and not any("Broadcast" in p for p in plans)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -15,10 +16,14 @@ from pyspark.sql import functions as F
 from zonelytics.llm.common import Out, ascii_words, mix, rows, seeded, word_keys, written
 
 END = b"\x00 end"  # white space keeps it apart from every word
-BUCKETS = 1 << 16
-HEADS, GROUPS = 6, 10
+BUCKETS, MOST_BUCKETS = 1 << 16, 1 << 17  # rows of the weight table, by the words told apart
+HEADS, GROUPS = 10, 14
 CLASSES = HEADS + GROUPS
-FEATURES = 3
+FEATURES = 4
+
+
+#: a frequent word of at least this count has a feature number of its own, all others share that of their group
+TOLD_APART = 2
 
 
 @dataclass
@@ -28,7 +33,6 @@ class Words:
     keys: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))  # frequent words, sorted
     counts: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     heads: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))  # each a class of its own
-    known: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))  # told apart in features, sorted
     tokens: np.ndarray = field(default_factory=lambda: np.zeros(GROUPS))  # of each group, without heads
     types: np.ndarray = field(default_factory=lambda: np.zeros(GROUPS))
     head_tokens: np.ndarray = field(default_factory=lambda: np.zeros(HEADS))
@@ -48,6 +52,11 @@ class Words:
         n = np.concatenate([self.head_tokens, self.tokens]) + 1.0
         return np.log(n / n.sum()).astype(np.float32)
 
+    @property
+    def buckets(self) -> int:
+        """Rows of the weight table: four for each word told apart, within bounds, as a power of two."""
+        return min(MOST_BUCKETS, max(BUCKETS, 1 << int(4 * (self.counts >= TOLD_APART).sum()).bit_length()))
+
     def base(self, count: np.ndarray) -> np.ndarray:
         return np.log10((count + 0.1) / (self.total + 0.1 * (self.distinct + 1)))
 
@@ -71,13 +80,11 @@ class Lexicon:
             order = np.argsort(w.heads)
             at = np.minimum(np.searchsorted(w.heads[order], keys), len(w.heads) - 1)
             cls = np.where(w.heads[order][at] == keys, order[at], cls)
-        number, count = group + len(w.known), np.full(len(new), -1)
-        if len(w.known):
-            at = np.minimum(np.searchsorted(w.known, keys), len(w.known) - 1)
-            number = np.where(w.known[at] == keys, at, number)
+        count = np.full(len(new), -1)
         if len(w.keys):
             at = np.minimum(np.searchsorted(w.keys, keys), len(w.keys) - 1)
             count = np.where(w.keys[at] == keys, w.counts[at], count)
+        number = np.where(count >= TOLD_APART, keys.view(np.int64), group)
         start = len(self.place)
         while start + len(new) > len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
@@ -85,26 +92,29 @@ class Lexicon:
         self.place |= {x: start + i for i, x in enumerate(new)}
 
     def look(self, words: list[bytes]) -> np.ndarray:
-        try:
-            return self.table[np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))]
-        except KeyError:
+        at = np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(at < 0)
+        if len(missing):
             if len(self.place) > self.remembered:
                 self.clear()
-            self.learn([w for w in dict.fromkeys(words) if w not in self.place])
-            return self.table[np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))]
+                missing = np.arange(len(words))
+            found = [words[i] for i in missing.tolist()]
+            self.learn(list(dict.fromkeys(found)))
+            at[missing] = np.fromiter(map(self.place.__getitem__, found), np.int64, len(found))
+        return self.table[at]
 
 
-def features(number: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Hashed features of each token from the two before it: previous word, bigram, and the word before the previous."""
+def features(number: np.ndarray, starts: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
+    """Hashed features of each token from the three before it: previous word, bigram, and the words two and three back."""
     n = len(number)
-    back = np.zeros((2, n), np.uint64)
+    back = np.zeros((3, n), np.uint64)
     since = np.arange(n) - np.repeat(starts, np.diff(np.append(starts, n)))
-    for k in (1, 2):
+    for k in (1, 2, 3):
         back[k - 1, k:] = number[:-k].astype(np.uint64) + np.uint64(1) if n > k else 0
         back[k - 1, since < k] = 0
-    one, two = back
-    raw = (one * seeded("one"), one * seeded("pair") + mix(two + seeded("of")), two * seeded("skip one"))
-    return np.stack([mix(x + np.uint64(i)) & np.uint64(BUCKETS - 1) for i, x in enumerate(raw)], axis=1).astype(np.uint16)
+    one, two, three = back
+    raw = (one * seeded("one"), one * seeded("pair") + mix(two + seeded("of")), two * seeded("skip one"), three * seeded("skip two"))
+    return np.stack([mix(x + np.uint64(i)) & np.uint64(buckets - 1) for i, x in enumerate(raw)], axis=1).astype(np.int32)
 
 
 def raised(weights: np.ndarray, bias: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -129,7 +139,8 @@ def descend(weights: np.ndarray, bias: np.ndarray, seen: np.ndarray, x: np.ndarr
     error[np.arange(len(cls)), cls] -= 1.0
     bias -= rate * error.mean(axis=0)
     for i in range(FEATURES):
-        order = np.argsort(x[:, i], kind="stable")
+        low = np.argsort(x[:, i].astype(np.uint16), kind="stable")  # 16 bits are sorted by radix, then what is above them
+        order = low[np.argsort((x[low, i] >> 16).astype(np.uint16), kind="stable")]
         ranked = x[order, i]
         at = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
         rows_, grad = ranked[at], np.add.reduceat(error[order], at, axis=0)
@@ -138,19 +149,19 @@ def descend(weights: np.ndarray, bias: np.ndarray, seen: np.ndarray, x: np.ndarr
 
 
 def _slices(batches, lexicon: Lexicon, tokens: int = 100_000):
-    """Documents of at least one, and then up to about ``tokens`` tokens, with their word table: (ids, tables)."""
-    ids, tables, size = [], [], 0
+    """Documents of at least one, and then up to about ``tokens`` tokens, with their word tables as one: (ids, sizes, table)."""
+    ids, sizes, words = [], [], []
     for doc_id, text in rows(batches, "doc_id", "text"):
-        words = ascii_words(text)
+        before = len(words)
+        words += ascii_words(text)
         words.append(END)
         ids.append(doc_id)
-        tables.append(lexicon.look(words))
-        size += len(words)
-        if size >= tokens:
-            yield ids, tables
-            ids, tables, size = [], [], 0
+        sizes.append(len(words) - before)
+        if len(words) >= tokens:
+            yield ids, sizes, lexicon.look(words)
+            ids, sizes, words = [], [], []
     if ids:
-        yield ids, tables
+        yield ids, sizes, lexicon.look(words)
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -176,7 +187,7 @@ def count_words(docs: DataFrame) -> DataFrame:
     return written(docs.select("text").mapInArrow(count, "key long, grp int, n long").groupBy("key").agg(F.first("grp").alias("grp"), F.sum("n").alias("n")), "word-counts")
 
 
-def summarise(counts: DataFrame, frequent: int = 1 << 18, told_apart: int = 2048) -> Words:
+def summarise(counts: DataFrame, frequent: int = 1 << 18) -> Words:
     """The bounded statistics. The frequent words are those above a count under which at most ``frequent`` words stay out."""
     total = counts.agg(F.sum("n"), F.count("*"), F.sum((F.col("n") == 1).cast("long")), F.sum((F.col("n") == 2).cast("long"))).first()
     if not total[0]:
@@ -195,7 +206,7 @@ def summarise(counts: DataFrame, frequent: int = 1 << 18, told_apart: int = 2048
     order = np.argsort(keys)
     heads = keys[by_count[:HEADS]]
     groups = counts.where(~F.col("key").isin([int(k) for k in heads.view(np.int64)])).groupBy("grp").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()
-    out = Words(keys[order], n[order], heads, np.sort(keys[by_count[:told_apart]]), total=total[0], distinct=total[1])
+    out = Words(keys[order], n[order], heads, total=total[0], distinct=total[1])
     out.head_tokens[: len(heads)] = n[by_count[:HEADS]]
     out.discount = total[2] / (total[2] + 2 * total[3]) if total[2] and total[3] else 0.5
     for r in groups:
@@ -208,25 +219,25 @@ def train(docs: DataFrame, words: Words, rounds: int = 1, rate: float = 0.2, bat
 
     In a round every task makes one pass of mini-batch updates over its documents, starting from the
     current weights, and returns its changed rows with the tokens that touched each; per row the
-    changes are averaged by those tokens. The model has ``BUCKETS`` rows of ``CLASSES`` weights, whatever the corpus.
+    changes are averaged by those tokens. The model has ``words.buckets`` rows of ``CLASSES`` weights.
     """
-    weights, bias = np.zeros((BUCKETS, CLASSES), np.float32), words.classes()
+    buckets = words.buckets
+    weights, bias = np.zeros((buckets, CLASSES), np.float32), words.classes()
 
     def work(batches):
-        w, b, seen, touched = weights.copy(), bias.copy(), np.zeros(BUCKETS, np.float32), np.zeros(BUCKETS, np.int64)
+        w, b, seen, touched = weights.copy(), bias.copy(), np.zeros(buckets, np.float32), np.zeros(buckets, np.int64)
         tokens = 0
-        for _, tables in _slices(batches, Lexicon(words)):
-            starts = np.append(0, np.cumsum([len(t) for t in tables])[:-1])
-            table = np.concatenate(tables)
-            x, cls = features(table[:, 2], starts), table[:, 1]
+        for _, sizes, table in _slices(batches, Lexicon(words)):
+            starts = np.append(0, np.cumsum(sizes)[:-1])
+            x, cls = features(table[:, 2], starts, buckets), table[:, 1]
             for i in range(FEATURES):
-                touched += np.bincount(x[:, i], minlength=BUCKETS)
+                touched += np.bincount(x[:, i], minlength=buckets)
             for at in range(0, len(cls), batch):
                 descend(w, b, seen, x[at : at + batch], cls[at : at + batch], rate)
             tokens += len(cls)
         at = np.flatnonzero(touched)
         change, n = np.concatenate([w[at] - weights[at], (b - bias)[None]]), np.append(touched[at], tokens)
-        name = np.append(at, BUCKETS)
+        name = np.append(at, buckets)
         for lo in range(0, len(name), 8192):
             part = slice(lo, lo + 8192)
             scaled = (change[part] * n[part, None]).astype(np.float32)
@@ -235,10 +246,10 @@ def train(docs: DataFrame, words: Words, rounds: int = 1, rate: float = 0.2, bat
     schema = "row long, n long, " + ", ".join(f"c{c} float" for c in range(CLASSES))
     for _ in range(rounds):
         sums = docs.select(F.lit(None).cast("long").alias("doc_id"), "text").mapInArrow(work, schema).groupBy("row").agg(F.sum("n").alias("n"), *(F.sum(f"c{c}").alias(f"c{c}") for c in range(CLASSES)))
-        got = sums.toArrow()  # at most BUCKETS + 1 rows
+        got = sums.toArrow()  # at most MOST_BUCKETS + 1 rows
         at, n = np.asarray(got.column("row")), np.maximum(np.asarray(got.column("n")), 1)
         mean = (np.stack([np.asarray(got.column(f"c{c}")) for c in range(CLASSES)], axis=1) / n[:, None]).astype(np.float32) if len(at) else np.zeros((0, CLASSES), np.float32)
-        inner = at < BUCKETS
+        inner = at < buckets
         weights[at[inner]] += mean[inner]
         bias += mean[~inner].sum(axis=0)
     return weights, bias
@@ -269,18 +280,16 @@ def score(docs: DataFrame, training: DataFrame) -> DataFrame:
             [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("part", pa.float64()), ("key", pa.list_(pa.int64())), ("cls", pa.list_(pa.int32())), ("n", pa.list_(pa.int32()))]
         )
         out = Out(schema, 2000)
-        for ids, tables in _slices(batches, Lexicon(words), 30_000):
-            sizes = [len(t) for t in tables]
+        for ids, sizes, table in _slices(batches, Lexicon(words), 30_000):
             starts = np.append(0, np.cumsum(sizes)[:-1])
-            table = np.concatenate(tables)
-            x, cls, count = features(table[:, 2], starts), table[:, 1], table[:, 3]
+            x, cls, count = features(table[:, 2], starts, words.buckets), table[:, 1], table[:, 3]
             logs = log_classes(weights, bias, x)[np.arange(len(cls)), cls] * log10e
             has = count >= 0
             safe = np.maximum(count, 0)
             part = np.add.reduceat(logs + np.where(has, words.inside(safe, cls), 0.0), starts)
             base = np.add.reduceat(np.where(has, words.base(safe), 0.0), starts)
             known = np.add.reduceat(has.astype(np.int64), starts)
-            for i, t in enumerate(tables):
+            for i, t in enumerate(np.split(table, starts[1:])):
                 rare = t[t[:, 3] < 0]
                 key, first, n = np.unique(rare[:, 0], return_index=True, return_counts=True)
                 out.add(ids[i], sizes[i], int(known[i]), float(base[i]), float(part[i]), key, rare[first, 1].astype(np.int32), n.astype(np.int32))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,18 @@ def shared_dir(spark: SparkSession) -> str:
     return (base or spark.conf.get("spark.sql.warehouse.dir") + "/_shared").rstrip("/")
 
 
+@contextmanager
+def shuffles_deleted(spark: SparkSession) -> Iterator[None]:
+    """Within it, a query's shuffle files are deleted as soon as it has ended, not when the driver happens to collect its plan."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def written(df: DataFrame, purpose: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage ends in files that outlive executors.
 
@@ -32,7 +45,8 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/zonelytics-{spark.sparkContext.applicationId}/{purpose}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with shuffles_deleted(spark):
+        df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.__dict__["folder"] = path
     return out
@@ -138,20 +152,22 @@ def components(links: DataFrame) -> DataFrame:
 
     Alternates hooking each node's larger neighbours and each node's smaller ones onto the smallest
     one (every pass is two group-bys, no adjacency list is built), until no row changes. Each pass is
-    written to the shared folder. Rows with a NULL end are ignored; an empty input gives no rows.
+    written to the shared folder; merge joins, and a collection after it, keep the driver free of the
+    tables and plans of passes gone by. Rows with a NULL end are ignored; an empty input gives no rows.
     """
     pairs = links.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     pairs, seen = written(pairs, "links"), None
     while True:
         both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.where("v > u").join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low2 = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low2, "u").select("u", "v", "m")
+        small = large.join(low2.hint("merge"), "u").select("u", "v", "m")
         old, pairs = pairs, written(
             small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "links"
         )
         discard(old)
+        pairs.sparkSession.sparkContext._jvm.System.gc()
         now = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == seen:
             return pairs.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.col("v").alias("component")).union(
@@ -184,7 +200,8 @@ class BitTable:
                 bit = (np.uint64(1) << (at & np.uint64(63))).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint64(6)).view(np.int64)), pa.array(bit)], ["word", "bit"])
 
-        got = keys.mapInArrow(places, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+        with shuffles_deleted(keys.sparkSession):
+            got = keys.mapInArrow(places, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
         words = np.zeros(bits >> 6, np.uint64)
         words[np.asarray(got.column("word"))] = np.asarray(got.column("bits")).astype(np.int64).view(np.uint64)
         return cls(words, bits)

@@ -187,11 +187,15 @@ def cross_validated_f1(df: DataFrame, k: int = 5, features: Sequence[str] = ANOM
     pipeline, evaluator = Pipeline(stages=[_assembler(features), forest]), MulticlassClassificationEvaluator(metricName="f1")
 
     def f1(fold: int) -> float:
-        train, test = indexed.filter(F.col("fold") != fold), indexed.filter(F.col("fold") == fold)
+        train, test = indexed.filter(F.col("fold") != fold).cache(), indexed.filter(F.col("fold") == fold).cache()
         for part, name in ((train, "training"), (test, "validation")):
             if part.isEmpty():
                 raise ValueError(f"The {name} data at fold {fold} is empty.")
-        return evaluator.evaluate(pipeline.fit(train).transform(test))
+        try:
+            return evaluator.evaluate(pipeline.fit(train).transform(test))
+        finally:
+            train.unpersist()
+            test.unpersist()
 
     with ThreadPool(min(parallelism, k)) as pool:
         return sum(pool.map(inheritable_thread_target(df.sparkSession)(f1), range(k), chunksize=1)) / k

@@ -536,6 +536,41 @@ def test_signatures_of_similar_sets_meet():
                         assert np.intersect1d(scheme.signatures(np.unique(a)), scheme.signatures(b)).size, (percent, size, drop, new)
 
 
+def test_sketches_rule_out_no_link():
+    r = np.random.default_rng(5)
+    for percent in (80, 90):
+        for size in (1, 9, 40, 333, 2500):
+            a = r.integers(0, 2**63, size).astype(np.uint64)
+            others = [np.unique(np.append(a[drop:], r.integers(0, 2**63, new).astype(np.uint64))) for drop in (0, 1, size // 20, size // 9) for new in (0, 1, size // 20, size)]
+            sets = [np.unique(a), *(b for b in others if len(b)), *(r.integers(0, 2**63, size).astype(np.uint64) for _ in range(5))]
+            common_ = [[len(np.intersect1d(x, y)) for y in sets] for x in sets]
+            want = partenum.similar(sets, percent)
+            got = partenum.near([len(s) for s in sets], [partenum.parities(s) for s in sets], percent)
+            group = {i: i for i in range(len(sets))}
+            for x, y in got:
+                group |= {k: group[x] for k in group if group[k] == group[y]}
+            assert all(common_[x][y] and group[x] == group[y] for x, y in want)
+            assert size < 40 or not any(k >= len(sets) - 5 for pair in got for k in pair)  # unlike sets stay apart
+
+
+@pytest.mark.parametrize("run_sets", [20_000, 3])
+def test_unlike_sets_that_share_a_signature_meet_in_no_cluster(spark, monkeypatch, run_sets):
+    r, whole, sizes = random.Random(9), partenum.written, Counter()
+    passage = prose("passage", 16)
+    docs = [(i, " ".join(f"w{r.randrange(10**9)}" for _ in range(8)) + " " + passage) for i in range(60)]
+    docs += [(100 + i, f"{t} more") for i, t in docs[:6]]
+
+    def written(df, purpose):
+        out = whole(df, purpose)
+        sizes[purpose] += out.count()
+        return out
+
+    monkeypatch.setattr(partenum, "written", written)
+    got = sorted(tuple(x) for x in partenum.jaccard_groups(frame(spark, docs), 5, 80, run_sets=run_sets).collect())
+    assert got == brute_groups(docs, 5, 80) and sum(c != i for i, _, c in got) == 6
+    assert run_sets == 3 or sizes["clusters"] == 12  # of 66 before
+
+
 def test_groups_awkward(spark, awkward, none):
     got = partenum.jaccard_groups(awkward, 3, 90).collect()
     assert len(got) == len(AWKWARD)

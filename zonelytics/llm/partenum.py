@@ -70,6 +70,76 @@ class PartEnum:
         return signature[np.argsort(size, kind="stable")[t:]]
 
 
+def parities(keys: np.ndarray) -> bytes:
+    """A sketch of a set: how many of its elements each of 2 to 4 bits an element counts, modulo 2.
+
+    Two sketches differ in at most as many bits as their sets in elements, also once the longer is folded.
+    """
+    m = max(128, 1 << int(2 * len(keys) - 1).bit_length()) if len(keys) else 128
+    return np.packbits(np.bincount((mix(keys) & np.uint64(m - 1)).astype(np.int64), minlength=m).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def folded(sketch: bytes, words: int) -> np.ndarray:
+    """The sketch as 64-bit words, and as if it had had only ``words`` of them."""
+    return np.bitwise_xor.reduce(np.frombuffer(sketch, np.uint64).reshape(-1, words), axis=0)
+
+
+def may_link(sizes: np.ndarray, sketches: np.ndarray, size: int, sketch: np.ndarray, percent: int) -> np.ndarray:
+    """False only where a set of this sketch (of as many words) is certainly less similar than ``percent / 100``."""
+    apart = np.maximum(np.bitwise_count(sketches ^ sketch).sum(axis=1, dtype=np.int64), np.abs(sizes - size))
+    return apart * (100 + percent) <= (100 - percent) * (sizes + size)
+
+
+def near(sizes: list[int], sketches: list[bytes], percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs that may link, as positions."""
+    words = min(map(len, sketches)) // 8
+    n, rest, table, out = np.array(sizes, np.int64), np.arange(len(sizes)), np.stack([folded(s, words) for s in sketches]), []
+    left = table
+    while len(rest) > 1:
+        queue, rest, left = [rest[0]], rest[1:], left[1:]
+        while queue and len(rest):
+            x = queue.pop()
+            hit = may_link(n[rest], left, n[x], table[x], percent)
+            if hit.any():
+                found = rest[hit]
+                out += [(int(x), y) for y in found.tolist()]
+                queue += found.tolist()
+                rest, left = rest[~hit], left[~hit]
+    return out
+
+
+def near_in_runs(batches, percent: int):
+    """``near`` within each run of rows of one signature, rows sorted by it."""
+    out, now, held = Out(pa.schema([("a", pa.int64()), ("b", pa.int64())])), None, {}
+
+    def close():
+        if len(held) > 1:
+            keys = list(held)
+            for x, y in near(*zip(*held.values(), strict=True), percent):
+                out.add(keys[x], keys[y])
+
+    for signature, key, n, sketch in rows(batches, "signature", "set_key", "n", "sketch"):
+        if signature != now:
+            close()
+            now, held = signature, {}
+            if out.full():
+                yield out.batch()
+        held[key] = n, sketch
+    close()
+    yield out.batch()
+
+
+def near_pairs(batches, percent: int):
+    """The rows (a, b) with whether the pair's sketches leave a link possible."""
+    out = Out(pa.schema([("a", pa.int64()), ("b", pa.int64()), ("near", pa.bool_())]))
+    for a, b, n, m, s, t in rows(batches, "a", "b", "n", "m", "s", "t"):
+        words = min(len(s), len(t)) // 8
+        out.add(a, b, bool(may_link(np.array([n]), folded(s, words)[None], m, folded(t, words), percent)[0]))
+        if out.full():
+            yield out.batch()
+    yield out.batch()
+
+
 def similar(sets: list[np.ndarray], percent: int, left: int | None = None) -> list[tuple[int, int]]:
     """A spanning forest of the pairs with 100 * |a & b| >= percent * |a | b|, by exact overlap counts over an inverted index.
 
@@ -133,14 +203,16 @@ def grouped(batches, percent: int):
     yield out.batch()
 
 
-def jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80, block_sets: int = 1000, block_keys: int = 2_000_000) -> DataFrame:
+def jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80, block_sets: int = 1000, block_keys: int = 2_000_000, run_sets: int = 20_000) -> DataFrame:
     """Classes of documents whose n-word shingle sets have Jaccard similarity ``percent / 100`` or more.
 
     One row per row of ``docs(doc_id, text)``: doc_id, n_shingles (set size), component_id (smallest
     doc_id reachable by links, itself included). Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased.
 
     * Equal sets are one node, named by a 64-bit hash. Each task emits the signatures of a set once.
-    * Signatures with several nodes connect them into clusters; linked nodes are always in one.
+    * Signatures with several nodes connect those of them into clusters whose sketches leave a link possible: first
+      each node and its signature's smallest, then, for signatures where such a pair is ruled out, all pairs
+      of their nodes in one task (above ``run_sets`` nodes all are connected). Linked nodes are always in one cluster.
     * Each cluster's sets meet once, in tasks of at most about ``block_sets`` sets and ``block_keys``
       shingles, which compare exactly and return a spanning forest. Larger clusters are dealt into
       blocks twice, at random; what is then outside the cluster's largest component is compared with
@@ -154,7 +226,7 @@ def jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80, block_sets: i
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def emit(batches):
-        out = Out(pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.int64()), ("signatures", pa.list_(pa.int64()))]), 1000)
+        out = Out(pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.int64()), ("signatures", pa.list_(pa.int64())), ("sketch", pa.binary())]), 1000)
         done: set[int] = set()
         for doc_id, text in rows(batches, "doc_id", "text"):
             keys = shingle_keys(word_keys(ascii_words(text)), n)
@@ -164,25 +236,43 @@ def jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80, block_sets: i
                 if len(done) > 500_000:
                     done.clear()
                 done.add(name)
-            out.add(doc_id, len(keys), name, scheme.signatures(keys).view(np.int64) if new else None)
+            out.add(doc_id, len(keys), name, scheme.signatures(keys).view(np.int64) if new else None, parities(keys) if new else None)
             if out.full():
                 yield out.batch()
         yield out.batch()
 
-    emitted = written(docs.mapInArrow(emit, "doc_id long, n_shingles long, set_key long, signatures array<long>"), "shingle-sets")
+    emitted = written(docs.mapInArrow(emit, "doc_id long, n_shingles long, set_key long, signatures array<long>, sketch binary"), "shingle-sets")
     members = written(emitted.select("doc_id", "n_shingles", "set_key"), "members")
     # a signature's sets are never gathered: its smallest set by partial aggregation, then a join of the few rows whose signature has several
     signed_sets = emitted.select("set_key", F.explode("signatures").alias("signature"))
     lows = written(signed_sets.groupBy("signature").agg(F.min("set_key").alias("low"), F.max("set_key").alias("high")).where("low <> high").select("signature", "low"), "signatures")
     met = BitTable.of(lows.select(F.xxhash64("signature"))).thin(signed_sets, "signature")
-    shared = met.join(lows.hint("merge"), "signature").where("set_key <> low").select("set_key", "low").distinct()
-    clusters = components(shared.select(F.col("set_key").alias("a"), F.col("low").alias("b"))).select(F.col("node").alias("set_key"), F.col("component").alias("cluster"))
+    shared = written(met.join(lows.hint("merge"), "signature").where("set_key <> low").distinct(), "shared")
+    named = shared.select("set_key").union(shared.select("low")).distinct()
+    sketches = emitted.where("sketch is not null").select("set_key", F.col("n_shingles").alias("n"), "sketch").join(named, "set_key")
+    sketches = written(sketches.groupBy("set_key").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), "sketches")
+    discard(emitted, lows)
+    pairs = shared.select(F.col("set_key").alias("a"), F.col("low").alias("b")).distinct()
+    pairs = pairs.join(sketches.toDF("a", "n", "s").hint("merge"), "a").join(sketches.toDF("b", "m", "t").hint("merge"), "b")
+    pairs = written(pairs.mapInArrow(lambda batches: near_pairs(batches, percent), "a long, b long, near boolean"), "pairs")
+    # signatures whose smallest set is near all others connect them already; of those with the same sets one is enough
+    far = pairs.where("not near").select(F.col("a").alias("set_key"), F.col("b").alias("low"))
+    unsettled = shared.join(far.hint("merge"), ["set_key", "low"], "left_semi").select("signature").distinct()
+    runs = shared.join(unsettled.hint("merge"), "signature").groupBy("signature").agg(F.first("low").alias("low"), F.count("*").alias("others"), F.bit_xor(F.xxhash64("set_key")).alias("all"))
+    runs = written(runs.groupBy("low", "others", "all").agg(F.min("signature").alias("signature")), "runs")
+    inner = runs.where(F.col("others") < run_sets)
+    asked = shared.select("signature", "set_key").join(inner.select("signature").hint("merge"), "signature").union(inner.select("signature", "low"))
+    asked = asked.join(sketches.hint("merge"), "set_key").select("signature", "set_key", "n", "sketch").repartition("signature").sortWithinPartitions("signature")
+    found = asked.mapInArrow(lambda batches: near_in_runs(batches, percent), "a long, b long")
+    whole = shared.join(runs.where(F.col("others") >= run_sets).select("signature").hint("merge"), "signature").select("set_key", "low")
+    edges = written(pairs.where("near").select("a", "b").union(found).union(whole), "near")
+    discard(shared, sketches, pairs, runs)
+    clusters = components(edges).select(F.col("node").alias("set_key"), F.col("component").alias("cluster"))
 
     nodes = members.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n")).join(clusters, "set_key")
     total = nodes.groupBy("cluster").agg(F.count("*").alias("sets"), F.sum("n").alias("size"))
     blocks = F.ceil(F.greatest(F.col("sets") / block_sets, F.col("size") / block_keys)).cast("int")
     nodes = written(nodes.join(total, "cluster").select("set_key", "cluster", "doc_id", blocks.alias("blocks")), "clusters")
-    discard(emitted, lows)
     wanted = BitTable.of(nodes.select(F.xxhash64("doc_id")))
 
     def shingled(batches):

@@ -653,6 +653,20 @@ def test_gradient_rows_above_16_bits():
     assert np.allclose(weights, want, atol=1e-5)
 
 
+def test_sums_of_runs_equal_reduceat_to_the_bit():
+    r = np.random.default_rng(2)
+    for rows in (1, 2, 900):
+        values, names = r.standard_normal((rows, maxent.CLASSES)).astype(np.float32), np.minimum(r.geometric(0.02, rows) // 3, 90)
+        order = np.argsort(names, kind="stable")
+        at = np.flatnonzero(np.append(True, np.diff(names[order]) > 0))
+        assert np.array_equal(maxent.sums_of_runs(values, order, at), np.add.reduceat(values[order], at, axis=0))
+    weights, bias, cls = r.standard_normal((64, maxent.CLASSES)).astype(np.float32), maxent.Words().classes(), r.integers(0, maxent.CLASSES, 500)
+    x = r.integers(0, 64, (500, maxent.FEATURES)).astype(np.int32)
+    z = bias + weights[x].sum(axis=1)
+    assert np.allclose(maxent.raised(weights, bias, x), z - z.max(axis=1, keepdims=True), atol=1e-4) and maxent.raised(weights, bias, x).max(axis=1).any() == 0
+    assert np.array_equal(maxent.log_classes(weights, bias, x, cls), maxent.log_classes(weights, bias, x)[np.arange(500), cls])
+
+
 def test_packing_looks_up_each_word_once():
     """A text with new words is looked up once; words of letters alone need no pattern."""
     ids = packing.Ids(public_path())

@@ -119,16 +119,38 @@ def features(number: np.ndarray, starts: np.ndarray, buckets: int = BUCKETS) ->
 
 def raised(weights: np.ndarray, bias: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Logarithms of what the classes' probabilities are in proportion to, the largest 0."""
-    z = bias + weights[x[:, 0]]
+    z = bias + weights.take(x[:, 0], axis=0)
     for i in range(1, FEATURES):
-        z += weights[x[:, i]]
-    z -= z.max(axis=1, keepdims=True)
+        z += weights.take(x[:, i], axis=0)
+    most = z
+    while most.shape[1] > 1:  # halves of the columns at once are cheaper than a maximum per row
+        half = most.shape[1] // 2
+        most = np.maximum(most[:, :half], most[:, half : 2 * half]) if most.shape[1] % 2 == 0 else np.maximum(most[:, : half + 1], most[:, half:])
+    z -= most
     return z
 
 
-def log_classes(weights: np.ndarray, bias: np.ndarray, x: np.ndarray) -> np.ndarray:
+def log_classes(weights: np.ndarray, bias: np.ndarray, x: np.ndarray, cls: np.ndarray | None = None) -> np.ndarray:
+    """Log probabilities of all classes, or of each row's class in ``cls``."""
     z = raised(weights, bias, x)
-    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+    total = np.log(np.exp(z).sum(axis=1, keepdims=True))
+    return z - total if cls is None else z[np.arange(len(cls)), cls] - total[:, 0]
+
+
+def sums_of_runs(values: np.ndarray, order: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """``np.add.reduceat(values[order], at, axis=0)``, to the bit, without its cost per run and column for runs of one to three rows."""
+    n = np.diff(np.append(at, len(order)))
+    out = values.take(order[at], axis=0)
+    two = np.flatnonzero(n == 2)
+    out[two] += values.take(order[at[two] + 1], axis=0)
+    three = np.flatnonzero(n == 3)
+    out[three] += values.take(order[at[three] + 1], axis=0) + values.take(order[at[three] + 2], axis=0)
+    more = np.flatnonzero(n > 3)
+    if len(more):
+        m = n[more]
+        starts = np.cumsum(m) - m
+        out[more] = np.add.reduceat(values.take(order[np.repeat(at[more] - starts, m) + np.arange(m.sum())], axis=0), starts, axis=0)
+    return out
 
 
 def descend(weights: np.ndarray, bias: np.ndarray, seen: np.ndarray, x: np.ndarray, cls: np.ndarray, rate: float) -> None:
@@ -143,9 +165,12 @@ def descend(weights: np.ndarray, bias: np.ndarray, seen: np.ndarray, x: np.ndarr
         order = low[np.argsort((x[low, i] >> 16).astype(np.uint16), kind="stable")]
         ranked = x[order, i]
         at = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1]))
-        rows_, grad = ranked[at], np.add.reduceat(error[order], at, axis=0)
-        seen[rows_] += (grad * grad).mean(axis=1)
-        weights[rows_] -= rate * grad / np.sqrt(seen[rows_] + 1.0)[:, None]
+        rows_, grad = ranked[at], sums_of_runs(error, order, at)
+        now = seen[rows_] + (grad * grad).mean(axis=1)
+        seen[rows_] = now
+        grad *= np.float32(rate)
+        grad /= np.sqrt(now + 1.0)[:, None]
+        weights[rows_] = weights.take(rows_, axis=0) - grad
 
 
 def _slices(batches, lexicon: Lexicon, tokens: int = 100_000):
@@ -283,7 +308,7 @@ def score(docs: DataFrame, training: DataFrame) -> DataFrame:
         for ids, sizes, table in _slices(batches, Lexicon(words), 30_000):
             starts = np.append(0, np.cumsum(sizes)[:-1])
             x, cls, count = features(table[:, 2], starts, words.buckets), table[:, 1], table[:, 3]
-            logs = log_classes(weights, bias, x)[np.arange(len(cls)), cls] * log10e
+            logs = log_classes(weights, bias, x, cls) * log10e
             has = count >= 0
             safe = np.maximum(count, 0)
             part = np.add.reduceat(logs + np.where(has, words.inside(safe, cls), 0.0), starts)

@@ -667,6 +667,16 @@ def test_sums_of_runs_equal_reduceat_to_the_bit():
     assert np.array_equal(maxent.log_classes(weights, bias, x, cls), maxent.log_classes(weights, bias, x)[np.arange(500), cls])
 
 
+def test_training_sends_by_tokens_not_by_partitions(spark, monkeypatch):
+    texts = [(prose(i, 40, 300),) for i in range(200)]
+    parts = [spark.createDataFrame(spark.sparkContext.parallelize(texts, n), "text string") for n in (1, 40)]
+    words = maxent.summarise(maxent.count_words(parts[0]))
+    (one, bias), (many, its) = (maxent.train(p, words) for p in parts)
+    assert one.any() and np.array_equal(one, many) and np.array_equal(bias, its)  # few tokens are one task's, however they are dealt
+    monkeypatch.setattr(maxent, "TASK_TOKENS", words.total // 8)
+    assert not np.array_equal(maxent.train(parts[1], words)[0], one)  # many are dealt over tasks that learn apart
+
+
 def test_packing_looks_up_each_word_once():
     """A text with new words is looked up once; words of letters alone need no pattern."""
     ids = packing.Ids(public_path())

@@ -13,13 +13,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zonelytics.llm.common import Out, ascii_words, mix, rows, seeded, word_keys, written
+from zonelytics.llm.common import Out, ascii_words, mix, rows, seeded, shuffles_deleted, word_keys, written
 
 END = b"\x00 end"  # white space keeps it apart from every word
 BUCKETS, MOST_BUCKETS = 1 << 16, 1 << 17  # rows of the weight table, by the words told apart
 HEADS, GROUPS = 10, 14
 CLASSES = HEADS + GROUPS
 FEATURES = 4
+#: a training task reads so many tokens on average, or all: however few, they change up to ``MOST_BUCKETS`` rows, which it sends
+TASK_TOKENS = 1 << 21
 
 
 #: a frequent word of at least this count has a feature number of its own, all others share that of their group
@@ -245,8 +247,9 @@ def train(docs: DataFrame, words: Words, rounds: int = 1, rate: float = 0.2, bat
     In a round every task makes one pass of mini-batch updates over its documents, starting from the
     current weights, and returns its changed rows with the tokens that touched each; per row the
     changes are averaged by those tokens. The model has ``words.buckets`` rows of ``CLASSES`` weights.
+    Small partitions are read together, so that the rows sent grow with the tokens, not with the partitions.
     """
-    buckets = words.buckets
+    buckets, docs = words.buckets, docs.coalesce(max(1, math.ceil(words.total / TASK_TOKENS)))
     weights, bias = np.zeros((buckets, CLASSES), np.float32), words.classes()
 
     def work(batches):
@@ -270,8 +273,9 @@ def train(docs: DataFrame, words: Words, rounds: int = 1, rate: float = 0.2, bat
 
     schema = "row long, n long, " + ", ".join(f"c{c} float" for c in range(CLASSES))
     for _ in range(rounds):
-        sums = docs.select(F.lit(None).cast("long").alias("doc_id"), "text").mapInArrow(work, schema).groupBy("row").agg(F.sum("n").alias("n"), *(F.sum(f"c{c}").alias(f"c{c}") for c in range(CLASSES)))
-        got = sums.toArrow()  # at most MOST_BUCKETS + 1 rows
+        with shuffles_deleted(docs.sparkSession):
+            sums = docs.select(F.lit(None).cast("long").alias("doc_id"), "text").mapInArrow(work, schema).groupBy("row").agg(F.sum("n").alias("n"), *(F.sum(f"c{c}").alias(f"c{c}") for c in range(CLASSES)))
+            got = sums.toArrow()  # at most MOST_BUCKETS + 1 rows
         at, n = np.asarray(got.column("row")), np.maximum(np.asarray(got.column("n")), 1)
         mean = (np.stack([np.asarray(got.column(f"c{c}")) for c in range(CLASSES)], axis=1) / n[:, None]).astype(np.float32) if len(at) else np.zeros((0, CLASSES), np.float32)
         inner = at < buckets

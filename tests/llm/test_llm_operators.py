@@ -677,6 +677,19 @@ def test_training_sends_by_tokens_not_by_partitions(spark, monkeypatch):
     assert not np.array_equal(maxent.train(parts[1], words)[0], one)  # many are dealt over tasks that learn apart
 
 
+def test_word_tables_equal_a_dictionary_of_the_frequent():
+    text = [maxent.END, b"", b"a", b"\xc3\xa9", "日本".encode(), *(b"w%d" % i for i in range(3000))]
+    keys = np.sort(common.word_keys(text[:2000:2]))
+    close = np.unique(np.concatenate([keys, keys + np.uint64(1), keys - np.uint64(1)]))  # others that begin with the same bits
+    for known in (close, close[:1], close[:0]):
+        words = maxent.Words(known, np.arange(len(known)) % 5 + 1, heads=keys[[7, 3, 500]])
+        count, heads = dict(zip(known.tolist(), words.counts.tolist(), strict=True)), words.heads.tolist()
+        for got, w, k in zip(maxent.Lexicon(words).look(text).tolist(), text, common.word_keys(text).tolist(), strict=True):
+            group, c, signed = maxent.xxhash.xxh32_intdigest(w[-2:]) % maxent.GROUPS, count.get(k, -1), common.signed(k)
+            assert got == [signed, heads.index(k) if k in heads else maxent.HEADS + group, signed if c >= maxent.TOLD_APART else group, c]
+    assert maxent.Lexicon(words).look([]).shape == (0, 4)
+
+
 def test_packing_looks_up_each_word_once():
     """A text with new words is looked up once; words of letters alone need no pattern."""
     ids = packing.Ids(public_path())

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from dataclasses import dataclass, field
-from itertools import repeat
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zonelytics.llm.common import Out, ascii_words, mix, rows, seeded, shuffles_deleted, word_keys, written
+from zonelytics.llm.common import ascii_words, mix, rows, seeded, shuffles_deleted, word_keys, written
 
 END = b"\x00 end"  # white space keeps it apart from every word
 BUCKETS, MOST_BUCKETS = 1 << 16, 1 << 17  # rows of the weight table, by the words told apart
@@ -63,47 +63,54 @@ class Words:
         return np.log10((count + 0.1) / (self.total + 0.1 * (self.distinct + 1)))
 
 
+@cache
+def _groups() -> np.ndarray:
+    """Group of a word by its last two bytes as a number; by 2^16 and its byte, if it has one; last of the empty word."""
+    ends = [bytes([a, b]) for a in range(256) for b in range(256)] + [bytes([a]) for a in range(256)] + [b""]
+    return np.array([xxhash.xxh32_intdigest(x) % GROUPS for x in ends], np.int64)
+
+
+def groups_of(words: list[bytes]) -> np.ndarray:
+    """Group of each word, by a hash of its last two bytes."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    letters, ends = np.frombuffer(b"  " + b"".join(words), np.uint8), np.cumsum(sizes) + 2
+    two = letters[ends - 1] + np.where(sizes > 1, letters[ends - 2].astype(np.int64) << 8, 1 << 16)
+    return _groups()[np.where(sizes > 0, two, -1)]
+
+
 class Lexicon:
-    """What a task knows of the words it met: key, class, feature number and count (-1: not among the frequent)."""
+    """Key, class, feature number and count (-1: not among the frequent) of words, for ``remembered`` words at a time."""
 
     def __init__(self, words: Words, remembered: int = 500_000):
         self.words, self.remembered = words, remembered
-        self.clear()
-
-    def clear(self) -> None:
-        self.place: dict[bytes, int] = {}
-        self.table = np.zeros((1024, 4), np.int64)  # doubled when full
-
-    def learn(self, new: list[bytes]) -> None:
-        keys, w = word_keys(new), self.words
-        group = np.array([xxhash.xxh32_intdigest(x[-2:]) % GROUPS for x in new], np.int64)
-        cls = group + HEADS
-        if len(w.heads):
-            order = np.argsort(w.heads)
-            at = np.minimum(np.searchsorted(w.heads[order], keys), len(w.heads) - 1)
-            cls = np.where(w.heads[order][at] == keys, order[at], cls)
-        count = np.full(len(new), -1)
-        if len(w.keys):
-            at = np.minimum(np.searchsorted(w.keys, keys), len(w.keys) - 1)
-            count = np.where(w.keys[at] == keys, w.counts[at], count)
-        number = np.where(count >= TOLD_APART, keys.view(np.int64), group)
-        start = len(self.place)
-        while start + len(new) > len(self.table):
-            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        self.table[start : start + len(new)] = np.stack([keys.view(np.int64), cls, number, count], axis=1)
-        self.place |= {x: start + i for i, x in enumerate(new)}
+        bits = max(1, len(words.keys).bit_length())  # keys are hashes: hardly more than one begins with the same bits
+        self.low = np.uint64(64 - bits)
+        self.start = np.append(np.searchsorted(words.keys, np.arange(1 << bits, dtype=np.uint64) << self.low), len(words.keys))
+
+    def counts(self, keys: np.ndarray) -> np.ndarray:
+        out, w = np.full(len(keys), -1), self.words
+        first = (keys >> self.low).astype(np.int64)
+        at, end = self.start[first], self.start[first + 1]
+        left = np.flatnonzero(at < end)
+        at, end, wanted = at[left], end[left], keys[left]
+        while len(left):
+            hit = w.keys[at] == wanted
+            out[left[hit]] = w.counts[at[hit]]
+            more = ~hit & (at + 1 < end)
+            left, at, end, wanted = left[more], at[more] + 1, end[more], wanted[more]
+        return out
+
+    def _look(self, words: list[bytes]) -> np.ndarray:
+        keys, group = word_keys(words), groups_of(words)
+        cls, count = group + HEADS, self.counts(keys)
+        for i, head in enumerate(self.words.heads):
+            cls[keys == head] = i
+        return np.stack([keys.view(np.int64), cls, np.where(count >= TOLD_APART, keys.view(np.int64), group), count], axis=1)
 
     def look(self, words: list[bytes]) -> np.ndarray:
-        at = np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
-        missing = np.flatnonzero(at < 0)
-        if len(missing):
-            if len(self.place) > self.remembered:
-                self.clear()
-                missing = np.arange(len(words))
-            found = [words[i] for i in missing.tolist()]
-            self.learn(list(dict.fromkeys(found)))
-            at[missing] = np.fromiter(map(self.place.__getitem__, found), np.int64, len(found))
-        return self.table[at]
+        if len(words) <= self.remembered:
+            return self._look(words)
+        return np.concatenate([self._look(words[at : at + self.remembered]) for at in range(0, len(words), self.remembered)])
 
 
 def features(number: np.ndarray, starts: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
@@ -199,8 +206,8 @@ def count_words(docs: DataFrame) -> DataFrame:
 
         def batch():
             words = list(held)
-            group = [xxhash.xxh32_intdigest(w[-2:]) % GROUPS for w in words]
-            out = pa.RecordBatch.from_arrays([pa.array(word_keys(words).view(np.int64)), pa.array(group, pa.int32()), pa.array(list(held.values()), pa.int64())], ["key", "grp", "n"])
+            group = groups_of(words).astype(np.int32)
+            out = pa.RecordBatch.from_arrays([pa.array(word_keys(words).view(np.int64)), pa.array(group), pa.array(list(held.values()), pa.int64())], ["key", "grp", "n"])
             held.clear()
             return out
 
@@ -308,7 +315,6 @@ def score(docs: DataFrame, training: DataFrame) -> DataFrame:
         schema = pa.schema(
             [("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("part", pa.float64()), ("key", pa.list_(pa.int64())), ("cls", pa.list_(pa.int32())), ("n", pa.list_(pa.int32()))]
         )
-        out = Out(schema, 2000)
         for ids, sizes, table in _slices(batches, Lexicon(words), 30_000):
             starts = np.append(0, np.cumsum(sizes)[:-1])
             x, cls, count = features(table[:, 2], starts, words.buckets), table[:, 1], table[:, 3]
@@ -318,13 +324,14 @@ def score(docs: DataFrame, training: DataFrame) -> DataFrame:
             part = np.add.reduceat(logs + np.where(has, words.inside(safe, cls), 0.0), starts)
             base = np.add.reduceat(np.where(has, words.base(safe), 0.0), starts)
             known = np.add.reduceat(has.astype(np.int64), starts)
-            for i, t in enumerate(np.split(table, starts[1:])):
-                rare = t[t[:, 3] < 0]
-                key, first, n = np.unique(rare[:, 0], return_index=True, return_counts=True)
-                out.add(ids[i], sizes[i], int(known[i]), float(base[i]), float(part[i]), key, rare[first, 1].astype(np.int32), n.astype(np.int32))
-            if out.full():
-                yield out.batch()
-        yield out.batch()
+            rare, doc = np.flatnonzero(~has), np.repeat(np.arange(len(ids)), sizes)
+            rare = rare[np.lexsort((table[rare, 0], doc[rare]))]
+            key, doc = table[rare, 0], doc[rare]
+            first = np.flatnonzero(np.append(True, (np.diff(key) != 0) | (np.diff(doc) != 0))[: len(rare)])  # each document's distinct rare words
+            n = np.diff(np.append(first, len(rare)))
+            lists = np.searchsorted(doc[first], np.arange(len(ids) + 1)).astype(np.int32)
+            rare_words = (pa.ListArray.from_arrays(lists, v) for v in (key[first], cls[rare[first]].astype(np.int32), n.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), *map(pa.array, (known, base, part)), *rare_words], schema=schema)
 
     schema = "doc_id long, n_tokens long, n_known long, base double, part double, key array<long>, cls array<int>, n array<int>"
     done = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(apply, schema).withColumn("row", F.monotonically_increasing_id()), "scored-parts")
